@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, simhash
+from . import exact_dedup, language_id, quality, simhash
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op10_simhash_dedup(spark, sf_dir):
 def queries():
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
