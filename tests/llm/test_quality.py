@@ -42,11 +42,12 @@ def test_gradients_by_differences():
 
     grads = model.gradients(x, bag, y, weight)
     for name, at in (("V", (3, 2)), ("A", (1, 4)), ("B", (2, 2)), ("w", (5,)), ("c", (3,)), ("b", ())):
-        kept = model.params[name].copy()
+        kept = np.array(model.params[name])
         ends = []
         for step in (1e-5, -1e-5):
-            model.params[name] = kept.copy()
-            model.params[name][at] += step
+            moved = np.array(kept, np.float64)
+            moved[at] += step
+            model.params[name] = moved
             ends.append(loss())
         model.params[name] = kept
         assert abs((ends[0] - ends[1]) / 2e-5 - grads[name][at]) < 1e-6
