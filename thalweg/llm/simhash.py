@@ -149,12 +149,12 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         raise ValueError("three segments with one wildcard serve distances up to 5")
     rows = variants(fps)
     big = (
-        rows.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        rows.groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > block)
         .select("variant", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
     )
-    dealt = rows.join(big, "variant").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = rows.join(big, "variant", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # A row of block i goes to the runs (i, j) and (j, i) of every other block j: one run for each pair.
-    deals = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+    deals = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda j: F.least("own", j).cast("long") * F.col("blocks") + F.greatest("own", j),
