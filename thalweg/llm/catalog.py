@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, quality, simhash
+import public_tokenizers
+
+from . import exact_dedup, language_id, packing, quality, simhash
 from .common import table
 
 
@@ -18,6 +20,10 @@ def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,7 @@ def queries():
         "op3_exact_dedup": op3_exact_dedup,
         "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
+        "op8_packing": op8_packing,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
 
