@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, language_id, packing, quality, simhash
+from . import exact_dedup, language_id, line_dedup, packing, quality, simhash
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +37,7 @@ def queries():
         "op3_exact_dedup": op3_exact_dedup,
         "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
+        "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
