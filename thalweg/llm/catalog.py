@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, language_id, line_dedup, packing, quality, simhash
+from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_simhash_dedup(spark, sf_dir):
 def queries():
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
         "op7_line_dedup": op7_line_dedup,
