@@ -236,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LAB
     for y, n in sizes.items():
         share = F.when(F.col("__y") == y, F.lit(min(1.0, rows_per_label / n))).otherwise(share)
     known = known.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(known, "__id")
+    # The sample's ids are some thousands whatever the corpus: texts are filtered where they are read.
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(known), "__id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
