@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash
+from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, repeated_passages, simhash
 from .common import table
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return repeated_passages.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_simhash_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,

@@ -47,7 +47,7 @@ def _prepared(text: str | None) -> bytes:
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a text and how often each occurs; a text of any length is at most 2 ** SLOT_BITS pairs."""
     total = np.zeros(1 << SLOT_BITS, np.int64)
-    for b, _, _ in chunks([_prepared(text)], 3):
+    for b, *_ in chunks([_prepared(text)], 3):
         for s in _slots(b):
             total += np.bincount(s, minlength=len(total))
     at = np.flatnonzero(total)
@@ -65,7 +65,7 @@ class Model:
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         n, k = len(texts), len(self.languages)
         sums, size = np.zeros((n, k)), np.zeros(n)
-        for b, starts, owners in chunks((_prepared(t) for t in texts), 3):
+        for b, starts, owners, _ in chunks((_prepared(t) for t in texts), 3):
             ends = np.append(starts[1:], len(b))
             for order, s in zip((3, 4), _slots(b)):
                 # Windows that would run into the next text count for none of them.
