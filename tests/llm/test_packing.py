@@ -15,8 +15,11 @@ ODD = [
 ]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def expected(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check(rows, texts, capacity):
@@ -44,8 +47,8 @@ def check(rows, texts, capacity):
 
 def test_words_agree_with_the_tokenizer():
     words = packing.Words(PATH)
-    for t, ids in zip(ODD, words.ids(ODD)):
-        assert np.frombuffer(ids, "<u4").tolist() == expected(t)[:-1], t
+    for t in [*ODD, "a\x00b", *(chr(c) + "x " + chr(c) for c in range(0x300))]:
+        assert np.frombuffer(words.ids(t), "<u4").tolist() == expected(t)[:-1], repr(t)
 
 
 def test_documents_round_trip_and_near_bound(spark):

@@ -10,6 +10,7 @@ stay poorly filled are dealt anew, across all shards, for a second round.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,45 +35,59 @@ CROSSOVERS = 12
 EPOCHS = 2
 #: Bins filled under this share are dissolved after the first round.
 WELL_FILLED = 0.97
-#: Words whose ids a Python worker remembers; the memory starts afresh when full.
-REMEMBERED = 400_000
-
 # The word pattern of the tokenizer file, with white space spelt out for texts below U+0300.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
+#: Stands for the end of a word; texts that hold it are left to the tokenizer.
+_END = "\x00"
 _workers: dict[str, "Words"] = {}
 
 
 class Words:
-    """Ids of texts, remembered by word: the tokenizer never merges across words of its pattern."""
+    """Token ids of texts. The file's vocabulary and merges run in a faster library where texts are plain.
+
+    A byte-pair merge with a rank for each result gives the file's ids: its base tokens come first,
+    with and without the end of word, then its merges in order, no two of which give one token.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, as ``encode(text, add_special_tokens=False)`` gives them."""
-        out: list[bytes | None] = []
-        split: list[list[str]] = []
-        for t in texts:
-            t = t or ""
-            # Below U+0300 there is nothing to compose and lower-casing has no special case; a
-            # special token's own text, or any other letter, is left to the tokenizer.
-            if t.isascii() or max(t) < "̀":
-                plain = "<|" not in t and "İ" not in t
-            else:
-                plain = False
-            split.append(_WORDS.findall(t.lower()) if plain else [])
-            out.append(None if plain else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) if o is None else o for o, words in zip(out, split)]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = _byte_letters()
+        end = _END.encode()
+
+        def spelt(token: str) -> bytes:
+            stem = token.removesuffix("</w>")
+            return bytes(letters[c] for c in stem) + (end if stem != token else b"")
+
+        ranks = {bytes([b]): b for b in range(256)}
+        for b in range(1, 256):
+            ranks[bytes([b]) + end] = len(ranks)
+        for left, right in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+            if end not in spelt(left) and ranks.setdefault(spelt(left) + spelt(right), len(ranks)) != len(ranks) - 1:
+                raise ValueError("two merges of this vocabulary give one token")
+        self.merges = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.id_of = np.zeros(len(ranks), "<u4")
+        for token, i in model["vocab"].items():
+            if all(c in letters for c in token.removesuffix("</w>")) and spelt(token) in ranks:
+                self.id_of[ranks[spelt(token)]] = i
+
+    def ids(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a text, as ``encode(text, add_special_tokens=False)`` gives them."""
+        t = text or ""
+        # Below U+0300 there is nothing to compose and lower-casing has one special case; that, a
+        # special token's own text, and any other letter are left to the tokenizer.
+        if (t.isascii() or max(t) < "\u0300") and "<|" not in t and "\u0130" not in t and _END not in t:
+            found = _WORDS.findall(t.lower())
+            return self.id_of[self.merges.encode_ordinary(f"{_END} ".join(found) + _END)].tobytes() if found else b""
+        return np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes as themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -79,17 +95,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _workers.setdefault(tokenizer, Words(tokenizer))
+        if tokenizer not in _workers:
+            _workers[tokenizer] = Words(tokenizer)
+        words = _workers[tokenizer]
         for b in batches:
-            for low in range(0, len(b), 256):  # bounds the words that are split at once
-                part = b.iloc[low : low + 256]
-                rows = []
-                for doc_id, ids in zip(part["doc_id"], words.ids([t if isinstance(t, str) else None for t in part["__text"]])):
-                    ids += end
-                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, i, at // 4, len(piece) // 4, zlib.crc32(piece)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc_id, text in zip(b["doc_id"], b["__text"]):
+                ids = words.ids(text if isinstance(text, str) else None) + end
+                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    piece = ids[at : at + 4 * capacity]
+                    rows.append((doc_id, i, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInPandas(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
