@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, repeated_passages, simhash
+from . import decontamination, exact_dedup, language_id, licences, line_dedup, packing, quality, repeated_passages, simhash, url_filter
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return repeated_passages.remove(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_url_filters(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "n_matches")
+
+
 def op10_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,12 +51,14 @@ def op10_simhash_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_url_filters": op2_url_filters,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
+        "op9_license_scan": op9_license_scan,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
 
