@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
+
 from . import decontamination, exact_dedup, language_id, licences, line_dedup, packing, quality, repeated_passages, simhash, url_filter
 from .common import table
 
@@ -48,6 +50,10 @@ def op10_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -60,8 +66,12 @@ def queries():
         "op8_packing": op8_packing,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_dedup": op10_simhash_dedup,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    found = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

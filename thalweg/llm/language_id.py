@@ -81,8 +81,8 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 4, rate: float = 0.25, seed: int = 7) -> Model:
-    """``samples``: (slots, counts). Every fifth sample is kept back for temperature and threshold."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 4, least_steps: int = 8000, rate: float = 0.25, seed: int = 7) -> Model:
+    """``samples``: (slots, counts). Every fifth sample is kept back for temperature and threshold. Small samples are gone over more often."""
     languages = sorted(set(labels))
     if not languages:
         return Model([UNKNOWN], np.zeros((1 << SLOT_BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
@@ -92,6 +92,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))
     order = rng.permutation(len(samples))
     held, used = order[::5] if len(order) >= 50 else order, order[1:] if len(order) < 50 else np.delete(order, np.s_[::5])
+    epochs = max(epochs, -(-least_steps // max(1, len(used))))
     steps, done = epochs * max(1, len(used)), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
