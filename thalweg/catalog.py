@@ -1,9 +1,15 @@
 """Registry of the named queries and their SQL oracles."""
 
+from __future__ import annotations
+
+from .plans import terrain
+
+MODULES = (terrain,)
+
 
 def queries():
-    return {}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: text for module in MODULES for name, text in module.ORACLES.items()}
