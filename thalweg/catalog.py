@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import terrain
+from .plans import rivers, terrain
 
-MODULES = (terrain,)
+MODULES = (terrain, rivers)
 
 
 def queries():
