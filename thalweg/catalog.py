@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import rivers, terrain
+from .plans import drainage, rivers, terrain
 
-MODULES = (terrain, rivers)
+MODULES = (terrain, rivers, drainage)
 
 
 def queries():
