@@ -88,3 +88,32 @@ def test_empty_and_repeated_rows(spark, make_docs):
 def test_plan_stays_on_the_jvm(make_docs):
     plan = ld.near_duplicate_lines(make_docs(["a line", "b line"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_large_families_are_compared_whole(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(600)]
+    docs = {}
+    for f, (n, most) in enumerate([(300, 1), (300, 2)]):
+        base = [rng.choice(words) for _ in range(25)]
+        for i in range(n):
+            line = list(base)
+            for _ in range(rng.randrange(1, most + 1)):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            docs[1000 * f + i] = " ".join(line)
+    got = ld.near_duplicate_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    expected = brute(docs)
+    wrong = [r["doc_id"] for r in got if (r["keep_doc_id"], r["keep_line_no"]) != expected[r["doc_id"], r["line_no"]]]
+    assert len(got) == len(expected) and not wrong, (len(wrong), sum(r["kept"] for r in got), len(set(expected.values())))
+
+
+def test_bitmaps_never_rule_out_a_similar_pair(spark):
+    lines = ["abcdefghij" * 3, "a", "the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy cat", "éèêü " * 30]
+    once = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    got = {r["id"]: r for r in ld.bitmaps(once).collect()}
+    for i, a in enumerate(lines):
+        assert got[i]["size"] == len(shingles(a))
+        for j, b in enumerate(lines):
+            off = sum(bin((got[i][f"w{k}"] ^ got[j][f"w{k}"]) & (1 << 64) - 1).count("1") for k in range(ld.LONGS))
+            assert off <= len(shingles(a) ^ shingles(b))
+            assert i == j or off > 0

@@ -3,12 +3,14 @@
 Distinct normalised lines are cut into character shingles; the minima of the shingle hashes under
 several permutations make a signature; bands of it bring candidates together; the exact Jaccard
 similarity of the shingle sets decides; a distributed union-find makes components, of which the
-first line in document order stays.
+first line in document order stays. All pairs of a band of any size are compared, except those that
+other links join already and those whose bitmaps prove them dissimilar.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,11 @@ MINIMA = 20
 BANDS = [[4 * b + r for r in range(4)] for b in range(5)] + [[b + 5 * r for r in range(4)] for b in range(5)]
 #: Places that one exploded row stands for.
 STEP = 8
-#: Members of a band that are all compared with each other.
+#: Members of a band that are all compared with each other at once.
 SMALL = 12
+#: Members of a block of a larger band; longs of a line's bitmap.
+BLOCK = 256
+LONGS = 16
 SIMILARITY = 0.8
 
 
@@ -95,7 +100,8 @@ def further_pairs(met: DataFrame) -> DataFrame:
     """Pairs (``a`` < ``b``) within bands, beside those with the smallest id.
 
     The members of a band of up to ``SMALL`` all meet each other. In a larger one every member meets
-    two, drawn anew for each band, so a band of any size gives two pairs for each member.
+    two, drawn anew for each band, so a band of any size gives two pairs for each member; what they
+    leave apart is left to ``crowded``.
     """
     rank = F.col("id").bitwiseXOR(F.col("band"))  # the band's own bits order the ids anew in every band
     large = met.where(F.col("n") > SMALL)
@@ -106,11 +112,83 @@ def further_pairs(met: DataFrame) -> DataFrame:
     return drawn.unionByName(each).select("p.a", "p.b").where("a <> b").distinct()
 
 
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """id, size (number of shingles) and the bitmap of each line: a shingle flips one of its bits.
+
+    Sets that differ in d shingles have bitmaps that differ in d bits at most, so bitmaps never
+    rule out a similar pair.
+    """
+    shingle = f"if(char_length(norm) <= {SHINGLE}, array(norm), regexp_extract_all(norm, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
+    each = lines.select("id", F.explode(F.expr(f"array_distinct({shingle})")).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    bit = lambda j: F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & {LONGS - 1} = {j}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{j}")
+    return each.groupBy("id").agg(F.count("*").alias("size"), *[bit(j) for j in range(LONGS)])
+
+
+def _spanning(members: DataFrame) -> DataFrame:
+    """The members of bands that hold more than one component."""
+    ends = members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+    return members.join(ends, "band", "left_semi")
+
+
+def candidates(members: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """a, b, ra, rb and off (bits that differ) of the pairs of a band in different components that bitmaps do not rule out.
+
+    A band is dealt into blocks by the ids' hash and each pair of blocks is a join of its own, so no
+    task holds more than two blocks at once.
+    """
+    blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")).join(bits, "id")
+    columns = ["id", "root", "size", *[f"w{k}" for k in range(LONGS)]]
+    side = lambda p, others, i, j: (
+        dealt.withColumn("other", F.explode(F.expr(others))).select("band", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(p + c) for c in columns])
+    )
+    # The first side is repeated for every block from its own on, the second for every one up to it.
+    x, y = side("x", "sequence(block, blocks - 1)", "block", "other"), side("y", "sequence(0, block)", "other", "block")
+    off = " + ".join(f"bit_count(xw{k} ^ yw{k})" for k in range(LONGS))
+    # |a - b| + |b - a| is at most this share of |a| + |b| where the similarity is reached.
+    share = (1 - similarity) / (1 + similarity)
+    near = F.expr(f"xroot <> yroot and (i < j or xid < yid) and least(xsize, ysize) >= {similarity}D * greatest(xsize, ysize) - 1e-6 and {off} <= {share}D * (xsize + ysize) + 1e-6")
+    met = x.join(y, ["band", "i", "j"]).where(near)
+    swap = F.expr("xid > yid")
+    pick = lambda p, q, c: F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c)
+    return met.select(pick("xid", "yid", "a"), pick("yid", "xid", "b"), pick("xroot", "yroot", "ra"), pick("yroot", "xroot", "rb"), F.expr(off).alias("off"))
+
+
+def crowded(met: DataFrame, roots: DataFrame, once: DataFrame, similarity: float) -> list[DataFrame]:
+    """Links between the members of large bands that lie in different components (``roots``).
+
+    The first rounds verify the nearest pair of every two components, then sixteen of them; the last
+    one verifies all pairs of components that are still apart.
+    """
+    named = met.where(F.col("n") > SMALL).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    members = settle(_spanning(named.select("band", "id", "n", F.coalesce("root", "id").alias("root"))), "crowd")
+    links: list[DataFrame] = []
+    if members.isEmpty():
+        return links
+    bits = settle(bitmaps(once.select("id", "norm").join(members.select("id").distinct(), "id", "left_semi")), "bitmaps")
+    for most in (1, 16, None):
+        pairs = candidates(members, bits, similarity)
+        if most:
+            two = [F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("of")]
+            pairs = pairs.groupBy(*two).agg(F.min(F.struct("off", "a", "b")).alias("p")).select("p.a", "p.b")
+        links.append(settle(verified(pairs.select("a", "b").distinct(), once, similarity), "crowd"))
+        if not most:
+            break
+        of = members.select("id", "root").distinct()
+        joined = links[-1].join(of.select(F.col("id").alias("ia"), F.col("root").alias("a0")), "ia").join(of.select(F.col("id").alias("ib"), F.col("root").alias("b0")), "ib")
+        moved = components(joined.select(F.col("a0").alias("a"), F.col("b0").alias("b")))
+        now = members.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        members = settle(_spanning(now.select("band", "id", "n", F.coalesce("to", "root").alias("root"))), "crowd")
+        if members.isEmpty():
+            break
+    return links
+
+
 def linked(once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (``a``, ``b``, digests) that connect similar lines.
 
     Every line is first compared with the smallest of its bands; of the further pairs only those
-    are compared that these links leave apart.
+    are compared that these links leave apart, and of large bands then all pairs that are still apart.
     """
     met = settle(bands(once), "bands")
     star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
@@ -121,7 +199,11 @@ def linked(once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         further_pairs(met).join(star, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
         .where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     )
-    return first.select("a", "b").unionByName(settle(verified(apart, once, similarity), "further").select("a", "b"))
+    links = [first, settle(verified(apart, once, similarity), "further")]
+    if not met.where(F.col("n") > SMALL).isEmpty():
+        both = components(links[0].unionByName(links[1]).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
+        links += crowded(met, both, once, similarity)
+    return reduce(DataFrame.unionByName, [x.select("a", "b") for x in links])
 
 
 def verified(pairs: DataFrame, once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
