@@ -103,3 +103,28 @@ def test_hard_cases(spark, make_docs, monkeypatch):
     assert dc.find(docs, bench.limit(0)).where("contaminated").count() == 0
     assert dc.drop_contaminated(docs, bench.limit(0)).count() == 5
     assert dc.drop_contaminated(docs, bench).columns == docs.columns
+
+
+def found_in(docs, items):
+    df = lambda spark, rows, names: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], names)
+    return lambda spark: {r["doc_id"]: {h["item_id"]: h["edits"] for h in r["hits"] or []} for r in dc.find(df(spark, docs, "doc_id long, text string"), df(spark, items, "item_id long, text string")).collect()}
+
+
+def test_every_item_within_the_edits_is_found(spark):
+    """Recall by length (5 to 120 words) at the largest number of edits, anywhere in the item, is whole."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(2000)] + ["the", "of"] * 200
+    items, docs = {}, {}
+    for length in (5, 6, 7, 8, 9, 10, 14, 20, 40, 60, 120):
+        for _ in range(20):
+            n = len(items)
+            items[n] = [rng.choice(vocabulary) for _ in range(length)]
+            copy = list(items[n])
+            for at in sorted(rng.sample(range(length), dc.allowed(length)), reverse=True):
+                kind = rng.randrange(3)
+                copy[at : at + (kind != 1)] = [] if kind == 0 else ["edited"]
+            docs[n] = [rng.choice(vocabulary) for _ in range(rng.randrange(30, 60))] + copy + [rng.choice(vocabulary) for _ in range(30)]
+    got = found_in(docs, items)(spark)
+    missed = [len(items[n]) for n in items if n not in got[n]]
+    assert not missed, {x: missed.count(x) for x in sorted(set(missed))}
+    assert all(got[n][n] == edits(items[n], docs[n]) for n in items)

@@ -1,14 +1,12 @@
-"""Benchmark decontamination under edit distance, by CGK embedding and bit-sampling LSH.
-
-Texts and items are sequences of words (A-Z lower-cased, split at white space). A window of a text
-is mapped by the CGK random walk, which repeats or passes each word by a random bit of (step, word):
-sequences at a small edit distance give embeddings at a small Hamming distance. Repeated sampling
-of embedding places makes keys; windows and items that share a key are candidates, and the exact
-edit distance between the item and any stretch of the text around the window decides.
-
-Windows start at every ``STRIDE``-th word; an item is embedded from each of its first ``STRIDE``
-words, so that a copy at any place has an item embedding that is aligned with a window. An item is
-also embedded from further places along it, so that edits near its start don't hide it.
+"""Benchmark decontamination under edit distance, by unedited pieces of the items.
+
+Texts and items are sequences of words (A-Z lower-cased, split at white space). An item that may
+have k edits is cut into k + 1 pieces that cover it. Each edit touches one piece at most, so every
+stretch of a text within k edits holds one piece unedited: texts are looked up for the pieces at
+every word, and the exact edit distance between the item and any stretch of the text around a piece
+decides. No similar stretch is missed, whatever its length, place and edits (up to collisions of
+64-bit word hashes). This stands in for CGK embedding with bit sampling, whose keys of a few steps
+miss edited items and whose number of repeats for a given recall grows too large at 20 % of edits.
 """
 
 from __future__ import annotations
@@ -24,18 +22,15 @@ from pyspark.sql import types as T
 
 from .textbytes import encode
 
+#: Diagonals that are compared at once.
 STRIDE = 4
-SAMPLED = 8
-REPEATS = 14
+#: Words of a piece that make its key, at most.
+KEY_WORDS = 8
 SIMILARITY = 0.8
-#: Item lengths (in words, from an embedding's start) from which keys of a class are taken. The
-#: walk passes at most one word a step, so the first ``low`` steps stay within such an item.
-CLASSES = (5, 10, 20, 40)
 #: Items compared with the corpus at once; more items take further passes over it.
 ITEM_BLOCK = 20_000
-#: Words of texts that are held at once (a longer text alone), and windows embedded at once.
+#: Words of texts that are held at once (a longer text alone).
 SLICE = 200_000
-WINDOWS = 16_384
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,79 +66,57 @@ def words(text: str | None) -> np.ndarray:
         return _mix(sums + size.astype(np.uint64) * _MULT)
 
 
-class Keys:
-    """The walk and the places sampled from it, fixed by a seed: for each class ``REPEATS`` sets of ``SAMPLED`` steps."""
-
-    def __init__(self, classes: tuple[int, ...] = CLASSES, repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = 17):
-        rng = np.random.default_rng(seed)
-        self.classes, self.repeats = classes, repeats
-        self.steps = max(classes)
-        self.walk = _mix(rng.integers(1, 1 << 62, self.steps).astype(np.uint64))
-        self.at: dict[int, list[tuple[int, int]]] = {}  # step: (class and repeat, order of the place in its sample)
-        for c, low in enumerate(classes):
-            for r in range(repeats):
-                for k, step in enumerate(sorted(rng.choice(low, min(sampled, low), replace=False).tolist())):
-                    self.at.setdefault(step, []).append((c * repeats + r, k))
-
-    def embed(self, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of the windows at ``starts``: (class and repeat) x windows. Past the text's end the symbol is zero."""
-        padded = np.concatenate([w, np.zeros(self.steps + 1, np.uint64)])
-        at = starts.astype(np.int64).copy()
-        keys = np.tile(np.arange(1, len(self.classes) * self.repeats + 1, dtype=np.uint64)[:, None], (1, len(starts)))
-        with np.errstate(over="ignore"):
-            for step in range(self.steps):
-                symbol = padded[at]
-                for key, k in self.at.get(step, ()):
-                    keys[key] = (keys[key] ^ symbol) * _MULT + np.uint64(k)
-                # A bit of (step, word): repeat the word or pass on to the next.
-                at += ((symbol ^ self.walk[step]) * _MULT >> np.uint64(63)).astype(np.int64)
-        return keys
+def keys(w: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on that has as many."""
+    n = max(0, len(w) - size + 1)
+    found = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            found = (found ^ w[k : n + k]) * _MULT + np.uint64(k)
+    return _mix(found)
 
 
 @dataclass
 class Items:
-    """Items in memory: a bounded block of the benchmark, with the keys of their embeddings."""
+    """Items in memory: a bounded block of the benchmark, with the keys of their pieces."""
 
     ids: list[int]
     words: list[np.ndarray]
+    sizes: list[int]  # words of the keys
     keys: np.ndarray  # sorted
     owner: np.ndarray  # item of each key
-    offset: np.ndarray  # the item's word at which the embedding starts
+    offset: np.ndarray  # the item's word at which the piece starts
     seen: np.ndarray  # a bit for each 20-bit prefix of a key
-    walk: Keys
 
 
-def index(items: list[tuple[int, str]], walk: Keys) -> Items:
-    keys, owner, offset, texts = [], [], [], []
+def allowed(length: int, similarity: float = SIMILARITY) -> int:
+    """Edits that leave an item of ``length`` words similar."""
+    return int(length * (1 - similarity) + 1e-9)
+
+
+def pieces(length: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """(start, words) of one piece more than the item may have edits; together they cover it."""
+    n = min(allowed(length, similarity) + 1, length)
+    cuts = [length * i // n for i in range(n + 1)] if n else []
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def index(items: list[tuple[int, str]], similarity: float = SIMILARITY) -> Items:
+    made, owner, offset, texts, sizes = [], [], [], [], set()
     for n, (_, text) in enumerate(items):
         w = words(text)
         texts.append(w)
-        # A copy's first window starts at one of its first STRIDE words; later starts serve items
-        # whose first words are edited.
-        last = max(0, len(w) - walk.classes[0])
-        starts = sorted({o + s for s in range(STRIDE) for o in (0, len(w) // 4, len(w) // 2) if o + s <= last} | ({0} if len(w) else set()))
-        if not starts:
-            continue
-        made = walk.embed(w, np.array(starts))
-        for c, low in enumerate(walk.classes):
-            for i, o in enumerate(starts):
-                # The largest class that the rest of the item fills; the smallest also for short items.
-                fits = [k for k in range(len(walk.classes)) if walk.classes[k] <= len(w) - o] or [0]
-                if c == fits[-1]:
-                    for r in range(walk.repeats):
-                        keys.append(made[c * walk.repeats + r, i])
-                        owner.append(n)
-                        offset.append(o)
-    k = np.array(keys, np.uint64)
+        for start, size in pieces(len(w), similarity):
+            size = min(size, KEY_WORDS)
+            sizes.add(size)
+            made.append(keys(w[start : start + size], size)[0])
+            owner.append(n)
+            offset.append(start)
+    k = np.array(made, np.uint64)
     order = np.argsort(k, kind="stable")
     seen = np.zeros(1 << 20, bool)
     seen[(k >> np.uint64(44)).astype(np.int64)] = True
-    return Items([i for i, _ in items], texts, k[order], np.array(owner, np.int64)[order], np.array(offset, np.int64)[order], seen, walk)
-
-
-def allowed(length: int, similarity: float = SIMILARITY) -> int:
-    """Edits that leave an item of ``length`` words similar."""
-    return int(length * (1 - similarity) + 1e-9)
+    return Items([i for i, _ in items], texts, sorted(sizes), k[order], np.array(owner, np.int64)[order], np.array(offset, np.int64)[order], seen)
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -172,7 +145,7 @@ def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, in
 
 def scan(texts: list[np.ndarray], items: Items, similarity: float = SIMILARITY) -> list[list[tuple[int, int, int, int, int]]]:
     """For each text (item index, first word, end word, edits, item words) of the items found in it: the best stretch of each."""
-    gap = np.zeros(items.walk.steps + 1, np.uint64)
+    gap = np.zeros(1, np.uint64)
     out: list[list[tuple[int, int, int, int, int]]] = []
     group: list[np.ndarray] = []
     size = 0
@@ -186,22 +159,20 @@ def scan(texts: list[np.ndarray], items: Items, similarity: float = SIMILARITY)
 
 
 def _scan(group: list[np.ndarray], items: Items, similarity: float) -> list[list[tuple[int, int, int, int, int]]]:
-    """Texts (each followed by a gap that no walk crosses) are embedded together, ``WINDOWS`` at a time."""
+    """Texts, each followed by a gap that no piece holds, are looked up together."""
     texts, gap = group[::2], len(group[1])
     low = np.cumsum([0] + [len(w) + gap for w in texts])
     every = np.concatenate(group)
-    starts = np.concatenate([np.arange(a, a + len(w), STRIDE) for a, w in zip(low, texts)])
     found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
     tried: set[tuple[int, int, int]] = set()
-    for at in range(0, len(starts), WINDOWS):
-        part = starts[at : at + WINDOWS]
-        keys = items.walk.embed(every[part[0] : part[-1] + gap], part - part[0])
-        rows, cols = np.nonzero(items.seen[(keys >> np.uint64(44)).astype(np.int64)])
-        k = keys[rows, cols]
+    for size in items.sizes:
+        all_keys = keys(every, size)
+        at = np.flatnonzero(items.seen[(all_keys >> np.uint64(44)).astype(np.int64)])
+        k = all_keys[at]
         left, right = np.searchsorted(items.keys, k, "left"), np.searchsorted(items.keys, k, "right")
         hit = np.flatnonzero(left < right)
-        which = np.searchsorted(low, part[cols[hit]], side="right") - 1
-        for a, b, t, place in zip(left[hit].tolist(), right[hit].tolist(), which.tolist(), (part[cols[hit]] - low[which]).tolist()):
+        which = np.searchsorted(low, at[hit], side="right") - 1
+        for a, b, t, place in zip(left[hit].tolist(), right[hit].tolist(), which.tolist(), (at[hit] - low[which]).tolist()):
             for j in range(a, b):
                 n = int(items.owner[j])
                 guess = place - int(items.offset[j])
@@ -211,6 +182,9 @@ def _scan(group: list[np.ndarray], items: Items, similarity: float) -> list[list
                 item, w = items.words[n], texts[t]
                 most = allowed(len(item), similarity)
                 first = max(0, guess - most - STRIDE)
+                # Nothing further on is better than an unedited copy.
+                if n in found[t] and found[t][n][0] == 0 and found[t][n][1] <= first:
+                    continue
                 region = w[first : guess + len(item) + most + STRIDE]
                 # Every item word that the region lacks costs an edit.
                 if np.isin(item, region).sum() < len(item) - most:
@@ -247,9 +221,8 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _finder(docs: DataFrame, benchmark: DataFrame, similarity: float, repeats: int):
+def _finder(docs: DataFrame, benchmark: DataFrame, similarity: float):
     """A column expression from a text column to its hits, over all blocks of the benchmark."""
-    walk = Keys(repeats=repeats)
 
     def finder(shared):
         @F.pandas_udf(HITS)
@@ -260,26 +233,26 @@ def _finder(docs: DataFrame, benchmark: DataFrame, similarity: float, repeats: i
 
         return hits
 
-    found = [finder(docs.sparkSession.sparkContext.broadcast(index(block, walk))) for block in _blocks(benchmark, ITEM_BLOCK)]
+    found = [finder(docs.sparkSession.sparkContext.broadcast(index(block, similarity))) for block in _blocks(benchmark, ITEM_BLOCK)]
     return lambda text: F.concat(*[h(text) for h in found]) if found else F.lit(None).cast(HITS)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, contaminated, n_items and hits (item_id, first_word, end_word, edits, similarity) of every document.
 
     A document is contaminated if a stretch of it is within (1 - similarity) x item words edits of
     an item. Defined cases: null and empty texts, and empty items, have no hits; an item shorter
-    than five words must be there unedited; copies of an item in one text count once, at the best
+    than five words must be there unedited; no stretch within the edits is missed; copies of an item in one text count once, at the best
     stretch; equal item ids with different texts are different items; no item: no hits; an empty
     table gives no rows; further columns are never read.
     """
-    hits = _finder(docs, benchmark, similarity, repeats)
+    hits = _finder(docs, benchmark, similarity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits(F.col("text")).alias("hits"))
     size = F.coalesce(F.size("hits"), F.lit(0))
     return rows.select("doc_id", (size > 0).alias("contaminated"), F.greatest(size, F.lit(0)).cast("long").alias("n_items"), "hits")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents in which no item is found; columns as they came."""
-    hits = _finder(docs, benchmark, similarity, repeats)
+    hits = _finder(docs, benchmark, similarity)
     return docs.where(F.coalesce(F.size(hits(F.col("text"))), F.lit(0)) <= 0)
