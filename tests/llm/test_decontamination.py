@@ -110,6 +110,12 @@ def found_in(docs, items):
     return lambda spark: {r["doc_id"]: {h["item_id"]: h["edits"] for h in r["hits"] or []} for r in dc.find(df(spark, docs, "doc_id long, text string"), df(spark, items, "item_id long, text string")).collect()}
 
 
+def test_short_items_are_found_at_every_word(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 10)}
+    docs = {10 * n + r: ["filler"] * (20 + r) + items[n] + ["after"] * 9 for n in items for r in range(4)}
+    assert found_in(docs, items)(spark) == {d: {d // 10: 0} for d in docs}
+
+
 def test_every_item_within_the_edits_is_found(spark):
     """Recall by length (5 to 120 words) at the largest number of edits, anywhere in the item, is whole."""
     rng = random.Random(5)
