@@ -67,3 +67,43 @@ def test_hard_cases(spark, make_docs):
     assert lic.scan(docs.limit(0)).count() == 0
     assert lic.scan(docs, templates=()).where("license is not null").count() == 0
     assert lic.scan(docs, templates=(("one", "mit"), ("none", "..."))).where("license is not null").count() == 0
+
+
+def test_licences_within_running_text(spark, tmp_path):
+    from thalweg.llm import catalog
+
+    mit, bsd = lic.TEMPLATES[2][1], lic.TEMPLATES[-1][1]
+    mit = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE SOFTWARE IS", "Software.\n\nTHE SOFTWARE IS")
+    bsd = bsd.replace("met: ", "met:\n\n").replace("disclaimer. ", "disclaimer.\n\n", 1)
+    assert mit.count("\n\n") == bsd.count("\n\n") == 2
+    filler = "\n".join("some plain words of a longer text that goes on and on" for _ in range(200))
+    long = " ".join(f"word{i}" for i in range(2000))
+    docs = [
+        (0, f"{long}\n\n{mit}\n\n{filler}", "MIT", 1),
+        (1, f"{long}\n\n{bsd}\n\n{long}", "BSD-2-Clause", 1),
+        (2, f"This package reads maps. Licensed under the MIT License. See the docs for more of it. {long}", "MIT", 1),
+        (3, f"{long} Licensed under CC BY 4.0. {long} This work is licensed under the GNU General Public License, version 3. {long}", "CC-BY-4.0", 2),
+        (4, f"{long}\nLicensed under the MIT License.\n{long}", "MIT", 1),
+        (5, f"{long} under the License {filler}", None, 0),
+    ]
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in catalog.queries()["op9_license_scan"](spark, str(tmp_path)).collect()}
+    assert [(got[d[0]]["license"], got[d[0]]["n_matches"]) for d in docs] == [d[2:] for d in docs]
+    assert all(got[i]["dice"] == 1.0 for i in range(5))
+
+
+def test_best_window_against_all_windows():
+    rng = random.Random(6)
+    scanner = lic.Scanner()
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(lic.TEMPLATES[:2] + lic.TEMPLATES[7:14])[1].split()
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(["the", "of the", "X", "under", ""])
+            text += [rng.choice(["plain", "the", "license"]) for _ in range(rng.randrange(6))] + words
+        w = lic.words(" ".join(text))
+        pairs = list(map(" ".join, zip(w, w[1:])))
+        scores = [lic.dice(set(pairs[a:b]), t) for a in range(len(pairs)) for b in range(a + 1, len(pairs) + 1) for _, _, t in scanner.sets]
+        want = max((d for d in scores if d >= lic.THRESHOLD), default=0.0)
+        assert max((m[1] for m in scanner.scan(" ".join(text), True)), default=0.0) == want

@@ -43,7 +43,7 @@ def op8_packing(spark, sf_dir):
 
 
 def op9_license_scan(spark, sf_dir):
-    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "n_matches")
+    return licences.scan(table(spark, sf_dir, "documents"), windows=True).select("doc_id", "license", "dice", "n_matches")
 
 
 def op10_simhash_dedup(spark, sf_dir):

@@ -3,6 +3,8 @@
 The units of a text are its lines, its paragraphs (runs of lines that are not blank) and the whole.
 A unit whose number of bigrams cannot reach the threshold with a template's is never compared with
 it: 2 min(a, b) / (a + b) bounds the coefficient, which leaves b within a factor (2 - t) / t of a.
+Windows slide over the whole text as well, so that a licence in the midst of a line, or over several
+paragraphs of a longer text, is found.
 """
 
 from __future__ import annotations
@@ -108,8 +110,50 @@ class Scanner:
                     found = (d, name)
         return found
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, first line, lines) of every unit that matches."""
+    def windows(self, each: list[list[str]], whole: set[str]) -> list[tuple[str, float, int, int]]:
+        """(licence, coefficient, first line, lines) of the best windows of words that match and don't overlap.
+
+        The best window starts and ends with a bigram of the template, and the first one is not there
+        again: a shorter window has a higher coefficient or the same bigrams. So no others are tried.
+        """
+        flat = [w for x in each for w in x]
+        line = [i for i, x in enumerate(each) for _ in x]
+        pairs = list(map(" ".join, zip(flat, flat[1:])))
+        found = []
+        for (size, name, t), (low, high) in zip(self.sets, self.bounds):
+            if len(whole & t) < self.threshold / 2 * (size + low) - 1e-6:
+                continue
+            at = [i for i, p in enumerate(pairs) if p in t]
+            for start in at:
+                seen: set[str] = set()
+                shared, best = 0, None
+                for end in range(start, len(pairs)):
+                    p = pairs[end]
+                    if p in seen:
+                        if p == pairs[start]:
+                            break
+                        continue
+                    seen.add(p)
+                    if len(seen) > high:
+                        break
+                    if p in t:
+                        shared += 1
+                        d = 2 * shared / (len(seen) + size)
+                        if d >= self.threshold and (best is None or d > best[0]):
+                            best = (d, end)
+                if best:
+                    found.append((-best[0], name, start, best[1]))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for d, name, start, end in sorted(found):
+            # Windows hold the words from start to end + 1.
+            if all(end + 1 < a or b + 1 < start for a, b in taken):
+                taken.append((start, end))
+                out.append((name, -d, line[start], line[end + 1] - line[start] + 1))
+        return out
+
+    def scan(self, text: str | None, windows: bool = False) -> list[tuple[str, float, int, int]]:
+        """(licence, coefficient, first line, lines) of every unit that matches, and of windows that no unit stands for."""
         lines = (text or "").split("\n")
         each = [words(x) for x in lines]
         # The whole's bigrams hold those of every unit.
@@ -133,13 +177,17 @@ class Scanner:
             found = self.best(s)
             if found:
                 out.append((found[1], found[0], first, n))
+        if windows:
+            covers = lambda u, m: u[0] == m[0] and u[1] >= m[1] and u[2] <= m[2] and m[2] + m[3] <= u[2] + u[3]
+            out += [m for m in self.windows(each, whole) if not any(covers(u, m) for u in out)]
         return sorted(out, key=lambda m: (m[2], m[3]))
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """doc_id, license, dice, n_matches and matches (license, dice, first_line, lines) of every document.
 
-    ``license`` is that of the highest coefficient, ties going to the first unit. Defined cases:
+    ``license`` is that of the highest coefficient, ties going to the first unit. With ``windows`` (as
+    in op9_license_scan) any run of words is compared too. Defined cases:
     null and empty texts, and texts without a match, have a null license, dice 0 and no matches; a
     template of fewer than two words is left out; a text of any length is compared whole;
     repeated ids give repeated rows; an empty table gives no rows; further columns are never read.
@@ -148,7 +196,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates, threshold)
         for b in batches:
-            found = [scanner.scan(t if isinstance(t, str) else None) for t in b["__text"]]
+            found = [scanner.scan(t if isinstance(t, str) else None, windows) for t in b["__text"]]
             top = [max(m, key=lambda x: x[1]) if m else (None, 0.0) for m in found]
             yield pd.DataFrame({"doc_id": b["doc_id"], "license": [t[0] for t in top], "dice": [t[1] for t in top], "n_matches": [len(m) for m in found], "matches": found})
 
