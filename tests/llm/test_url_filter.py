@@ -81,3 +81,12 @@ def test_empty_tables(spark):
     assert uf.judge(empty).count() == 0
     one = spark.createDataFrame([(1, "http://x.org/", None), (1, "http://x.org/", None)], "page_id long, url string, html string")
     assert [r["verdict"] for r in uf.judge(one).collect()] == ["allow"] * 2
+
+
+def test_rare_words_of_large_tables_stay_in_the_dictionary(spark):
+    common = "common " * 20_000
+    rows = [(i, "http://rareword.org/", common) for i in range(25)] + [(99, "http://zebraquokka9.rareword.org/7", "rare word <b>zebra</b> Quokka " + "x" * 30)]
+    got = {r["page_id"]: r["host_words"] for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "rare word org" for i in range(25)} | {99: "zebra quokka 9 rare word org"}
+    counts = {r["word"]: r["n"] for r in uf.dictionary(spark.createDataFrame(rows, "page_id long, url string, html string"), "html").collect()}
+    assert counts == {"common": 500_000, "rare": 1, "word": 1, "zebra": 1, "quokka": 1, "x" * 30: 1}

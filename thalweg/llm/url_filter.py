@@ -1,7 +1,8 @@
 """URL filters: rules first, then naive Bayes over words of the host and the path.
 
-Words run together in host names are split by a unigram Viterbi search, with word counts from the
-text of all pages. URLs that a rule judges teach a multinomial naive Bayes model, in a hashed table
+Words run together in host names are split by a unigram Viterbi search, with the counts of all words
+in the text of all pages. The counts stay in Spark: the substrings of the distinct parts of host names
+are joined with them, and each part is split once, with the counts that it met. URLs that a rule judges teach a multinomial naive Bayes model, in a hashed table
 of fixed size, which judges the rest.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 ALLOW, BLOCK = "allow", "block"
 RULES = (
     ("com/", ALLOW),
@@ -26,8 +29,7 @@ RULES = (
     ("net/es/", BLOCK),
     ("net/fr/", BLOCK),
 )
-#: A word enters the dictionary from this share of all words on, so it has 200 000 words at most.
-LEAST_SHARE = 5e-6
+#: Letters of a word of a host name, at most.
 LONGEST = 24
 SLOTS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,19 +55,10 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def dictionary(texts: DataFrame, column: str, least_share: float = LEAST_SHARE) -> tuple[dict[str, int], int]:
-    """Counts of the words that make up ``least_share`` of all words or more, over every whole text, and the number of all."""
+def dictionary(texts: DataFrame, column: str) -> DataFrame:
+    """word and n of every word of every whole text."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?s)<[^>]*>", " "))
-    counted = (
-        texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).where(f"word <> '' and char_length(word) <= {LONGEST}")
-        .groupBy("word").agg(F.count("*").alias("n"))
-    ).persist()
-    try:
-        total = counted.agg(F.sum("n")).first()[0] or 0
-        rows = counted.where(F.col("n") >= F.lit(max(1.0, least_share * total))).collect()
-    finally:
-        counted.unpersist()
-    return {r["word"]: r["n"] for r in rows}, total
+    return texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 @dataclass
@@ -74,15 +67,12 @@ class Segmenter:
 
     counts: dict[str, int]
     total: int
-    known: dict[str, list[str]] = field(default_factory=dict)
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word)
         return -math.log(n / self.total) if n else math.log(max(self.total, 1)) + 2.5 * len(word)
 
     def split(self, name: str) -> list[str]:
-        if name in self.known:
-            return self.known[name]
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             c, b = min((best[start] + self.cost(name[start:end]), start) for start in range(max(0, end - LONGEST), end))
@@ -93,15 +83,46 @@ class Segmenter:
             out.append(name[back[at] : at])
             at = back[at]
         out.reverse()
-        if len(self.known) >= 100_000:
-            self.known.clear()
-        self.known[name] = out
         return out
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host and of the path, marked by where they stand; numbers are one token."""
-        found = ["h:" + w for part in _PART.findall(host) for w in (["#"] if part.isdigit() else self.split(part))]
-        return found + ["p:" + ("#" if part.isdigit() else part) for part in _PART.findall(path.lower())]
+
+def tokens(host_words: list[str], path: str) -> list[str]:
+    """Words of the host and of the path, marked by where they stand; numbers are one token."""
+    return ["h:" + w for w in host_words] + ["p:" + ("#" if part.isdigit() else part) for part in _PART.findall(path.lower())]
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(h, i, p) for h in b["host"] for i, p in enumerate(_PART.findall(h))], columns=["host", "place", "part"])
+
+
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple[str, str]] = []
+    for b in batches:
+        for p in b["part"]:
+            rows += [(p, w) for w in {p[i:j] for i in range(len(p)) for j in range(i + 1, min(i + LONGEST, len(p)) + 1)}]
+            if len(rows) >= 50_000:
+                yield pd.DataFrame(rows, columns=["part", "word"])
+                rows = []
+    yield pd.DataFrame(rows, columns=["part", "word"])
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host and its words, in order, of every distinct host that has any; ``counts`` are all words (word, n)."""
+    counts = settle(counts, "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = settle(hosts.select("host").distinct().mapInPandas(_parts, "host string, place int, part string"), "parts")
+    names = settle(parts.select("part").distinct(), "names")
+    met = names.mapInPandas(_substrings, "part string, word string").join(counts, "word").groupBy("part").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("counts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            split = [["#"] if p.isdigit() else Segmenter(dict(zip(k, n)) if k is not None else {}, total).split(p) for p, k, n in zip(b["part"], b["known"], b["counts"])]
+            yield pd.DataFrame({"part": b["part"], "words": split})
+
+    split = names.join(met, "part", "left").mapInPandas(run, "part string, words array<string>")
+    inside = F.sort_array(F.collect_list(F.struct("place", "words")))
+    return parts.join(split, "part").groupBy("host").agg(F.flatten(F.transform(inside, lambda x: x["words"])).alias("words"))
 
 
 def slot(token: str) -> int:
@@ -128,29 +149,28 @@ class Bayes:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.prior + float(self.odds[slots].sum())))))
 
 
-def train(judged: DataFrame, words: Segmenter) -> Bayes:
-    """From rows with host, path and verdict; the counts that reach the driver are 2 x ``SLOTS`` whatever the input."""
-    shared = judged.sparkSession.sparkContext.broadcast(words)
+def train(judged: DataFrame) -> Bayes:
+    """From rows with words, path and verdict; the counts that reach the driver are 2 x ``SLOTS`` whatever the input."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             counts = np.zeros((2, SLOTS + 1), np.int64)
-            for host, path, verdict in zip(b["host"], b["path"], b["verdict"]):
+            for words, path, verdict in zip(b["words"], b["path"], b["verdict"]):
                 k = int(verdict == BLOCK)
                 counts[k, SLOTS] += 1
-                for t in shared.value.tokens(host, path):
+                for t in tokens(words, path):
                     counts[k, slot(t)] += 1
             k, at = np.nonzero(counts)
             yield pd.DataFrame({"k": k, "at": at, "n": counts[k, at]})
 
-    got = judged.select("host", "path", "verdict").mapInPandas(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
+    got = judged.select("words", "path", "verdict").mapInPandas(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, SLOTS + 1))
     for r in got:
         counts[r["k"], r["at"]] = r["n"]
     return Bayes.of(counts[:, :SLOTS], (int(counts[0, SLOTS]), int(counts[1, SLOTS])))
 
 
-def judge(pages: DataFrame, rules=RULES, words_from: str = "html", least_share: float = LEAST_SHARE) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, words_from: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of block by the model) and host_words of every url.
 
     Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule and get
@@ -161,16 +181,17 @@ def judge(pages: DataFrame, rules=RULES, words_from: str = "html", least_share:
     host, path = host_of(), path_of()
     rule, verdict = rule_of(host, path, rules)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("by_rule"))
-    words = Segmenter(*dictionary(pages, words_from, least_share))
-    model = train(rows.where("by_rule is not null").withColumnRenamed("by_rule", "verdict"), words)
-    shared = pages.sparkSession.sparkContext.broadcast((words, model))
+    words = host_words(rows, dictionary(pages, words_from))
+    rows = settle(rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "urls")
+    model = train(rows.where("by_rule is not null").withColumnRenamed("by_rule", "verdict"))
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            split, bayes = shared.value
-            tokens = [split.tokens(h, p) for h, p in zip(b["host"], b["path"])]
-            scores = [bayes.score([slot(t) for t in ts]) for ts in tokens]
+            bayes = shared.value
+            found = [tokens(w, p) for w, p in zip(b["words"], b["path"])]
+            scores = [bayes.score([slot(t) for t in ts]) for ts in found]
             verdicts = [r if isinstance(r, str) else (BLOCK if s > 0.5 else ALLOW) for r, s in zip(b["by_rule"], scores)]
-            yield b.drop(columns="by_rule").assign(verdict=verdicts, score=scores, host_words=[" ".join(t[2:] for t in ts if t[0] == "h") for ts in tokens])
+            yield b.drop(columns=["by_rule", "words"]).assign(verdict=verdicts, score=scores, host_words=[" ".join(w) for w in b["words"]])
 
     return rows.mapInPandas(run, "page_id long, host string, path string, rule string, verdict string, score double, host_words string")
