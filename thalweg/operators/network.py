@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +36,79 @@ def snapped(segments: DataFrame, distance: float = 2.0) -> DataFrame:
     return met.where(near & (F.col("seg_id") != F.col("up_seg_id"))).select("basin_id", "seg_id", "up_seg_id")
 
 
-def weights(segments: DataFrame, links: DataFrame, limit: int = 200) -> DataFrame:
+def weights(segments: DataFrame, links: DataFrame) -> DataFrame:
     """basin_id, seg_id, weight: the longest way up from each segment, itself included.
 
-    Lengths are relaxed until none grows. A network without cycles is done after as many rounds as
-    segments follow each other; on a cycle it stops after ``limit`` rounds with what it has.
+    Segments without open links are done and pass their weight down; a link to a segment with one
+    open link is drawn on to that one's upstream segment, so a path of any length takes about log2
+    rounds. Every round ends a segment unless only those on cycles, or below them, are left; these
+    are walked as the reference does (``_cut_cycles``).
     """
-    own = segments.select("basin_id", "seg_id", F.col("len_m").cast("double").alias("len_m"))
-    up = cut(links, "links")
-    state = cut(own.withColumn("weight", F.col("len_m")), "weights")
-    total = None
-    for _ in range(limit):
-        above = up.join(state.select("basin_id", F.col("seg_id").alias("up_seg_id"), F.col("weight").alias("w")), ["basin_id", "up_seg_id"])
-        best = above.groupBy("basin_id", "seg_id").agg(F.max("w").alias("w"))
-        state = cut(state.join(best, ["basin_id", "seg_id"], "left").select("basin_id", "seg_id", "len_m", (F.col("len_m") + F.coalesce("w", F.lit(0.0))).alias("weight")), "weights")
-        now = state.agg(F.sum(F.col("weight").cast("decimal(30,6)"))).first()[0]
-        if now == total:
+    key = ["basin_id", "seg_id"]
+    above = lambda df, *rest: df.select("basin_id", F.col("seg_id").alias("up_seg_id"), *rest)
+    own = cut(segments.select(*key, F.col("len_m").cast("double").alias("len_m")), "segments")
+    open_links = links.select(*key, "up_seg_id").distinct().join(above(own), ["basin_id", "up_seg_id"], "left_semi")
+    every = cut(open_links.join(own, key).select(*key, "up_seg_id", F.col("len_m").alias("d")), "links")
+    # The weight of a node: the most of ``c`` and, over its open links, d + the weight above.
+    edges, nodes, done = every, own.withColumnRenamed("len_m", "c"), []
+    more = lambda gain: cut(nodes.join(gain, key, "left").select(*key, F.greatest("c", "g").alias("c")), "nodes")
+    for _ in range(own.count() + 1):
+        now = cut(nodes.join(edges.select(*key).distinct(), key, "left_anti").select(*key, F.col("c").alias("weight")), "done")
+        if now.isEmpty():
             break
-        total = now
-    return state.select("basin_id", "seg_id", "weight")
+        done.append(now)
+        met = cut(edges.join(above(now, "weight", F.lit(True).alias("ready")), ["basin_id", "up_seg_id"], "left"), "met")
+        nodes = nodes.join(edges.select(*key).distinct(), key, "left_semi")
+        nodes = more(met.where("ready").groupBy(*key).agg(F.max(F.col("weight") + F.col("d")).alias("g")))
+        rest = met.where("ready is null").select(*key, "up_seg_id", "d")
+        single = rest.groupBy(*key).agg(F.count("*").alias("n"), F.max("up_seg_id").alias("next"), F.max("d").alias("d2")).where("n = 1").join(nodes, key)
+        met = cut(rest.join(above(single, "next", "d2", F.col("c").alias("cu")), ["basin_id", "up_seg_id"], "left"), "met")
+        nodes = more(met.where("next is not null").groupBy(*key).agg(F.max(F.col("cu") + F.col("d")).alias("g")))
+        drawn = met.select(*key, F.coalesce("next", "up_seg_id").alias("up_seg_id"), F.when(F.col("next").isNotNull(), F.col("d") + F.col("d2")).otherwise(F.col("d")).alias("d"))
+        edges = cut(drawn.groupBy(*key, "up_seg_id").agg(F.max("d").alias("d")), "links")
+    else:
+        raise RuntimeError("river weights did not settle")
+    known = reduce(DataFrame.unionByName, done, own.select(*key, F.col("len_m").alias("weight")).limit(0))
+    if nodes.isEmpty():
+        return known
+    return known.unionByName(_cut_cycles(nodes.select(*key).join(own, key), every, known))
+
+
+def _cut_cycles(rest: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """Weights of segments on cycles or below them: depth first by seg_id, a segment that is met on its own way up counts its length only.
+
+    The result depends on that order, so a basin's part of such segments is walked as one group.
+    """
+    key = ["basin_id", "seg_id"]
+    state = known.select("basin_id", F.col("seg_id").alias("up_seg_id"), "weight", F.lit(True).alias("ready"))
+    met = links.join(rest.select(*key), key, "left_semi").join(state, ["basin_id", "up_seg_id"], "left")
+    ups = met.groupBy(*key).agg(F.max("weight").alias("most"), F.sort_array(F.collect_list(F.when(F.col("ready").isNull(), F.col("up_seg_id")))).alias("ups"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg_id")
+        length, most, up = (dict(zip(pdf["seg_id"], pdf[c])) for c in ("len_m", "most", "ups"))
+        found: dict[int, float] = {}
+        for first in pdf["seg_id"]:
+            way, inside = [], set()
+            if first not in found:
+                way, inside = [[first, 0, most[first]]], {first}
+            while way:
+                at, i, best = way[-1]
+                if i < len(up[at]):
+                    u = up[at][i]
+                    if u not in found and u not in inside:
+                        inside.add(u)
+                        way.append([u, 0, most[u]])
+                        continue
+                    w = found[u] if u in found else length[u]
+                    way[-1][1:] = [i + 1, w if best != best or w > best else best]
+                else:
+                    found[at] = length[at] + (0.0 if best != best else best)
+                    way.pop()
+        return pdf[["basin_id", "seg_id"]].assign(weight=pdf["seg_id"].map(found))
+
+    rows = rest.join(ups, key).withColumn("most", F.coalesce("most", F.lit(float("nan"))))
+    return rows.groupBy("basin_id").applyInPandas(walk, known.schema)
 
 
 def main_river(segments: DataFrame, links: DataFrame, weighed: DataFrame | None = None, limit: int = 64) -> DataFrame:
