@@ -1,4 +1,10 @@
-"""Removal of passages that occur elsewhere: sampled suffixes, names by sorting, and comparison of neighbours.
+"""Removal of passages that occur elsewhere: windows sampled by their smallest gram, and groups of equal hashes.
+
+This is not a suffix array: nothing is sorted, ranked or merged, and no neighbours are compared.
+Minimizer sampling with hash grouping replaces it, because removal asks only whether a window of
+``LENGTH`` bytes occurs again, not for its rank. A suffix array would give right results too. Names
+are hashes: of a triple 64 bits within a 64-bit gram hash, of a core 128 bits; a collision in both
+would take unequal windows for equal.
 
 Two equal ``LENGTH``-byte strings must be compared from a place sampled in both. A fixed difference
 cover modulo v gives such a place for any two positions, at a density of about 1 / sqrt(v); here
@@ -6,14 +12,12 @@ the cover is chosen by content: every window of ``LENGTH`` bytes samples the pla
 hashed ``GRAM``-gram (leftmost of equals). Equal windows sample the same place, so the property of
 a difference cover holds where it is needed, at a density of 2 / (LENGTH - GRAM + 2).
 
-The steps are those of a distributed difference-cover sort, with ranks bounded to ``LENGTH`` bytes:
-
-1. Sampled suffixes are named by triples (bytes before the place, its gram, bytes after it): the
-   gram's name is the sort key, the whole triple's name tells its members apart.
-2. Names recurse: a gram whose triples differ is cut into blocks of ``BLOCK`` windows, each again a
-   triple (left rest, core common to the block's windows, right rest) under an exact or 128-bit name.
-3. The remaining suffixes, single windows, are merged in under (their rest, the core's name).
-4. Neighbours in the order of names are compared: a window is repeated if its name is.
+1. A sampled place has a triple (bytes before the place, its gram, bytes after it): rows are grouped
+   by the gram's hash, and by the whole triple's hash within it.
+2. A gram whose triples differ is cut into blocks of ``BLOCK`` windows, each again a triple (left
+   rest, core common to the block's windows, right rest) under an exact or 128-bit name.
+3. The remaining single windows are grouped by (their rest, the core's name).
+4. A window is repeated if its name is counted more than once.
 
 What a level leaves undecided is all that the next one sees. Copies of a triple go on as one.
 """
