@@ -109,7 +109,7 @@ def test_large_families_are_compared_whole(spark):
 
 def test_bitmaps_never_rule_out_a_similar_pair(spark):
     lines = ["abcdefghij" * 3, "a", "the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy cat", "éèêü " * 30]
-    once = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    once = spark.createDataFrame(list(enumerate(lines)), "id long, norm string").selectExpr("id", "encode(norm, 'UTF-16BE') as wide")
     got = {r["id"]: r for r in ld.bitmaps(once).collect()}
     for i, a in enumerate(lines):
         assert got[i]["size"] == len(shingles(a))
@@ -117,3 +117,44 @@ def test_bitmaps_never_rule_out_a_similar_pair(spark):
             off = sum(bin((got[i][f"w{k}"] ^ got[j][f"w{k}"]) & (1 << 64) - 1).count("1") for k in range(ld.LONGS))
             assert off <= len(shingles(a) ^ shingles(b))
             assert i == j or off > 0
+
+
+def test_pairs_apart_in_one_family_are_all_found(spark):
+    """Pairs at 0.99 within a family whose members are otherwise below the threshold of each other."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(60)]
+    docs = {}
+    for i in range(200):
+        line = list(base)
+        for _ in range(5):
+            line[rng.randrange(60)] = rng.choice(words)
+        docs[2 * i], docs[2 * i + 1] = " ".join(line), " ".join(line) + "q"
+    got = ld.near_duplicate_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    expected = brute(docs)
+    assert len(set(expected.values())) > 100
+    assert {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in got} == expected
+
+
+def test_long_lines_are_compared_as_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30)) for _ in range(6)]
+    docs = {i: t for i, t in enumerate(texts + [t[:-9] + "zzz" for t in texts] + ["short one", "short one!"])}
+    monkeypatch.setattr(ld, "LONG", 40)
+    got = ld.near_duplicate_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in got} == brute(docs)
+
+
+def test_hubs_join_every_band(spark, monkeypatch):
+    monkeypatch.setattr(ld, "STAR", 4)
+    met = spark.createDataFrame([(1, i, 0, 40) for i in range(40)] + [(2, 50, 50, 2), (2, 51, 50, 2)], "band long, id long, low long, n long")
+    pairs = [(r["a"], r["b"]) for r in ld.hubs(met).collect()]
+    root = {i: i for i in [*range(40), 50, 51]}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in pairs:
+        root[find(b)] = find(a)
+    assert len({find(i) for i in range(40)}) == 1 and find(50) == find(51) != find(0)
+    assert max(sum(a == i for a, _ in pairs) for i in range(40)) < 25

@@ -14,11 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a local session gets one of its own; on a cluster that is an error, since
+    executors elsewhere could not reach it.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
+        found = context.getCheckpointDir()
     return found
 
 
@@ -30,7 +37,17 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.settled_at = path
+    return found
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete the folders of settled steps that nothing reads any more."""
+    for df in settled:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -65,16 +82,19 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        pairs = settle(small, "edges")
+        last, pairs = pairs, settle(small, "edges")
+        forget(last)
         after = _digest(pairs)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+    found = pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+    found.settled_at = pairs.settled_at
+    return found
 
 
 def _digest(pairs: DataFrame) -> tuple:

@@ -4,7 +4,8 @@ Distinct normalised lines are cut into character shingles; the minima of the shi
 several permutations make a signature; bands of it bring candidates together; the exact Jaccard
 similarity of the shingle sets decides; a distributed union-find makes components, of which the
 first line in document order stays. All pairs of a band of any size are compared, except those that
-other links join already and those whose bitmaps prove them dissimilar.
+other links join already and those whose bitmaps prove them dissimilar. A character is a UTF-16
+unit throughout.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, forget, settle
 
 #: Characters of a shingle; minima of a signature; links need this similarity.
 SHINGLE = 8
@@ -24,11 +25,15 @@ MINIMA = 20
 BANDS = [[4 * b + r for r in range(4)] for b in range(5)] + [[b + 5 * r for r in range(4)] for b in range(5)]
 #: Places that one exploded row stands for.
 STEP = 8
-#: Members of a band that are all compared with each other at once.
-SMALL = 12
-#: Members of a block of a larger band; longs of a line's bitmap.
+#: A line in UTF-16, where a place is a fixed offset, and the last place where a shingle begins.
+_WIDE = "encode(norm, 'UTF-16BE')"
+_LAST = f"greatest(length(wide) div 2 - {SHINGLE}, 0L)"
+#: Members of a band that share one hub; members of a block of a band; longs of a line's bitmap.
+STAR = 1024
 BLOCK = 256
 LONGS = 16
+#: A line of more UTF-16 units is compared shingle by shingle, as rows.
+LONG = 1 << 16
 SIMILARITY = 0.8
 
 
@@ -62,20 +67,19 @@ def _mask(i: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """id, key and norm of each distinct line, as a table bucketed by key: later steps by key need no exchange."""
+def distinct_lines(lines: DataFrame) -> tuple[DataFrame, str]:
+    """id, key and norm of each distinct line, as a table bucketed by key (later steps by key need no exchange), and its name."""
     spark = lines.sparkSession
     once = lines.select("key", "norm").dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id())
     name = f"distinct_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once.write.format("parquet").bucketBy(buckets, "key").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def signatures(once: DataFrame) -> DataFrame:
     """id and the minima of each line's shingle hashes; a line shorter than a shingle is one."""
-    wide = once.select("key", "id", F.expr("encode(norm, 'UTF-16BE')").alias("wide"))
-    sized = wide.withColumn("last", F.expr(f"greatest(length(wide) div 2 - {SHINGLE}, 0L)"))
+    sized = once.select("key", "id", F.expr(_WIDE).alias("wide")).withColumn("last", F.expr(_LAST))
     # A row for each STEP places: exploding each place would cost more than its hash.
     rows = sized.select("key", "id", "wide", "last", F.explode(F.expr(f"sequence(0L, last, {STEP}L)")).alias("at"))
     hashes = rows.select("key", "id", *[_shingle_hash(j).alias(f"h{j}") for j in range(STEP)])
@@ -92,38 +96,36 @@ def bands(once: DataFrame) -> DataFrame:
     return dealt.join(ends, "band").select("band", "id", "low", "n")
 
 
-def _pair(x: Column, y: Column) -> Column:
-    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+def hubs(met: DataFrame) -> DataFrame:
+    """Pairs ``a`` (a hub) and ``b``: every line of a band with the band's smallest id.
 
-
-def further_pairs(met: DataFrame) -> DataFrame:
-    """Pairs (``a`` < ``b``) within bands, beside those with the smallest id.
-
-    The members of a band of up to ``SMALL`` all meet each other. In a larger one every member meets
-    two, drawn anew for each band, so a band of any size gives two pairs for each member; what they
-    leave apart is left to ``crowded``.
+    A band of more than ``STAR`` lines is dealt by hash into blocks with hubs of their own, which
+    meet the band's; no line is the hub of more than ``STAR`` or so lines of a band.
     """
-    rank = F.col("id").bitwiseXOR(F.col("band"))  # the band's own bits order the ids anew in every band
-    large = met.where(F.col("n") > SMALL)
-    ends = large.groupBy("band").agg(F.min(rank).bitwiseXOR(F.col("band")).alias("x"), F.max(rank).bitwiseXOR(F.col("band")).alias("y"))
-    drawn = large.join(ends, "band").select(F.explode(F.array(_pair(F.col("id"), F.col("x")), _pair(F.col("id"), F.col("y")))).alias("p"))
-    few = met.where((F.col("n") > 2) & (F.col("n") <= SMALL)).groupBy("band").agg(F.collect_list("id").alias("ids"))
-    each = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: _pair(x, y))))).alias("p"))
-    return drawn.unionByName(each).select("p.a", "p.b").where("a <> b").distinct()
+    few = met.where(F.col("n") <= STAR).select(F.col("low").alias("a"), F.col("id").alias("b"))
+    many = met.where(F.col("n") > STAR).withColumn("block", F.expr(f"pmod(xxhash64(id), ceil(n / {STAR}))"))
+    local = many.groupBy("band", "block").agg(F.min("id").alias("hub"), F.min("low").alias("low"))
+    spread = many.join(local.select("band", "block", "hub"), ["band", "block"]).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    return few.unionByName(spread).unionByName(local.select(F.col("low").alias("a"), F.col("hub").alias("b"))).where("a <> b").distinct()
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """id, size (number of shingles) and the bitmap of each line: a shingle flips one of its bits.
+    """id, size (number of shingles) and the bitmap of each line (``id``, ``wide``): a shingle flips one of its bits.
 
     Sets that differ in d shingles have bitmaps that differ in d bits at most, so bitmaps never
     rule out a similar pair.
     """
-    shingle = f"if(char_length(norm) <= {SHINGLE}, array(norm), regexp_extract_all(norm, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
-    each = lines.select("id", F.explode(F.expr(f"array_distinct({shingle})")).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    each = shingle_rows(lines)
     bit = lambda j: F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & {LONGS - 1} = {j}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{j}")
     return each.groupBy("id").agg(F.count("*").alias("size"), *[bit(j) for j in range(LONGS)])
 
 
+def shingle_rows(lines: DataFrame) -> DataFrame:
+    """id and h, one row for each different shingle of a line."""
+    places = lines.withColumn("at", F.explode(F.expr(f"sequence(0L, {_LAST})")))
+    return places.select("id", F.expr(f"xxhash64(substring(wide, cast(2 * at + 1 as int), {2 * SHINGLE}))").alias("h")).distinct()
+
+
 def _spanning(members: DataFrame) -> DataFrame:
     """The members of bands that hold more than one component."""
     ends = members.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
@@ -154,87 +156,93 @@ def candidates(members: DataFrame, bits: DataFrame, similarity: float) -> DataFr
     return met.select(pick("xid", "yid", "a"), pick("yid", "xid", "b"), pick("xroot", "yroot", "ra"), pick("yroot", "xroot", "rb"), F.expr(off).alias("off"))
 
 
-def crowded(met: DataFrame, roots: DataFrame, once: DataFrame, similarity: float) -> list[DataFrame]:
-    """Links between the members of large bands that lie in different components (``roots``).
+def crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> list[DataFrame]:
+    """Links between the members of bands that lie in different components (``roots``).
 
-    The first rounds verify the nearest pair of every two components, then sixteen of them; the last
-    one verifies all pairs of components that are still apart.
+    The first round verifies the nearest pair of every two components; the second one verifies all
+    pairs of components that are still apart.
     """
-    named = met.where(F.col("n") > SMALL).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    named = met.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left")
     members = settle(_spanning(named.select("band", "id", "n", F.coalesce("root", "id").alias("root"))), "crowd")
     links: list[DataFrame] = []
     if members.isEmpty():
+        forget(members)
         return links
-    bits = settle(bitmaps(once.select("id", "norm").join(members.select("id").distinct(), "id", "left_semi")), "bitmaps")
-    for most in (1, 16, None):
-        pairs = candidates(members, bits, similarity)
-        if most:
-            two = [F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("of")]
-            pairs = pairs.groupBy(*two).agg(F.min(F.struct("off", "a", "b")).alias("p")).select("p.a", "p.b")
-        links.append(settle(verified(pairs.select("a", "b").distinct(), once, similarity), "crowd"))
-        if not most:
-            break
-        of = members.select("id", "root").distinct()
-        joined = links[-1].join(of.select(F.col("id").alias("ia"), F.col("root").alias("a0")), "ia").join(of.select(F.col("id").alias("ib"), F.col("root").alias("b0")), "ib")
-        moved = components(joined.select(F.col("a0").alias("a"), F.col("b0").alias("b")))
-        now = members.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-        members = settle(_spanning(now.select("band", "id", "n", F.coalesce("to", "root").alias("root"))), "crowd")
-        if members.isEmpty():
-            break
+    bits = settle(bitmaps(lines.join(members.select("id").distinct(), "id", "left_semi")), "bitmaps")
+    pairs = candidates(members, bits, similarity)
+    nearest = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("off", "a", "b")).alias("p"))
+    links.append(settle(verified(nearest.select("p.a", "p.b").distinct(), lines, similarity), "crowd"))
+    of = members.select("id", "root").distinct()
+    ends = links[0].join(of.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    now = members.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    apart = settle(_spanning(now.select("band", "id", "n", F.coalesce("to", "root").alias("root"))), "crowd")
+    rest = candidates(apart, bits, similarity).select("a", "b").distinct()
+    links.append(settle(verified(rest, lines, similarity), "crowd"))
+    forget(members, bits, moved, apart)
     return links
 
 
 def linked(once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (``a``, ``b``, digests) that connect similar lines.
+    """``node`` and ``root`` (ids): the components of lines that are linked by similarity.
 
-    Every line is first compared with the smallest of its bands; of the further pairs only those
-    are compared that these links leave apart, and of large bands then all pairs that are still apart.
+    Every line is first compared with the hubs of its bands; then all pairs of a band that these
+    links leave apart are, whatever the band's size.
     """
     met = settle(bands(once), "bands")
-    star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = settle(verified(star, once, similarity), "first")
-    roots = components(first.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    apart = (
-        further_pairs(met).join(star, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        .where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    )
-    links = [first, settle(verified(apart, once, similarity), "further")]
-    if not met.where(F.col("n") > SMALL).isEmpty():
-        both = components(links[0].unionByName(links[1]).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-        links += crowded(met, both, once, similarity)
-    return reduce(DataFrame.unionByName, [x.select("a", "b") for x in links])
-
-
-def verified(pairs: DataFrame, once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (``a`` and ``b`` as digests, ``ia`` and ``ib`` as ids) whose shingle sets are similar."""
-    keys = once.select("id", "key")
-    named = (
-        pairs.join(keys.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a")
-        .join(keys.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
-        .select("ka", "kb", "a", "b")
-    )
-    texts = once.select("key", "norm")
-    both = named.join(texts.withColumnsRenamed({"key": "ka", "norm": "na"}), "ka").join(texts.withColumnsRenamed({"key": "kb", "norm": "nb"}), "kb")
-    # All shingles of a line in one pass; a line shorter than a shingle is one.
-    sets = {s: F.expr(f"if(char_length(n{s}) <= {SHINGLE}, array(n{s}), regexp_extract_all(n{s}, '(?s)(?=(.{{{SHINGLE}}}))', 1))") for s in "ab"}
-    cut = both.select("ka", "kb", "a", "b", sets["a"].alias("sa"), sets["b"].alias("sb"))
+    sharing = met.select("id").distinct()
+    lines = settle(once.join(sharing, "id", "left_semi").select("id", F.expr(_WIDE).alias("wide")), "lines")
+    first = settle(verified(hubs(met), lines, similarity), "links")
+    roots = components(first)
+    more = crowded(met, roots, lines, similarity)
+    if more:
+        last, roots = roots, components(reduce(DataFrame.unionByName, more, first))
+        forget(last)
+    forget(met, lines, first, *more)
+    return roots
+
+
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (ids ``a`` and ``b``) whose sets of shingles are similar; ``lines`` holds ``id`` and ``wide``."""
+    short, long = lines.where(f"length(wide) <= {2 * LONG}"), lines.where(f"length(wide) > {2 * LONG}")
+    side = lambda s: short.select(F.col("id").alias(s), F.col("wide").alias(f"w{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    hashes = f"transform(sequence(0, cast({_LAST} as int)), i -> xxhash64(substring(wide, 2 * i + 1, {2 * SHINGLE})))"
+    cut = both.select("a", "b", *[F.expr(f"array_distinct({hashes})".replace("wide", f"w{s}")).alias(f"s{s}") for s in "ab"])
     # A filter on columns would be pushed below the projection that cuts the shingles and cut them anew for
     # each mention; a filtered one-element array is not.
-    sizes = F.struct(F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size(F.array_distinct("sa")) + F.size(F.array_distinct("sb"))).alias("both"))
+    sizes = F.struct(F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
     similar = F.filter(F.array(sizes), lambda m: m["common"] >= similarity * (m["both"] - m["common"]))
-    return cut.select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.col("a").alias("ia"), F.col("b").alias("ib"), F.explode(similar)).drop("col")
+    found = cut.select("a", "b", F.explode(similar)).select("a", "b")
+    if long.isEmpty():
+        return found
+    ids = long.select("id").distinct()
+    rare = settle(
+        pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(pairs.join(ids.withColumnRenamed("id", "b"), "b", "left_semi")).distinct(), "long"
+    )
+    wanted = rare.select(F.col("a").alias("id")).unionByName(rare.select(F.col("b").alias("id"))).distinct()
+    rows = settle(shingle_rows(lines.join(wanted, "id", "left_semi")), "shingles")
+    size = lambda s: rows.groupBy(F.col("id").alias(s)).agg(F.count("*").alias(f"n{s}"))
+    common = (
+        rare.join(rows.withColumnRenamed("id", "a"), "a").join(rows.withColumnRenamed("id", "b"), ["b", "h"])
+        .groupBy("a", "b").agg(F.count("*").alias("common"))
+    )
+    alike = common.join(size("a"), "a").join(size("b"), "b").where(f"common >= {similarity}D * (na + nb - common)")
+    return found.unionByName(alike.select("a", "b"))
 
 
 def _decided(lines: DataFrame, similarity: float) -> DataFrame:
     """uid, doc_id, line_no, keep (struct of doc_id, uid, line_no) of every line that is not blank."""
     rows = _keyed(lines)
-    once = distinct_lines(rows)
-    roots = components(linked(once, similarity))
-    places = settle(rows.select("uid", "doc_id", "line_no", "key"), "lines")
+    once, name = distinct_lines(rows)
+    roots = linked(once, similarity)
+    places = settle(rows.select("uid", "doc_id", "line_no", "key"), "places")
     # Copies first fold to the first place of each digest, then of each component.
     first = places.groupBy("key").agg(F.min(F.struct("doc_id", "uid", "line_no")).alias("first"))
-    named = settle(first.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "named")
+    ids = first.join(once.select("key", "id"), "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    named = settle(ids.select("key", "first", F.coalesce("root", "id").alias("root")), "named")
+    lines.sparkSession.sql(f"DROP TABLE {name}")
+    forget(roots)
     keep = named.groupBy("root").agg(F.min("first").alias("keep"))
     by_key = named.join(keep, "root").select("key", "keep")
     return places.join(by_key, "key").select("uid", "doc_id", "line_no", "keep")
