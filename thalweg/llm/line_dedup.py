@@ -32,6 +32,8 @@ _LAST = f"greatest(length(wide) div 2 - {SHINGLE}, 0L)"
 STAR = 1024
 BLOCK = 256
 LONGS = 16
+#: Members of a band whom all its others meet, before all pairs that are still apart do.
+DRAWN = 8
 #: A line of more UTF-16 units is compared shingle by shingle, as rows.
 LONG = 1 << 16
 SIMILARITY = 0.8
@@ -132,8 +134,33 @@ def _spanning(members: DataFrame) -> DataFrame:
     return members.join(ends, "band", "left_semi")
 
 
+def _near(similarity: float) -> str:
+    """Whether the pair of lines x and y lies in different components and its bitmaps do not rule it out."""
+    off = " + ".join(f"bit_count(xw{k} ^ yw{k})" for k in range(LONGS))
+    # |a - b| + |b - a| is at most this share of |a| + |b| where the similarity is reached.
+    share = (1 - similarity) / (1 + similarity)
+    return f"xroot <> yroot and least(xsize, ysize) >= {similarity}D * greatest(xsize, ysize) - 1e-6 and {off} <= {share}D * (xsize + ysize) + 1e-6"
+
+
+def _as_side(lines: DataFrame, side: str) -> DataFrame:
+    return lines.select(*[F.col(c).alias(c if c in ("band", "i", "j") else side + c) for c in lines.columns])
+
+
+_ORDERED = ("least(xid, yid) as a", "greatest(xid, yid) as b")
+
+
+def drawn_pairs(members: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """a and b: the members of each band with ``DRAWN`` of them, in different components and not ruled out by bitmaps."""
+    lows = [F.min(F.col("id").bitwiseXOR(F.lit(_mask(k)))).bitwiseXOR(F.lit(_mask(k))) for k in range(DRAWN)]
+    drawn = members.groupBy("band").agg(*[low.alias(f"d{k}") for k, low in enumerate(lows)])
+    hub = drawn.select("band", F.explode(F.array(*[f"d{k}" for k in range(DRAWN)])).alias("id")).distinct()
+    full = members.select("id", "root").distinct().join(bits, "id")
+    x, y = _as_side(hub.join(full, "id"), "x"), _as_side(members.select("band", "id").join(full, "id"), "y")
+    return x.join(y, "band").where(_near(similarity)).selectExpr(*_ORDERED).distinct()
+
+
 def candidates(members: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
-    """a, b, ra, rb and off (bits that differ) of the pairs of a band in different components that bitmaps do not rule out.
+    """a and b of all pairs of a band in different components that bitmaps do not rule out.
 
     A band is dealt into blocks by the ids' hash and each pair of blocks is a join of its own, so no
     task holds more than two blocks at once.
@@ -141,46 +168,34 @@ def candidates(members: DataFrame, bits: DataFrame, similarity: float) -> DataFr
     blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")).join(bits, "id")
     columns = ["id", "root", "size", *[f"w{k}" for k in range(LONGS)]]
-    side = lambda p, others, i, j: (
-        dealt.withColumn("other", F.explode(F.expr(others))).select("band", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(p + c) for c in columns])
-    )
+    deal = lambda others, i, j: dealt.withColumn("other", F.explode(F.expr(others))).select("band", F.col(i).alias("i"), F.col(j).alias("j"), *columns)
     # The first side is repeated for every block from its own on, the second for every one up to it.
-    x, y = side("x", "sequence(block, blocks - 1)", "block", "other"), side("y", "sequence(0, block)", "other", "block")
-    off = " + ".join(f"bit_count(xw{k} ^ yw{k})" for k in range(LONGS))
-    # |a - b| + |b - a| is at most this share of |a| + |b| where the similarity is reached.
-    share = (1 - similarity) / (1 + similarity)
-    near = F.expr(f"xroot <> yroot and (i < j or xid < yid) and least(xsize, ysize) >= {similarity}D * greatest(xsize, ysize) - 1e-6 and {off} <= {share}D * (xsize + ysize) + 1e-6")
-    met = x.join(y, ["band", "i", "j"]).where(near)
-    swap = F.expr("xid > yid")
-    pick = lambda p, q, c: F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c)
-    return met.select(pick("xid", "yid", "a"), pick("yid", "xid", "b"), pick("xroot", "yroot", "ra"), pick("yroot", "xroot", "rb"), F.expr(off).alias("off"))
+    x, y = _as_side(deal("sequence(block, blocks - 1)", "block", "other"), "x"), _as_side(deal("sequence(0, block)", "other", "block"), "y")
+    return x.join(y, ["band", "i", "j"]).where(F.expr(f"(i < j or xid < yid) and {_near(similarity)}")).selectExpr(*_ORDERED).distinct()
 
 
 def crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, similarity: float) -> list[DataFrame]:
     """Links between the members of bands that lie in different components (``roots``).
 
-    The first round verifies the nearest pair of every two components; the second one verifies all
-    pairs of components that are still apart.
+    First every member meets the same few drawn ones of its band, which joins large families at a
+    cost in proportion to their size; then all pairs of components that are still apart are compared.
     """
-    named = met.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    named = met.where("n > 2").select("band", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
     members = settle(_spanning(named.select("band", "id", "n", F.coalesce("root", "id").alias("root"))), "crowd")
-    links: list[DataFrame] = []
     if members.isEmpty():
         forget(members)
-        return links
+        return []
     bits = settle(bitmaps(lines.join(members.select("id").distinct(), "id", "left_semi")), "bitmaps")
-    pairs = candidates(members, bits, similarity)
-    nearest = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("off", "a", "b")).alias("p"))
-    links.append(settle(verified(nearest.select("p.a", "p.b").distinct(), lines, similarity), "crowd"))
+    few = settle(verified(drawn_pairs(members, bits, similarity), lines, similarity), "crowd")
     of = members.select("id", "root").distinct()
-    ends = links[0].join(of.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    ends = few.join(of.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
     moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     now = members.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    apart = settle(_spanning(now.select("band", "id", "n", F.coalesce("to", "root").alias("root"))), "crowd")
-    rest = candidates(apart, bits, similarity).select("a", "b").distinct()
-    links.append(settle(verified(rest, lines, similarity), "crowd"))
+    apart = settle(_spanning(now.select("band", "id", F.coalesce("to", "root").alias("root"))), "crowd")
+    sizes = apart.groupBy("band").agg(F.count("*").alias("n"))
+    rest = settle(verified(candidates(apart.join(sizes, "band"), bits, similarity), lines, similarity), "crowd")
     forget(members, bits, moved, apart)
-    return links
+    return [few, rest]
 
 
 def linked(once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -205,15 +220,16 @@ def linked(once: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (ids ``a`` and ``b``) whose sets of shingles are similar; ``lines`` holds ``id`` and ``wide``."""
     short, long = lines.where(f"length(wide) <= {2 * LONG}"), lines.where(f"length(wide) > {2 * LONG}")
-    side = lambda s: short.select(F.col("id").alias(s), F.col("wide").alias(f"w{s}"))
+    side = lambda s: short.select(F.col("id").alias(s), F.col("wide").alias(f"w{s}"), F.expr(f"cast({_LAST} as int)").alias(f"l{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    hashes = f"transform(sequence(0, cast({_LAST} as int)), i -> xxhash64(substring(wide, 2 * i + 1, {2 * SHINGLE})))"
-    cut = both.select("a", "b", *[F.expr(f"array_distinct({hashes})".replace("wide", f"w{s}")).alias(f"s{s}") for s in "ab"])
-    # A filter on columns would be pushed below the projection that cuts the shingles and cut them anew for
-    # each mention; a filtered one-element array is not.
+    # Rows of a pair stay in one place: the second join has dealt them by ``b``. Past a line's last
+    # place its last shingle is cut again.
+    places = both.select("*", F.explode(F.expr(f"sequence(0, greatest(la, lb), {STEP})")).alias("at"))
+    cut = lambda s: F.array(*[F.expr(f"xxhash64(substring(w{s}, 2 * least(at + {j}, l{s}) + 1, {2 * SHINGLE}))") for j in range(STEP)]).alias(f"s{s}")
+    sets = places.select("a", "b", cut("a"), cut("b")).groupBy("b", "a").agg(*[F.array_distinct(F.flatten(F.collect_list(f"s{s}"))).alias(f"s{s}") for s in "ab"])
     sizes = F.struct(F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
     similar = F.filter(F.array(sizes), lambda m: m["common"] >= similarity * (m["both"] - m["common"]))
-    found = cut.select("a", "b", F.explode(similar)).select("a", "b")
+    found = sets.select("a", "b", F.explode(similar)).select("a", "b")
     if long.isEmpty():
         return found
     ids = long.select("id").distinct()
