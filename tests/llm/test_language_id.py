@@ -55,3 +55,11 @@ def test_learns_only_from_the_other_rows(docs):
     wrong = docs.withColumn("lang", F.when(held, F.lit("en")).otherwise(F.col("lang")))
     a, b = lid.train(docs, 40), lid.train(wrong, 40)
     assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
+
+
+def test_two_samples_are_told_apart(spark, make_docs):
+    rows = [(1, "the cat sat on the mat and the dog ran away", "en", "s", 1), (4, "le chat est sur la table et le chien est parti", "fr", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = lid.train(docs, split=None)
+    p = model.probabilities([r[1] for r in rows])
+    assert [model.languages[k] for k in p.argmax(axis=1)] == ["en", "fr"]

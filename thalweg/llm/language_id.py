@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,8 @@ class Model:
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 4, least_steps: int = 8000, rate: float = 0.25, seed: int = 7) -> Model:
-    """``samples``: (slots, counts). Every fifth sample is kept back for temperature and threshold. Small samples are gone over more often."""
+    """``samples``: (slots, counts). Every fifth sample is kept back for temperature and threshold; of
+    fewer than 50 all are learnt from and calibrated on. Small samples are gone over more often."""
     languages = sorted(set(labels))
     if not languages:
         return Model([UNKNOWN], np.zeros((1 << SLOT_BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
@@ -91,7 +93,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     emb = rng.normal(0, 0.1, (1 << SLOT_BITS, WIDTH))
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))
     order = rng.permutation(len(samples))
-    held, used = order[::5] if len(order) >= 50 else order, order[1:] if len(order) < 50 else np.delete(order, np.s_[::5])
+    held, used = (order[::5], np.delete(order, np.s_[::5])) if len(order) >= 50 else (order, order)
     epochs = max(epochs, -(-least_steps // max(1, len(used))))
     steps, done = epochs * max(1, len(used)), 0
     for _ in range(epochs):
@@ -149,8 +151,13 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, split: tu
             found = [counts(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "lang": b["lang"].to_numpy(), "slots": [s.tobytes() for s, _ in found], "n": [n.tobytes() for _, n in found]})
 
-    got = chosen.mapInPandas(run, "doc_id long, lang string, slots binary, n binary").toPandas().sort_values(["doc_id", "lang"])
-    return fit([(np.frombuffer(s, np.uint16), np.frombuffer(n, np.float32)) for s, n in zip(got["slots"], got["n"])], list(got["lang"]))
+    got = chosen.mapInPandas(run, "doc_id long, lang string, slots binary, n binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    # Views of the collected buffers, which are given back once the model is fitted.
+    samples = [(np.frombuffer(s.as_buffer(), np.uint16), np.frombuffer(n.as_buffer(), np.float32)) for s, n in zip(got["slots"], got["n"])]
+    model = fit(samples, got["lang"].to_pylist())
+    del samples, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
