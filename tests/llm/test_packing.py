@@ -80,5 +80,36 @@ def test_crossover_keeps_every_item(seed):
     child = packing.cross(*parents, rng)
     assert sorted(x for b in child.bins for x in b) == list(range(300))
     assert all(f == sizes[b].sum() <= 100 for f, b in zip(child.fill, child.bins))
-    best = packing.evolve(sizes, [], 100, seed, 4, 20)
-    assert len(best.bins) <= len(packing.evolve(sizes, [], 100, seed, 1, 0).bins)
+
+
+def test_crossover_beats_best_fit():
+    """Triplets that fill bins to the brim: best fit decreasing needs more bins than the crossovers find."""
+    rng = np.random.default_rng(5)
+    sizes = []
+    for _ in range(60):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers((1000 - a) // 2 - 50, (1000 - a) // 2 + 50))
+        sizes += [a, b, 1000 - a - b]
+    sizes = np.array(sizes)
+    greedy = packing.Bins(sizes, 1000)
+    greedy.place(list(range(len(sizes))))
+    first, none = packing.evolve(sizes, [], 1000, 3, 6, 0)
+    best, accepted = packing.evolve(sizes, [], 1000, 3, 6, 200)
+    assert none == 0 and accepted > 10
+    assert 60 <= len(best.bins) < len(greedy.bins) and len(best.bins) < len(first.bins)
+
+
+def test_crossovers_run_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = packing.pieces(docs, PATH).where(F.col("length") < packing.CAPACITY).select("uid", "length")
+    rows = packing.pack(items, epochs=1).select("accepted").distinct().collect()
+    assert all(r["accepted"] > 0 for r in rows)
+
+
+def test_another_file_is_left_to_the_tokenizer(tmp_path):
+    text = open(PATH, encoding="utf-8").read().replace('"Lowercase"', '"NFC"', 1)
+    other = tmp_path / "other.json"
+    other.write_text(text, encoding="utf-8")
+    words = packing.Words(str(other))
+    assert not words.plain
+    assert np.frombuffer(words.ids("Hello World"), "<u4").tolist() == Tokenizer.from_file(str(other)).encode("Hello World", add_special_tokens=False).ids

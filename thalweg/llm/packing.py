@@ -29,13 +29,15 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard, islands of a shard, individuals of an island, crossovers of an epoch.
 SHARD = 4000
-ISLANDS = 3
+ISLANDS = 2
 POPULATION = 4
-CROSSOVERS = 12
+CROSSOVERS = 24
 EPOCHS = 2
 #: Bins filled under this share are dissolved after the first round.
 WELL_FILLED = 0.97
 # The word pattern of the tokenizer file, with white space spelt out for texts below U+0300.
+_FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 #: Stands for the end of a word; texts that hold it are left to the tokenizer.
 _END = "\x00"
@@ -52,7 +54,17 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        split = ((file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        #: Another file's words or letters may be cut in other ways: its texts all go through the tokenizer.
+        self.plain = (
+            (file.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+            and split.get("pattern") == {"Regex": _FILE_PATTERN}
+            and (model.get("type"), model.get("end_of_word_suffix")) == ("BPE", "</w>")
+        )
+        if not self.plain:
+            return
         letters = _byte_letters()
         end = _END.encode()
 
@@ -77,7 +89,7 @@ class Words:
         t = text or ""
         # Below U+0300 there is nothing to compose and lower-casing has one special case; that, a
         # special token's own text, and any other letter are left to the tokenizer.
-        if (t.isascii() or max(t) < "\u0300") and "<|" not in t and "\u0130" not in t and _END not in t:
+        if self.plain and (t.isascii() or max(t) < "\u0300") and "<|" not in t and "\u0130" not in t and _END not in t:
             found = _WORDS.findall(t.lower())
             return self.id_of[self.merges.encode_ordinary(f"{_END} ".join(found) + _END)].tobytes() if found else b""
         return np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -123,8 +135,12 @@ class Bins:
 
     def place(self, items: list[int]) -> None:
         """Best fit, largest first."""
-        room = sorted((self.capacity - f, i) for i, f in enumerate(self.fill))
-        for item in sorted(items, key=lambda x: (-self.sizes[x], x)):
+        self.place_in_order(sorted(items, key=lambda x: (-self.sizes[x], x)))
+
+    def place_in_order(self, items: list[int]) -> None:
+        """Each item goes to the open bin that it leaves the least room in, or to a new one."""
+        room = sorted((self.capacity - f, i) for i, f in enumerate(self.fill) if f < self.capacity)
+        for item in items:
             size = int(self.sizes[item])
             at = bisect_left(room, (size, -1))
             if at < len(room):
@@ -163,63 +179,73 @@ def from_labels(sizes: np.ndarray, labels: np.ndarray, capacity: int) -> Bins:
 
 
 def cross(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
-    """Well-filled bins of ``b`` go whole into ``a``; bins of ``a`` that share an item with them are dissolved."""
-    fill = np.array(b.fill)
-    ranked = np.argsort(-fill + rng.random(len(fill)), kind="stable")
+    """Well-filled bins of ``b`` go whole into ``a``; bins of ``a`` that share an item with them are dissolved.
+
+    Some of the emptiest bins that are left are dissolved too; all displaced items go back by best fit.
+    """
+    ranked = np.argsort(-np.array(b.fill) + rng.random(len(b.fill)), kind="stable")
     take = ranked[: max(1, int(len(ranked) * rng.uniform(0.1, 0.5)))]
     child = Bins(a.sizes, a.capacity)
     inside = np.zeros(len(a.sizes), bool)
     for k in take:
-        child.add(b.bins[k])
+        child.add(list(b.bins[k]))
         inside[b.bins[k]] = True
     displaced: list[int] = []
+    kept: list[list[int]] = []
     for items in a.bins:
         hit = inside[items]
         if hit.any():
             displaced += [x for x, h in zip(items, hit) if not h]
         else:
-            child.add(items)
-    child.bins = [list(x) for x in child.bins]
-    # The emptiest kept bins are dissolved too, so that their items can find better places.
-    weak = sorted(range(len(child.bins)), key=lambda k: child.fill[k])[: max(1, len(child.bins) // 50)]
-    for k in sorted(weak, reverse=True):
-        displaced += child.bins.pop(k)
-        child.fill.pop(k)
+            kept.append(items)
+    kept.sort(key=lambda items: -int(a.sizes[items].sum()))
+    weak = max(1, len(a.bins) // 20)
+    for items in kept[: len(kept) - weak]:
+        child.add(list(items))
+    for items in kept[len(kept) - weak :]:
+        displaced += items
     child.place(displaced)
     return child
 
 
-def evolve(sizes: np.ndarray, elites: list[Bins], capacity: int, seed: int, population: int, crossovers: int) -> Bins:
+def evolve(sizes: np.ndarray, elites: list[Bins], capacity: int, seed: int, population: int, crossovers: int) -> tuple[Bins, int]:
+    """The best packing of the last generation, and how many children took another's place.
+
+    A population starts from elites and from random groupings (items best-fitted in random order). A
+    child takes the place of the worst; crossovers end early only where no packing can have fewer bins.
+    """
     rng = np.random.default_rng(seed)
     people = list(elites)
     while len(people) < population:
         made = Bins(sizes, capacity)
-        if not people:
-            made.place(list(range(len(sizes))))
-        else:  # first a random share of the items, then the rest: different packings of the same items
-            first = rng.random(len(sizes)) < rng.uniform(0.2, 0.8)
-            made.place(np.flatnonzero(first).tolist())
-            made.place(np.flatnonzero(~first).tolist())
+        made.place_in_order(rng.permutation(len(sizes)).tolist())
         people.append(made)
-    bound = -(-int(sizes.sum()) // capacity)
+    bound, accepted = -(-int(sizes.sum()) // capacity), 0
+    people.sort(key=_rank)
     for _ in range(crossovers):
-        people.sort(key=Bins.fitness, reverse=True)
         if len(people[0].bins) <= bound:
             break
-        i, j = rng.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
+        i, j = rng.choice(len(people), 2, replace=False)
         child = cross(people[i], people[j], rng)
-        if child.fitness() > people[-1].fitness():
+        if _rank(child) < _rank(people[-1]):
             people[-1] = child
-    return max(people, key=Bins.fitness)
+            accepted += 1
+            people.sort(key=_rank)
+    return people[0], accepted
+
+
+def _rank(packing: Bins) -> tuple[int, float]:
+    return len(packing.bins), -packing.fitness()
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, seed: int = 3) -> DataFrame:
-    """uid, shard, bin and fill for ``items`` (uid, length < capacity)."""
+def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, seed: int = 3, epochs: int = EPOCHS) -> DataFrame:
+    """uid, shard, bin and fill for ``items`` (uid, length < capacity), and the crossovers accepted on the
+    shard's best island in the last epoch."""
     n = items.count()
     shards = max(1, -(-n // shard))
     dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))
     state = dealt.select("*", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(None).cast("int").alias("bin"), F.lit(False).alias("migrant"))
-    schema = "uid long, length long, shard int, island int, bin int, migrant boolean, fill long, fitness double"
+    schema = "uid long, length long, shard int, island int, bin int, migrant boolean, fill long, fitness double, accepted int"
 
     def island(epoch: int):
         def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -230,20 +256,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
                 if len(part) and part["bin"].notna().all():
                     elites.append(from_labels(sizes, part["bin"].to_numpy(np.int32), capacity))
             where = int(own["shard"].iat[0]), int(own["island"].iat[0])
-            best = evolve(sizes, elites, capacity, hash((seed, epoch, *where)) & 0xFFFFFFFF, POPULATION, CROSSOVERS)
+            best, accepted = evolve(sizes, elites, capacity, hash((seed, epoch, *where)) & 0xFFFFFFFF, POPULATION, CROSSOVERS)
             bins = best.labels()
-            return pd.DataFrame({"uid": own["uid"].to_numpy(), "length": sizes, "shard": where[0], "island": where[1], "bin": bins, "migrant": False, "fill": np.array(best.fill, np.int64)[bins], "fitness": best.fitness()})
+            return pd.DataFrame({"uid": own["uid"].to_numpy(), "length": sizes, "shard": where[0], "island": where[1], "bin": bins, "migrant": False, "fill": np.array(best.fill, np.int64)[bins], "fitness": best.fitness() - len(best.bins), "accepted": accepted})
 
         return run
 
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         state = settle(state.groupBy("shard", "island").applyInPandas(island(epoch), schema), "island")
-        if epoch < EPOCHS - 1:
+        if epoch < epochs - 1:
             columns = ("uid", "length", "shard", "island", "bin", "migrant")
             gone = state.withColumn("island", (F.col("island") + 1) % islands).withColumn("migrant", F.lit(True))
             state = state.select(*columns).unionByName(gone.select(*columns))
     best = state.groupBy("shard").agg(F.max_by("island", F.struct("fitness", -F.col("island"))).alias("island"))
-    return state.join(best, ["shard", "island"]).select("uid", "length", "shard", "bin", "fill")
+    return state.join(best, ["shard", "island"]).select("uid", "length", "shard", "bin", "fill", "accepted")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
