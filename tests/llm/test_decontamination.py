@@ -134,3 +134,13 @@ def test_every_item_within_the_edits_is_found(spark):
     missed = [len(items[n]) for n in items if n not in got[n]]
     assert not missed, {x: missed.count(x) for x in sorted(set(missed))}
     assert all(got[n][n] == edits(items[n], docs[n]) for n in items)
+
+
+def test_blocks_of_items_give_the_same_hits(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    key = lambda df: sorted((r["doc_id"], sorted(tuple(h) for h in r["hits"] or [])) for r in df.collect())
+    whole, kept = key(dc.find(docs, items)), sorted(r["doc_id"] for r in dc.drop_contaminated(docs, items).collect())
+    monkeypatch.setattr(dc, "ITEM_BLOCK", 20)
+    assert key(dc.find(docs, items)) == whole
+    assert sorted(r["doc_id"] for r in dc.drop_contaminated(docs, items).collect()) == kept

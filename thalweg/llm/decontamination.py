@@ -11,8 +11,11 @@ miss edited items and whose number of repeats for a given recall grows too large
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import settle
 from .textbytes import encode
 
 #: Diagonals that are compared at once.
@@ -221,8 +225,10 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _finder(docs: DataFrame, benchmark: DataFrame, similarity: float):
-    """A column expression from a text column to its hits, over all blocks of the benchmark."""
+def _hits(docs: DataFrame, benchmark: DataFrame, similarity: float, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` of hits. One block of items is in memory at a time: a benchmark
+    of more takes a pass over the documents for each block, whose hits are written before the next."""
+    context = docs.sparkSession.sparkContext
 
     def finder(shared):
         @F.pandas_udf(HITS)
@@ -231,10 +237,23 @@ def _finder(docs: DataFrame, benchmark: DataFrame, similarity: float):
             found = scan([words(t if isinstance(t, str) else None) for t in text], items, similarity)
             return pd.Series([[(items.ids[n], s, e, d, 1 - d / m) for n, s, e, d, m in hits] for hits in found])
 
-        return hits
-
-    found = [finder(docs.sparkSession.sparkContext.broadcast(index(block, similarity))) for block in _blocks(benchmark, ITEM_BLOCK)]
-    return lambda text: F.concat(*[h(text) for h in found]) if found else F.lit(None).cast(HITS)
+        return hits(F.col("text"))
+
+    blocks = _blocks(benchmark, ITEM_BLOCK)
+    block, more = next(blocks, None), next(blocks, None)
+    if block is None:
+        return docs.withColumn(name, F.lit(None).cast(HITS))
+    if more is None:
+        return docs.withColumn(name, finder(context.broadcast(index(block, similarity))))
+    row = f"{name}_row"
+    base = settle(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    passes = []
+    for part in chain([block, more], blocks):
+        shared = context.broadcast(index(part, similarity))
+        passes.append(settle(base.select(row, finder(shared).alias(name)).where(F.size(name) > 0), "hits"))
+        shared.destroy()
+    merged = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.flatten(F.collect_list(name)).alias(name))
+    return base.join(merged, row, "left").drop(row)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -246,13 +265,16 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     stretch; equal item ids with different texts are different items; no item: no hits; an empty
     table gives no rows; further columns are never read.
     """
-    hits = _finder(docs, benchmark, similarity)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits(F.col("text")).alias("hits"))
+    rows = _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, similarity, "hits")
     size = F.coalesce(F.size("hits"), F.lit(0))
     return rows.select("doc_id", (size > 0).alias("contaminated"), F.greatest(size, F.lit(0)).cast("long").alias("n_items"), "hits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents in which no item is found; columns as they came."""
-    hits = _finder(docs, benchmark, similarity)
-    return docs.where(F.coalesce(F.size(hits(F.col("text"))), F.lit(0)) <= 0)
+    """The documents in which no item is found; columns as they came.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; an empty benchmark
+    keeps all; an empty table gives no rows.
+    """
+    mine = f"__hits_{uuid.uuid4().hex[:8]}"
+    return _hits(docs, benchmark, similarity, mine).where(F.coalesce(F.size(mine), F.lit(0)) <= 0).select(*docs.columns)
