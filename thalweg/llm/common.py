@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,16 @@ def forget(*settled: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect what finished steps left behind.
+
+    Spark removes shuffle files, broadcasts and compiled plans only after the driver's collector has
+    found them unused; over many short jobs that is too late for its memory and the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (long columns ``a`` and ``b``), by alternating
     large-star and small-star steps; returns ``node`` and ``root``, the smallest node of its component.
@@ -94,6 +105,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
     found.settled_at = pairs.settled_at
+    tidy(edges.sparkSession)
     return found
 
 

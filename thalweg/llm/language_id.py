@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textbytes import chunks, encode
 
 #: log2 of the number of hash slots, and the width of an embedding.
@@ -157,6 +158,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, split: tu
     model = fit(samples, got["lang"].to_pylist())
     del samples, got
     pa.default_memory_pool().release_unused()
+    tidy(docs.sparkSession)
     return model
 
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, settle
+from .common import components, forget, settle, tidy
 
 #: Characters of a shingle; minima of a signature; links need this similarity.
 SHINGLE = 8
@@ -259,6 +259,7 @@ def _decided(lines: DataFrame, similarity: float) -> DataFrame:
     named = settle(ids.select("key", "first", F.coalesce("root", "id").alias("root")), "named")
     lines.sparkSession.sql(f"DROP TABLE {name}")
     forget(roots)
+    tidy(lines.sparkSession)
     keep = named.groupBy("root").agg(F.min("first").alias("keep"))
     by_key = named.join(keep, "root").select("key", "keep")
     return places.join(by_key, "key").select("uid", "doc_id", "line_no", "keep")
