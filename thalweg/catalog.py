@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import drainage, rivers, terrain
+from .plans import drainage, rivers, terrain, tools
 
-MODULES = (terrain, rivers, drainage)
+MODULES = (terrain, rivers, drainage, tools)
 
 
 def queries():

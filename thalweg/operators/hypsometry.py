@@ -63,8 +63,10 @@ def grouped(results: DataFrame, field: str, prefix: str, n_bins: int = 4) -> Dat
     """``results`` (basin_id, label, …) with group_no and group_label: equal-width bins of ``field``.
 
     The last bin is closed; empty bins have no rows; null and non-finite values are ``No data``;
-    without spread all are one group.
+    without spread all are one group. The field ``none`` makes each basin a group of its own.
     """
+    if field == "none":
+        return results.withColumn("group_no", F.col("basin_id")).withColumn("group_label", F.col("label"))
     v = F.when((F.abs(F.col(field)) < float("inf")) & ~F.isnan(field), F.col(field))
     ends = results.agg(F.min(v).alias("lo_"), F.max(v).alias("hi_"))
     both = results.crossJoin(F.broadcast(ends))  # one row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -19,8 +19,8 @@ def rgb(bands: DataFrame, n_bands: int) -> DataFrame:
 
 
 def decoded(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """row_i, col_i, r, g, b of a palette image; a palette has 256 colours at most."""
-    return pixels.join(F.broadcast(palette.limit(256)), "index", "left").select("row_i", "col_i", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in "rgb"])
+    """row_i, col_i, r, g, b of a palette image (index); an index without a colour is black."""
+    return pixels.join(palette, "index", "left").select("row_i", "col_i", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in "rgb"])
 
 
 def assigned(pixels: DataFrame, centres: list[tuple[float, float, float]]) -> DataFrame:
@@ -43,23 +43,35 @@ def kmeans(pixels: DataFrame, k: int, n_cols: int, rounds: int = 50, tolerance:
     """
     import numpy as np
 
-    n = pixels.count()
+    pixels = cut(pixels.select("row_i", "col_i", "r", "g", "b"), "pixels")
+    rows = pixels.groupBy("row_i").agg(F.count("*").alias("n")).orderBy("row_i").collect()  # an image's height bounds them
+    ends = np.cumsum([r["n"] for r in rows])
+    n = int(ends[-1]) if rows else 0
     rng = np.random.RandomState(seed)
-    number = F.col("row_i") * n_cols + F.col("col_i")
 
     def colours(at: list[int]) -> list[tuple[float, float, float]]:
-        got = {r["i"]: (float(r["r"]), float(r["g"]), float(r["b"])) for r in pixels.where(number.isin(at)).select(number.alias("i"), "r", "g", "b").collect()}
-        return [got[i] for i in at]
+        """Of the pixels with these numbers: pixels there are count in row order, gaps do not."""
+        where = [(rows[k]["row_i"], i - int(ends[k]) + rows[k]["n"]) for i in at for k in [int(np.searchsorted(ends, i, side="right"))]]
+        place = F.row_number().over(Window.partitionBy("row_i").orderBy("col_i")) - 1
+        mine = pixels.where(F.col("row_i").isin([r for r, _ in where])).withColumn("place", place)
+        wanted = F.concat_ws(",", "row_i", "place").isin([f"{r},{p}" for r, p in where])
+        got = {(r["row_i"], r["place"]): (float(r["r"]), float(r["g"]), float(r["b"])) for r in mine.where(wanted).collect()}
+        return [got[w] for w in where]
 
     if n <= MOST_SHUFFLED:
         first = rng.choice(n, min(k, n), replace=False).tolist() if n else []
-    else:  # a permutation of all pixels would not fit the driver
-        first = list(dict.fromkeys(int(rng.randint(0, n)) for _ in range(4 * k)))[:k]
+    else:  # a permutation of all pixels would not fit the driver; numbers are drawn until k differ
+        drawn: dict[int, None] = {}
+        while len(drawn) < k:
+            drawn[int(rng.randint(0, n))] = None
+        first = list(drawn)
     centres = colours(first) if n else []
     used = centres
     for _ in range(rounds if n else 0):
         means = {r["cluster"]: (r["r"], r["g"], r["b"]) for r in moved(pixels, centres).collect()}
-        new = [means[i] if i in means else colours([int(rng.randint(0, n))])[0] for i in range(len(centres))]
+        empty = [i for i in range(len(centres)) if i not in means]
+        means |= dict(zip(empty, colours([int(rng.randint(0, n)) for _ in empty]) if empty else []))
+        new = [means[i] for i in range(len(centres))]
         shift = max(sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5 for x, y in zip(new, centres))
         used, centres = centres, new
         if shift < tolerance:
@@ -129,6 +141,8 @@ def parts(labels: DataFrame, column: str = "cluster", diagonal: bool = False, li
         if now == total:
             break
         total = now
+    else:
+        raise RuntimeError(f"parts did not settle in {limit} rounds")
     return cells.join(state, "id").select("row_i", "col_i", F.col("v").alias(column), "part")
 
 
@@ -158,4 +172,4 @@ def sieved(labels: DataFrame, least: int, column: str = "cluster", rounds: int =
         if best.isEmpty():
             return found.select("row_i", "col_i", column)
         state = cut(found.join(best, "part", "left").select("row_i", "col_i", F.coalesce("to", column).alias(column)), "sieve")
-    return state
+    raise RuntimeError(f"the sieve did not settle in {rounds} rounds")

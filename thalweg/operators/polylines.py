@@ -96,8 +96,8 @@ def transversals(spots: DataFrame, half_width: float, n: int, geographic: bool =
 
 
 def walked(vertices: DataFrame, pixel: float, share: float = 0.3) -> DataFrame:
-    """fid, idx, x, y: steps of ``share`` pixels along each segment; the last vertex is left out."""
-    segs = vertices.select("fid", "vidx", "x", "y", F.lead("x").over(along("fid")).alias("x2"), F.lead("y").over(along("fid")).alias("y2")).where("x2 is not null")
+    """fid, idx, x, y: steps of ``share`` pixels along each segment; the last vertex is left out, and segments without length are."""
+    segs = vertices.select("fid", "vidx", "x", "y", F.lead("x").over(along("fid")).alias("x2"), F.lead("y").over(along("fid")).alias("y2")).where("x2 is not null").where(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")) >= 1e-6)
     steps = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")) / F.lit(share * pixel)), F.lit(1).cast("long"))
     each = segs.withColumn("steps", steps).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)))
     t = F.col("s") / F.col("steps")
