@@ -50,23 +50,29 @@ def confluences(flow: DataFrame, facc: DataFrame) -> DataFrame:
     return ranked.where("n_in >= 2").select("src", "dst", "facc", "n_in", (F.col("r") == 1).alias("main_stem"))
 
 
-def accumulation(flow: DataFrame, limit: int = 64) -> DataFrame:
-    """src, facc: the number of cells that drain through each, itself included.
+def accumulation(flow: DataFrame, limit: int = 40) -> DataFrame:
+    """src, facc: the number of cells that drain through each, itself included. For any graph; grids have ``tiles.accumulation``."""
+    start = flow.select(F.col("src").alias("node"), F.when(F.col("dst") != F.col("src"), F.col("dst")).alias("ptr"), F.lit(1).cast("long").alias("acc"))
+    return gathered(start, limit).select(F.col("node").alias("src"), F.col("acc").cast("double").alias("facc"))
 
-    Each round adds to a cell what its pointers' holders have gathered, and doubles the pointers.
-    Cells on a cycle have no end: after ``limit`` rounds the job stops with an error.
+
+def gathered(nodes: DataFrame, limit: int = 40) -> DataFrame:
+    """node, acc: the sum of ``acc`` over each node (node, ptr, acc) and all that point to it, at any distance.
+
+    Each round adds to a node what its pointers' holders have gathered, and doubles the pointers;
+    nodes whose pointers have ended only receive. Nodes on a cycle have no end: after ``limit``
+    rounds the job stops with an error.
     """
-    state = cut(flow.select(F.col("src").alias("node"), F.when(F.col("dst") != F.col("src"), F.col("dst")).alias("ptr"), F.lit(1).cast("long").alias("acc")), "flow")
+    state = cut(nodes.select("node", "ptr", "acc"), "flow")
     for _ in range(limit):
-        if state.where("ptr is not null").isEmpty():
-            return state.select(F.col("node").alias("src"), F.col("acc").cast("double").alias("facc"))
-        sent = state.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.sum("acc").alias("got"))
-        further = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
-        state = cut(
-            state.join(sent, "node", "left").join(further, "ptr", "left")
-            .select("node", F.col("next").alias("ptr"), (F.col("acc") + F.coalesce("got", F.lit(0).cast("long"))).alias("acc")),
-            "flow",
-        )
+        moving = state.where("ptr is not null")
+        if moving.isEmpty():
+            return state.select("node", "acc")
+        sent = moving.groupBy(F.col("ptr").alias("node")).agg(F.sum("acc").alias("got"))
+        further = moving.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
+        hopped = moving.join(further, "ptr", "left").select("node", F.col("next").alias("ptr"), "acc")
+        every = hopped.unionByName(state.where("ptr is null"))
+        state = cut(every.join(sent, "node", "left").select("node", "ptr", (F.col("acc") + F.coalesce("got", F.lit(0).cast("long"))).alias("acc")), "flow")
     raise ValueError("the flow has cycles")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import flow, mapunits, network
+from ..operators import flow, mapunits, network, tiles
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
 from .terrain import META
@@ -23,7 +23,7 @@ def _flow(spark, sf):
 
 
 def _facc(spark, sf):
-    return cut(flow.accumulation(_flow(spark, sf)), "facc")
+    return cut(tiles.accumulation(_flow(spark, sf), N_COLS), "facc")
 
 
 def _value(spark, sf):
@@ -57,12 +57,12 @@ def d8_accumulation(spark, sf):
 
 
 def d8_labels(spark, sf):
-    return flow.labelled(_flow(spark, sf), _seeds(spark, sf))
+    return tiles.labelled(_flow(spark, sf), _seeds(spark, sf), N_COLS)
 
 
 def d8_trunk_labels(spark, sf):
     seeds = _seeds(spark, sf).withColumn("place", F.col("label"))
-    return flow.labelled(_flow(spark, sf), flow.with_trunk(_flow(spark, sf), seeds, 371))
+    return tiles.labelled(_flow(spark, sf), flow.with_trunk(_flow(spark, sf), seeds, 371), N_COLS)
 
 
 def d8_path(spark, sf):
@@ -70,7 +70,7 @@ def d8_path(spark, sf):
 
 
 def subbasin_stats(spark, sf):
-    labels = flow.labelled(_flow(spark, sf), _seeds(spark, sf))
+    labels = tiles.labelled(_flow(spark, sf), _seeds(spark, sf), N_COLS)
     return flow.subbasins(labels, _value(spark, sf), N_COLS, CELL_M2, META.x_of, META.y_of).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -90,14 +90,14 @@ def outlets_greedy(spark, sf):
 def watershed(spark, sf):
     """From flow directions to sub-basins: accumulation, outlets, trunk, labels, statistics, colours."""
     d8 = cut(_flow(spark, sf), "flow")
-    facc = cut(flow.accumulation(d8), "facc")
+    facc = cut(tiles.accumulation(d8, N_COLS), "facc")
     found = cut(flow.outlets(d8, facc, N_COLS, CELL_M2), "outlets")
     auto = flow.auto_outlet(facc, _rows(spark, sf), N_COLS).first()
     if auto is not None:
         found = cut(flow.with_own_outlet(found, auto["row_i"] * N_COLS + auto["col_i"], auto["facc"] * CELL_M2), "outlets")
     main = found.agg(F.max_by("node", F.struct("area_m2", -F.col("place")))).first()[0]
     seeds = found.select("node", (F.col("place") + 1).alias("label"), "place")
-    labels = cut(flow.labelled(d8, flow.with_trunk(d8, seeds, main)), "labels")
+    labels = cut(tiles.labelled(d8, flow.with_trunk(d8, seeds, main), N_COLS), "labels")
     return flow.subbasins(labels, facc, N_COLS, CELL_M2, META.x_of, META.y_of).withColumn("colour", flow.rank_colour(F.col("rank")))
 
 
