@@ -222,3 +222,16 @@ def test_geotiff_bands_and_errors(spark, tmp_path):
     tiff(tmp_path / "lzw.tif", values, compression=5)
     with pytest.raises(ValueError, match="compression"):
         geotiff.layout(str(tmp_path / "lzw.tif"))
+
+
+@pytest.mark.parametrize("size,side", [(3, 5), (5, 6), (7, 64)])
+def test_median_across_squares(spark, size, side):
+    rng = np.random.default_rng(size)
+    grid_ = rng.integers(0, 9, (13, 17))
+    half = size // 2
+    padded = np.pad(grid_, half, mode="symmetric")
+    want = {(r, c): int(np.sort(padded[r : r + size, c : c + size].ravel())[size * size // 2]) for r in range(13) for c in range(17)}
+    labels = spark.createDataFrame([(r, c, int(grid_[r, c])) for r in range(13) for c in range(17)], "row_i long, col_i long, cluster int")
+    found = mapunits.median(labels, 13, 17, size, side=side)
+    assert dict(found.dtypes)["cluster"] == "int"
+    assert {(r["row_i"], r["col_i"]): r["cluster"] for r in found.collect()} == want

@@ -85,29 +85,59 @@ def hex_colour(r, g, b):
     return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(c.cast("long"))), 2, "0") for c in (r, g, b)])
 
 
-def median(labels: DataFrame, n_rows: int, n_cols: int, size: int = 5, column: str = "cluster") -> DataFrame:
+#: Cells of a side of the squares in which medians are taken.
+MEDIAN_SIDE = 512
+
+
+def median(labels: DataFrame, n_rows: int, n_cols: int, size: int = 5, column: str = "cluster", side: int = MEDIAN_SIDE) -> DataFrame:
     """row_i, col_i, ``column``: the middle of the size x size values around each cell; edges are mirrored.
 
-    Every cell gives its value to the cells whose window holds it, mirrored ones as often as they
-    do; one aggregation takes the middle. Under size 3 nothing changes; even sizes grow by one.
+    The grid is cut into squares; cells near a square's sides go to those beside it too, so the grid
+    is shuffled once and little more. Under size 3 nothing changes; even sizes grow by one. Cells that
+    are not there are no values, and get none.
     """
+    import numpy as np
+    import pandas as pd
+
     if size < 3:
         return labels.select("row_i", "col_i", column)
     half = size // 2
+    width = 2 * half + 1
+    side = max(side, width)
+    kind = labels.schema[column].dataType.simpleString()
 
-    def places(c: str, n: int):
-        """Windows' centres along one axis that see this place: directly, and through either mirror."""
+    def tiles(c: str, n: int):
+        last = (n - 1) // side
         at = F.col(c)
-        step = F.sequence(F.lit(-half), F.lit(half))
-        direct = F.transform(step, lambda d: at - d)
-        low = F.transform(step, lambda d: -1 - at - d)
-        high = F.transform(step, lambda d: 2 * n - 1 - at - d)
-        inside = lambda x: (x >= 0) & (x < n)
-        return F.concat(F.filter(direct, inside), F.filter(low, inside), F.filter(high, inside))
-
-    spread = labels.select(F.col(column).alias("v"), F.explode(places("row_i", n_rows)).alias("row_i"), "col_i").select("v", "row_i", F.explode(places("col_i", n_cols)).alias("col_i"))
-    width = 2 * half + 1
-    return spread.groupBy("row_i", "col_i").agg(F.element_at(F.array_sort(F.collect_list("v")), width * width // 2 + 1).alias(column))
+        return F.sequence(F.greatest(F.floor((at - half) / side), F.lit(0)), F.least(F.floor((at + half) / side), F.lit(last)))
+
+    def middle(group: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(group["ty"].iat[0]) * side, int(group["tx"].iat[0]) * side
+        r1, c1 = min(r0 + side, n_rows), min(c0 + side, n_cols)
+        # The square and its surroundings; places that are not there sort last.
+        known = np.full((r1 - r0 + 2 * half, c1 - c0 + 2 * half), np.inf)
+        r, c = group["row_i"].to_numpy(np.int64), group["col_i"].to_numpy(np.int64)
+        known[r - r0 + half, c - c0 + half] = group["v"].to_numpy(np.float64)
+
+        def mirrored(first: int, end: int, n: int) -> np.ndarray:
+            at = np.arange(first - half, end + half)
+            at = np.where(at < 0, -1 - at, np.where(at >= n, 2 * n - 1 - at, at))
+            return np.clip(at, 0, n - 1) - first + half
+
+        known = known[np.ix_(mirrored(r0, r1, n_rows), mirrored(c0, c1, n_cols))]
+        rows, cols, values = [], [], []
+        for i in range(r1 - r0):
+            around = np.lib.stride_tricks.sliding_window_view(known[i : i + width], (width, width))[0].reshape(c1 - c0, -1)
+            have = np.isfinite(around).sum(axis=1)
+            here = np.flatnonzero(np.isfinite(known[i + half, half : half + c1 - c0]))
+            rows.append(np.full(len(here), r0 + i))
+            cols.append(c0 + here)
+            values.append(np.sort(around[here], axis=1)[np.arange(len(here)), have[here] // 2])
+        return pd.DataFrame({"row_i": np.concatenate(rows), "col_i": np.concatenate(cols), column: np.concatenate(values)})
+
+    dealt = labels.select("row_i", "col_i", F.col(column).cast("double").alias("v"), F.explode(tiles("row_i", n_rows)).alias("ty")).withColumn("tx", F.explode(tiles("col_i", n_cols)))
+    found = dealt.groupBy("ty", "tx").applyInPandas(middle, f"row_i long, col_i long, {column} double")
+    return found.withColumn(column, F.col(column).cast(kind))
 
 
 def parts(labels: DataFrame, column: str = "cluster", diagonal: bool = False, limit: int = 64) -> DataFrame:
