@@ -45,3 +45,19 @@ def test_against_brute_force(spark, small_docs):
     for ids in groups.values():
         best = min(ids, key=lambda i: (-len(texts[i]), i))
         assert {got[i]["keep_id"] for i in ids} == {best}
+
+
+def test_index_is_kept_compacted_and_repeatable(spark, make_docs):
+    docs = make_docs(["a b", "ab", "c", None, "d" * 50])
+    index = DigestIndex(spark, "kept_index", buckets=4)
+    first = {r["doc_id"]: r["kept"] for r in index.add(docs).collect()}
+    assert first == {0: True, 1: False, 2: True, 3: True, 4: True}
+    assert DigestIndex(spark, "kept_index").buckets == 4
+    again = DigestIndex(spark, "kept_index").add(docs).collect()
+    assert not any(r["kept"] for r in again) and index.table().count() == 4
+    index.add(make_docs(["e", "f g"])).count()
+    before = sorted(tuple(r) for r in index.table().collect())
+    index.compact(2)
+    assert sorted(tuple(r) for r in index.table().collect()) == before
+    assert len(index.table().inputFiles()) <= 2 and DigestIndex(spark, "kept_index").buckets == 2
+    spark.sql("DROP TABLE kept_index")

@@ -43,17 +43,29 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if not spark.catalog.tableExists(self.name):
+        if spark.catalog.tableExists(self.name):
+            # The table keeps the number of buckets that it was made with.
+            told = spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(told["data_type"])
+        else:
             self._write(spark.createDataFrame([], "digest string, keep_id long"), "errorifexists")
 
-    def _write(self, df: DataFrame, mode: str) -> None:
-        (
-            df.write.mode(mode)
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
+    def _write(self, df: DataFrame, mode: str, name: str | None = None) -> None:
+        # Dealt as the buckets are: one file for each bucket, whatever the number of tasks before.
+        dealt = df.repartition(self.buckets, "digest")
+        dealt.write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name or self.name)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """One file for each bucket again, in another number of buckets if asked for.
+
+        The new table is whole before the old one goes; where the driver is lost between the two, it
+        is found under the old name with ``_compacted`` behind it.
+        """
+        self.buckets = buckets or self.buckets
+        fresh = f"{self.name}_compacted"
+        self._write(self.table(), "overwrite", fresh)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -63,7 +75,8 @@ class DigestIndex:
 
         Returns doc_id, keep_id, group_size (rows of this batch with that text), kept, text_sha256.
         ``kept`` is false for every row whose text an earlier batch brought; ``keep_id`` is then the
-        row that stayed at that time.
+        row that stayed at that time. A batch that is added again, as after a lost driver, finds its
+        own rows in the index: nothing is appended twice, and none of it counts as new.
         """
         rows = settle(digests(docs, id_col, text), "digests")
         groups = settle(
