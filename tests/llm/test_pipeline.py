@@ -77,3 +77,37 @@ def test_packing_stage(stages):
     assert size == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in before.items()}
     used = len({r["sequence_id"] for r in rows})
     assert used <= -(-sum(size.values()) // 4096) + 1
+
+
+HARD = [(901, "the same short line\nand another one"), (901, "the same short line\nand another one"), (902, None), (903, ""), (904, " \n\t"), (905, "1234 !!"), (None, "a text without an id that stays for itself"), (906, "x" * 50000)]
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, a very long word and columns with the stages' own names."""
+    docs = spark.read.parquet(f"{AT}/documents.parquet").limit(40)
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in HARD], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*rows.columns).unionByName(rows.withColumn("n_chars", rows["n_chars"].cast(docs.schema["n_chars"].dataType)))
+    for name in ("uid", "fp", "line", "keep", "hits", "__lines", "__gone", "__stay", "__keep", "accepted"):
+        docs = docs.withColumn(name, docs["source"])
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    for k, (name, stage) in enumerate(cp.STAGES):
+        after = stage(spark, docs, AT)
+        if k < 4:
+            assert after.columns == docs.columns, name
+        after.write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}")
+        kept = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        if name == "language_id":
+            assert not {902, 903, 904, 905} & set(kept) and kept.count(901) == 2
+        if name == "line_dedup":
+            assert docs.count() == before.count()
+        if name == "simhash_dedup":
+            twice = [r["text"] for r in docs.where("doc_id = 901").collect()]  # the second one's lines went to the first
+            assert len(set(twice)) == len(twice) and kept.count(None) == 1
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{AT}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, AT).count() == 0

@@ -82,3 +82,18 @@ def test_components_long_path_and_star(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 5 for i in range(5, 50))
     assert 3 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i * 7 % 61}" for i in range(60))
+    rows = [(5, long), (5, other), (7, other), (9, long), (9, long), (None, "alone here"), (11, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__keep", F.lit(1)).withColumn("fp", F.lit(2))
+    got = simhash.near_duplicates(docs).collect()
+    group = {}
+    for r in got:
+        group.setdefault(r["fingerprint"], set()).add(r["component_id"])
+    assert all(len(g) == 1 for g in group.values()) and len(group) == 4
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, long), (5, other), (None, "alone here"), (11, None)], key=str)
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns

@@ -201,7 +201,11 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
 
 
 def drop_rejected(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """The documents whose language is recognised; columns as they came."""
+    """The documents whose language is recognised; columns as they came.
+
+    Null and empty texts, and those without a letter, go; where there is no row to learn from, all
+    go; repeated rows stay or go together; an empty table gives no rows.
+    """
     model = train(docs, rows_per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -284,22 +284,28 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with each text reduced to the lines that stay; n_chars, if there, follows the text."""
-    mine = f"__uid_{uuid.uuid4().hex[:8]}"
+    """``docs`` with each text reduced to the lines that stay; n_chars, if there, follows the text.
+
+    Every row stays, whatever is left of its text. A null text stays null, an empty one empty; blank
+    lines stay; of repeated rows one keeps the lines, ties going to the smallest (doc_id, line); an
+    empty table gives no rows; further columns come through, whatever they are called.
+    """
+    tag = uuid.uuid4().hex[:8]
+    mine, gone_at, cut_up, stay = f"__uid_{tag}", f"__gone_{tag}", f"__lines_{tag}", f"__stay_{tag}"
     base = settle(docs.withColumn(mine, F.monotonically_increasing_id()), "documents")
     lines = exploded(base.select(F.col(mine).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     decided = _decided(lines, similarity)
     gone = (
         decided.where("uid <> keep.uid or line_no <> keep.line_no")
         .groupBy(F.col("uid").alias(mine))
-        .agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
+        .agg(F.sort_array(F.collect_list("line_no")).alias(gone_at))
     )
     # The numbers of the lines that stay, in order; array_except is a hash set of numbers.
     numbers = F.expr("sequence(0, size(split(text, '\\n')) - 1)")
     joined = base.join(gone, mine, "left")
-    parts = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__stay", F.array_except(numbers, F.col("__gone")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
+    parts = joined.withColumn(cut_up, F.split("text", "\n")).withColumn(stay, F.array_except(numbers, F.col(gone_at)))
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(cut_up, i)), "\n"))
     out = parts.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone_at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -8,6 +8,7 @@ meeting under an equal variant are compared in full, and the links give componen
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, settle
+from .common import components, forget, settle
 
 WORDS = 4
 DISTANCE = 4
@@ -174,24 +175,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Defined cases: null, empty and white-space texts have fingerprint zero and are linked like any
     other; texts under four words are one shingle; equal fingerprints are one component whatever
-    their number; repeated ids give repeated rows; an empty table gives no rows; further columns
+    their number; repeated ids give repeated rows, and different texts under one id are judged apart;
+    an empty table gives no rows; further columns
     are never read.
     """
+    rows, named = _grouped(docs, id_col, text, distance)
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and fp of each row; fp, root and component_id of each fingerprint)."""
     rows = settle(fingerprints(docs, id_col, text), "fingerprints")
-    # Copies fold into one fingerprint; its smallest document stands for all of them.
+    # Copies fold into one fingerprint, which stands for all of them; different texts under one id stay apart.
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     found = settle(links(nodes.select("fp"), distance), "links")
-    ends = (
-        found.join(nodes.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a")
-        .join(nodes.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
-        .select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    )
-    roots = components(ends)
-    named = nodes.join(roots, nodes["low"] == roots["node"], "left").select("fp", F.coalesce("root", "low").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = components(found)
+    forget(found)
+    named = settle(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows, named.join(least, "root").select("fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component; columns as they came."""
-    keep = near_duplicates(docs, id_col, text).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
+    """The document with the smallest id of each group of near duplicates; columns as they came.
+
+    Null, empty and white-space texts are near duplicates of each other; of rows that repeat an id
+    within a group, whole rows included, one stays; different texts under one id are judged apart;
+    rows with a null id are kept only where their group has no other; an empty table gives no rows.
+    """
+    rows, named = _grouped(docs, id_col, text)
+    judged = rows.join(named, "fp")
+    mine = judged.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
+    counted = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__often")), "often")
+    own = docs[id_col].cast("long")
+    if counted.isEmpty():
+        return docs.join(mine, own == mine["__keep"], "left_semi")
+    # Rows that share an id are told apart by a number of their own.
+    number = f"__row_{uuid.uuid4().hex[:8]}"
+    shared = settle(docs.join(counted, own.eqNullSafe(counted["__often"]), "left_semi").withColumn(number, F.monotonically_increasing_id()), "shared")
+    prints = fingerprints(shared, number, text).withColumnRenamed("doc_id", number).join(named, "fp")
+    ids = shared.select(number, F.col(id_col).cast("long").alias("__id"))
+    first = prints.join(ids, number).where("__id <=> component_id").groupBy("root").agg(F.min(number).alias(number)).select(number)
+    single = docs.join(counted, own.eqNullSafe(counted["__often"]), "left_anti")
+    kept = single.join(mine, single[id_col].cast("long") == mine["__keep"], "left_semi")
+    return kept.unionByName(shared.join(first, number, "left_semi").drop(number))
