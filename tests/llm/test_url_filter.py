@@ -90,3 +90,21 @@ def test_rare_words_of_large_tables_stay_in_the_dictionary(spark):
     assert got == {i: "rare word org" for i in range(25)} | {99: "zebra quokka 9 rare word org"}
     counts = {r["word"]: r["n"] for r in uf.dictionary(spark.createDataFrame(rows, "page_id long, url string, html string"), "html").collect()}
     assert counts == {"common": 500_000, "rare": 1, "word": 1, "zebra": 1, "quokka": 1, "x" * 30: 1}
+
+
+def test_rules_own_tokens_are_not_learnt_from():
+    assert uf.told(uf.RULES) == {"h:com", "h:example", "h:www", "h:net", "p:en", "p:es", "p:fr"}
+
+
+def test_accuracy_on_hosts_kept_from_training(spark):
+    import random
+
+    rng = random.Random(8)
+    good, bad = ["river", "stone", "meadow", "garden"], ["spam", "casino", "poker", "loan"]
+    rows = []
+    for i in range(240):
+        side = i % 2
+        name = "".join(rng.sample(bad if side else good, 2)) + rng.choice(["", "one", "two"])
+        rows.append((i, f"http://{name}{i % 7}.{'net/es' if side else 'com'}/{i}", " ".join(good + bad + ["one", "two"]) * 20))
+    share, n = uf.held_out(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert n >= 20 and share >= 0.95

@@ -149,8 +149,14 @@ class Bayes:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.prior + float(self.odds[slots].sum())))))
 
 
-def train(judged: DataFrame) -> Bayes:
-    """From rows with words, path and verdict; the counts that reach the driver are 2 x ``SLOTS`` whatever the input."""
+def told(rules) -> frozenset[str]:
+    """The rules' own tokens. They say which rule judged an example, not what it is like, so the model never sees them."""
+    split = [text.partition("/") for text, _ in rules]
+    return frozenset({f"h:{x}" for name, _, _ in split for x in _PART.findall(name)} | {f"p:{x}" for _, _, rest in split for x in _PART.findall(rest)})
+
+
+def train(judged: DataFrame, hidden: frozenset[str] = frozenset()) -> Bayes:
+    """From rows with words, path and verdict, without ``hidden`` tokens; the counts that reach the driver are 2 x ``SLOTS`` whatever the input."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,7 +165,8 @@ def train(judged: DataFrame) -> Bayes:
                 k = int(verdict == BLOCK)
                 counts[k, SLOTS] += 1
                 for t in tokens(words, path):
-                    counts[k, slot(t)] += 1
+                    if t not in hidden:
+                        counts[k, slot(t)] += 1
             k, at = np.nonzero(counts)
             yield pd.DataFrame({"k": k, "at": at, "n": counts[k, at]})
 
@@ -170,28 +177,48 @@ def train(judged: DataFrame) -> Bayes:
     return Bayes.of(counts[:, :SLOTS], (int(counts[0, SLOTS]), int(counts[1, SLOTS])))
 
 
-def judge(pages: DataFrame, rules=RULES, words_from: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict, score (probability of block by the model) and host_words of every url.
-
-    Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule and get
-    the model's verdict on no token; equal rows get equal answers; with nothing judged by rules the
-    model says allow; pages without text give an empty dictionary, hosts then stay whole; an empty
-    table gives no rows; further columns are never read.
-    """
+def _worded(pages: DataFrame, rules, words_from: str) -> DataFrame:
+    """page_id, host, path, rule, by_rule (the rule's verdict) and the host's words."""
     host, path = host_of(), path_of()
     rule, verdict = rule_of(host, path, rules)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("by_rule"))
     words = host_words(rows, dictionary(pages, words_from))
-    rows = settle(rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "urls")
-    model = train(rows.where("by_rule is not null").withColumnRenamed("by_rule", "verdict"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    return settle(rows.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "urls")
+
+
+def _scored(rows: DataFrame, model: Bayes, hidden: frozenset[str]) -> DataFrame:
+    """Rows with verdict, score and host_words (joined by spaces) for by_rule and words."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # 2 x ``SLOTS`` numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bayes = shared.value
-            found = [tokens(w, p) for w, p in zip(b["words"], b["path"])]
+            found = [[t for t in tokens(w, p) if t not in hidden] for w, p in zip(b["words"], b["path"])]
             scores = [bayes.score([slot(t) for t in ts]) for ts in found]
             verdicts = [r if isinstance(r, str) else (BLOCK if s > 0.5 else ALLOW) for r, s in zip(b["by_rule"], scores)]
             yield b.drop(columns=["by_rule", "words"]).assign(verdict=verdicts, score=scores, host_words=[" ".join(w) for w in b["words"]])
 
     return rows.mapInPandas(run, "page_id long, host string, path string, rule string, verdict string, score double, host_words string")
+
+
+def held_out(pages: DataFrame, rules=RULES, words_from: str = "html") -> tuple[float, int]:
+    """(share of right verdicts, urls): the model on hosts that it has not learnt from, against the rules' verdicts."""
+    rows = _worded(pages, rules, words_from).where("by_rule is not null")
+    kept = F.pmod(F.crc32("host"), F.lit(5)) == 0
+    hidden = told(rules)
+    model = train(rows.where(~kept).withColumnRenamed("by_rule", "verdict"), hidden)
+    judged = _scored(rows.where(kept).withColumn("rule", F.col("by_rule")).withColumn("by_rule", F.lit(None).cast("string")), model, hidden)
+    got = judged.agg(F.avg((F.col("verdict") == F.col("rule")).cast("double")).alias("right"), F.count("*").alias("n")).first()
+    return got["right"] or 0.0, got["n"]
+
+
+def judge(pages: DataFrame, rules=RULES, words_from: str = "html") -> DataFrame:
+    """page_id, host, path, rule, verdict, score (probability of block by the model) and host_words of every url.
+
+    Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule and get
+    the model's verdict on no token; equal rows get equal answers; with nothing judged by rules the
+    model says allow; pages without text give an empty dictionary, hosts then stay whole; an empty
+    table gives no rows; further columns are never read.
+    """
+    rows, hidden = _worded(pages, rules, words_from), told(rules)
+    return _scored(rows, train(rows.where("by_rule is not null").withColumnRenamed("by_rule", "verdict"), hidden), hidden)
