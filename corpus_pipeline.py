@@ -1,7 +1,8 @@
 """Corpus pipeline: documents to packed training sequences, one operator of ``thalweg.llm`` in each stage.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. ``run`` writes each stage's result to the shared folder and rereads it for the next.
+of documents. Equal rows get equal treatment unless a stage says otherwise, and an empty table stays
+empty. ``run`` writes each stage's result to the shared folder and rereads it for the next.
 """
 
 from __future__ import annotations
@@ -16,27 +17,27 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the rejected go."""
+    """Documents whose language is recognised; the rejected go: null and empty texts, and those without a letter, too."""
     return language_id.drop_rejected(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with one line of each group of near-equal lines in the corpus."""
+    """Every document, with one line of each group of near-equal lines in the corpus; texts may end up empty, null ones stay null."""
     return line_dedup.drop_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates; empty texts are one group, of repeated rows one stays."""
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, an empty benchmark keeps all."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; null and empty texts are a piece of one token."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
