@@ -66,50 +66,6 @@ TEMPLATES = (
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
     ),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
-        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    ),
-    (
-        "GPL-2.0",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    (
-        "LGPL-2.1",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
-        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    ),
-    (
-        "LGPL-3.0",
-        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    (
-        "AGPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    (
-        "MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
-        "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    ),
-    (
-        "EPL-2.0",
-        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
-        "https://www.eclipse.org/legal/epl-2.0/",
-    ),
-    (
-        "Unlicense",
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
-        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
-        "means.",
-    ),
 )
 _WORD = re.compile(r"[^\W_]+")
 
