@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, language_id, licences, line_dedup, packing, quality, repeated_passages, simhash, url_filter
+from . import decontamination, exact_dedup, language_id, licences, line_dedup, packing, quality, repeated_passages, simhash, token_alignment, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -66,6 +70,7 @@ def queries():
         "op8_packing": op8_packing,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_dedup": op10_simhash_dedup,
+        "op11_token_alignment": op11_token_alignment,
         "pipeline": pipeline,
     }
 
