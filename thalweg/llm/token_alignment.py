@@ -18,13 +18,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import forget, settle
 
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 8_000_000
-#: Units that a task remembers, and their longest length.
-MEMO_UNITS, MEMO_CHARS = 400_000, 64
+BLOCK_CHARS = 4_000_000
+#: Units that a task remembers, and their mean length; units that are encoded at once.
+MEMO_UNITS, MEMO_CHARS, ENCODED = 300_000, 64, 10_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
 
@@ -83,6 +86,8 @@ class Pair:
     pieces: str
 
     def __post_init__(self):
+        # Spark's tasks are the parallelism; set before the library is loaded.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -101,9 +106,15 @@ class Pair:
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
         self.separable = separable(spec, pieces)
+        self.length_a, self.length_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b))
+        # What an id looks like in the groups' text: within its side, and at its side's end.
+        self.shown_a, self.shown_b = (np.array([[f"{i}{m}" for m in (",", end)] for i in range(len(t))], object) for t, end in ((self.bytes_a, "|"), (self.bytes_b, ";")))
 
     def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self._a.encode_batch([" " + u for u in units], add_special_tokens=False)], self._b.encode(units, num_threads=1)
+        left: list[list[int]] = []
+        for at in range(0, len(units), ENCODED):  # an encoding holds far more than ids
+            left += [e.ids for e in self._a.encode_batch_fast([" " + u for u in units[at : at + ENCODED]], add_special_tokens=False)]
+        return left, self._b.encode(units, num_threads=1)
 
 
 def separable(spec: dict, pieces: list[str]) -> bool:
@@ -119,6 +130,14 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
+class _Numbers(dict):
+    """Numbers in the order of first use."""
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        return found
+
+
 class Units:
     """Distinct units of a task: counts of tokens, groups and links, the groups' text, and the linked id pairs."""
 
@@ -127,20 +146,14 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.size, self.valid = np.zeros((0, 4), np.int64), np.zeros(0, bool)
         self.text: list[str] = []
         self.links, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def numbers(self, units: list[str]) -> list[int]:
         """Numbers of the units; new ones wait for ``learn``."""
-        known, out = self.number, []
-        for u in units:
-            n = known.get(u)
-            if n is None:
-                n = known[u] = len(known)
-            out.append(n)
-        return out
+        return list(map(self.number.__getitem__, units))
 
     def learn(self) -> None:
         """Encode and align the units that are new."""
@@ -158,24 +171,21 @@ class Units:
 def aligned(pair: Pair, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
     """(n_a, n_b, n_groups, n_links of each unit; whether both sides spell it; groups' texts; linked pairs, unit after unit; how many each)."""
     all_a, all_b = pair.ids(units)
+    spelled = [(" " + u).encode() for u in units]
+    good = _spelled(pair, spelled, all_a, all_b)
     valid = np.zeros(len(units), bool)
-    ends = []
-    for i, u in enumerate(units):
-        want = (" " + u).encode()
-        valid[i] = b"".join([pair.bytes_a[t] for t in all_a[i]]) == want and b"".join([pair.bytes_b[t] for t in all_b[i]]) == want
-        if valid[i]:
-            ends.append(len(want))
-    good = np.flatnonzero(valid)
+    valid[good] = True
     size = np.zeros((len(units), 4), np.int64)
     texts, counts = [""] * len(units), np.zeros(len(units), np.int64)
     if not len(good):
         return size, valid, texts, np.zeros(0, np.int64), counts
-    stop = np.cumsum(ends)
-    n_a, n_b = (np.array([len(ids[i]) for i in good], np.int64) for ids in (all_a, all_b))
-    a, b = (np.fromiter((t for i in good for t in ids[i]), np.int64) for ids in (all_a, all_b))
-    length_a, length_b = (np.fromiter(map(len, table), np.int64, len(table)) for table in (pair.bytes_a, pair.bytes_b))
+    if len(good) < len(units):
+        spelled, all_a, all_b = ([x[i] for i in good] for x in (spelled, all_a, all_b))
+    stop = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (all_a, all_b))
+    a, b = _flat(all_a), _flat(all_b)
     # The bit of a token is its last byte.
-    in_a, in_b = Bits.at(np.cumsum(length_a[a]) - 1, int(stop[-1])), Bits.at(np.cumsum(length_b[b]) - 1, int(stop[-1]))
+    in_a, in_b = Bits.at(np.cumsum(pair.length_a[a]) - 1, int(stop[-1])), Bits.at(np.cumsum(pair.length_b[b]) - 1, int(stop[-1]))
     shared, either = in_a & in_b, in_a | in_b
     segment = either.select()
     links = a[in_a.rank(segment)] << 32 | b[in_b.rank(segment)]
@@ -189,11 +199,10 @@ def aligned(pair: Pair, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[
     group_a, group_b = np.repeat(np.arange(len(cut)), np.diff(upto_a, prepend=0)), np.repeat(np.arange(len(cut)), np.diff(upto_b, prepend=0))
     place_a = np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]
     place_b = np.arange(len(b)) + upto_a[group_b]
-    mark_a, mark_b = np.full(len(a), ","), np.full(len(b), ",")
-    mark_a[upto_a - 1], mark_b[upto_b - 1] = "|", ";"
+    end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    end_a[upto_a - 1] = end_b[upto_b - 1] = 1
     shown = np.empty(len(a) + len(b), object)
-    shown[place_a] = [f"{i}{m}" for i, m in zip(a.tolist(), mark_a.tolist())]
-    shown[place_b] = [f"{i}{m}" for i, m in zip(b.tolist(), mark_b.tolist())]
+    shown[place_a], shown[place_b] = pair.shown_a[a, end_a], pair.shown_b[b, end_b]
     shown, at = shown.tolist(), 0
     for i, n in zip(good.tolist(), (n_a + n_b).tolist()):
         texts[i] = "".join(shown[at : at + n])[:-1]
@@ -201,6 +210,23 @@ def aligned(pair: Pair, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[
     return size, valid, texts, links, counts
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64)
+
+
+def _spelled(pair: Pair, spelled: list[bytes], all_a: list[list[int]], all_b: list[list[int]]) -> np.ndarray:
+    """Places of the units whose tokens spell them byte for byte on both sides."""
+    join = lambda ids, table: b"".join(map(table.__getitem__, ids))
+    same = np.ones(len(spelled), bool)
+    for ids, table, length in ((all_a, pair.bytes_a, pair.length_a), (all_b, pair.bytes_b, pair.length_b)):
+        flat = _flat(ids)
+        ends = np.concatenate([[0], np.cumsum(length[flat])])[np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+        if (ends == np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))).all() and join(flat.tolist(), table) == b"".join(spelled):
+            continue
+        same &= np.fromiter((join(i, table) == want for i, want in zip(ids, spelled)), bool, len(spelled))
+    return np.flatnonzero(same)
+
+
 _BLOCKS = "block long, head boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, data binary"
 
 
@@ -242,28 +268,34 @@ def _block(block: int, ids: list, texts: list[str], units: Units, with_groups: b
     for i in whole:  # a unit that is not spelled by both sides: judge the text as one
         owned[i] = units.numbers([texts[i]])
     units.learn()
-    own = [np.unique(np.array(o if o and units.valid[o].all() else [], np.int64), return_counts=True) for o in owned]
-    used = np.unique(np.concatenate([u for u, _ in own]))
-    # The block's own list of pairs, and its units' places in it.
+    own = [o if o and units.valid[o].all() else [] for o in owned]
+    # Distinct (document, unit), how often each occurs, and where a document's begin.
+    each = np.repeat(np.arange(len(own)), list(map(len, own)))
+    wide = max(len(units.number), 1)
+    key, times = np.unique(each * wide + _flat(own), return_counts=True)
+    doc, unit = key // wide, key % wide
+    begin = np.searchsorted(doc, np.arange(len(own) + 1))
+    # The block's own list of units and of pairs, and its units' places in the latter.
+    used, place = np.unique(unit, return_inverse=True)
     links, spread = _spread(units.links, units.first, used)
     pairs, at = np.unique(links, return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(spread)])
     # Documents that hold a pair: distinct (document, pair), a bounded number of documents at a time.
-    docs_with, step = np.zeros(len(pairs), np.int64), 256
-    local = [np.searchsorted(used, u) for u, _ in own]
+    docs_with, step, many = np.zeros(len(pairs), np.int64), 256, max(len(pairs), 1)
     for lo in range(0, len(own), step):
-        part = local[lo : lo + step]
-        expanded, many = _spread(at, starts, np.concatenate(part))
-        holder = np.repeat(np.repeat(np.arange(len(part)), list(map(len, part))), many)
-        key = np.unique(holder * max(len(pairs), 1) + expanded)
-        docs_with += np.bincount(key % max(len(pairs), 1), minlength=len(pairs))
+        part = slice(begin[lo], begin[min(lo + step, len(own))])
+        expanded, n = _spread(at, starts, place[part])
+        held = np.sort((np.repeat(doc[part], n) - lo) * many + expanded)
+        docs_with += np.bincount(held[np.append(True, held[1:] != held[:-1])] % many, minlength=len(pairs)) if len(held) else 0
+    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(units.size[unit] * times[:, None], axis=0)])
+    sizes = (sums[begin[1:]] - sums[begin[:-1]]).tolist()
     rows = []
-    for doc_id, o, (u, n), place in zip(ids, owned, own, local):
-        size = (units.size[u] * n[:, None]).sum(axis=0).tolist()
-        groups = ";".join([units.text[i] for i in o]) if len(u) else ""
-        digest = hashlib.sha256(groups.encode()).hexdigest() if len(u) else ""
-        rows.append((block, False, doc_id, *size, groups if with_groups else None, digest, np.stack([place, n]).astype("<u4").tobytes()))
-    head = np.concatenate([[len(used), len(pairs)], starts, at, pairs, docs_with]).astype("<i8").tobytes()
+    for i, (doc_id, o) in enumerate(zip(ids, own)):
+        groups = ";".join(map(units.text.__getitem__, o))
+        digest = hashlib.sha256(groups.encode()).hexdigest() if o else ""
+        part = slice(begin[i], begin[i + 1])
+        rows.append((block, False, doc_id, *sizes[i], groups if with_groups else None, digest, _packed(np.diff(place[part], prepend=0), times[part])))
+    head = _packed(np.diff(starts), at, pairs & 0xFFFFFFFF, pairs >> 32, docs_with)
     rows.append((block, True, None, 0, 0, 0, 0, None, None, head))
     if whole:
         units.clear()  # whole texts are not worth remembering
@@ -279,13 +311,28 @@ def _spread(values: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[
     return values[np.arange(int(many.sum())) + np.repeat(first[chosen] - begin, many)], many
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2 ** 32, compressed byte plane by byte plane."""
+    planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in arrays]
+    sizes = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(1).compress(sizes + b"".join(planes))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    count = int(np.frombuffer(raw, "<u4", 1)[0])
+    out, at = [], 4 * (count + 1)
+    for n in np.frombuffer(raw, "<u4", count, 4).tolist():
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+        at += 4 * n
+    return out
+
+
 def _head(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, places, pairs, documents) of a block's head."""
-    x = np.frombuffer(data, "<i8")
-    n_units, n_pairs = int(x[0]), int(x[1])
-    starts = x[2 : 3 + n_units]
-    stop = 3 + n_units + int(starts[-1])
-    return starts, x[3 + n_units : stop], x[stop : stop + n_pairs], x[stop + n_pairs :]
+    spread, at, low, high, n_docs = _unpacked(data)
+    return np.concatenate([[0], np.cumsum(spread)]), at, high << 32 | low, n_docs
 
 
 def pair_counts(heads: DataFrame) -> DataFrame:
@@ -331,7 +378,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
         sums, bests = (np.concatenate([[0], np.cumsum(v[at] if len(at) else np.zeros(0, np.int64))]) for v in (n, best.astype(np.int64)))
         unit_sum, unit_best = np.diff(sums[starts]), np.diff(bests[starts])
         out = rows[~rows["head"]].copy()
-        own = [np.frombuffer(d, "<u4").reshape(2, -1).astype(np.int64) for d in out["data"]]
+        own = [(np.cumsum(steps), times) for steps, times in map(_unpacked, out["data"])]
         out["count_sum"] = [int((unit_sum[u] * k).sum()) for u, k in own]
         out["n_best"] = [int((unit_best[u] * k).sum()) for u, k in own]
         out["doc_id"] = out["doc_id"].astype("Int64")
