@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, language_id, licences, line_dedup, packing, quality, repeated_passages, simhash, token_alignment, url_filter
+from . import decontamination, exact_dedup, hard_negatives, language_id, licences, line_dedup, packing, quality, repeated_passages, repeated_phrases, simhash, token_alignment, url_filter
 from .common import table
 
 
@@ -54,6 +54,14 @@ def op11_token_alignment(spark, sf_dir):
     return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.with_planted_labels(table(spark, sf_dir, "embeddings"), "vec_id", "label"))
+
+
+def op13_substring_dedup(spark, sf_dir):
+    return repeated_phrases.remove(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -71,12 +79,14 @@ def queries():
         "op9_license_scan": op9_license_scan,
         "op10_simhash_dedup": op10_simhash_dedup,
         "op11_token_alignment": op11_token_alignment,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_substring_dedup": op13_substring_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    found = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    found = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_substring_dedup": repeated_phrases.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
