@@ -56,3 +56,26 @@ def test_cycles(spark):
         flow.accumulation(cells).collect()
     found = tiles.labelled(cells, spark.createDataFrame([(3, 5)], "node long, label long"), 4)
     assert {r["node"]: r["label"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 5}
+
+
+@pytest.mark.parametrize("seed,side,lost", [(4, 4, "few"), (5, 7, "few"), (6, 5, "tile"), (7, 64, "last")])
+def test_grids_with_gaps(spark, seed, side, lost):
+    """Cells that are not there, and whole tiles of them, as in tables without their no-data cells."""
+    dst, cols = grid(seed)
+    rng = np.random.default_rng(seed)
+    gone = {"few": rng.random(len(dst)) < 0.15, "tile": (np.arange(len(dst)) // cols // side == 1) & (np.arange(len(dst)) % cols // side == 2), "last": np.arange(len(dst)) >= len(dst) - 3}[lost]
+    cells = spark.createDataFrame([(i, int(d)) for i, d in enumerate(dst) if not gone[i]], "src long, dst long")
+    want = {r["src"]: r["facc"] for r in flow.accumulation(cells).collect()}
+    assert {r["src"]: r["facc"] for r in tiles.accumulation(cells, cols, side).collect()} == want
+    seeds = spark.createDataFrame([(i, 1 + i % 5) for i in range(0, len(dst), 13)], "node long, label long")
+    there = seeds.join(cells.selectExpr("src as node"), "node", "left_semi")
+    labels = {r["node"]: r["label"] for r in flow.labelled(cells, there).collect()}
+    assert {r["node"]: r["label"] for r in tiles.labelled(cells, seeds, cols, side).collect()} == labels
+
+
+def test_gap_by_hand(spark):
+    """A 4 x 4 grid that drains south without the cell in row 2 and column 1."""
+    cells = spark.createDataFrame([(i, min(i + 4, i % 4 + 12)) for i in range(16) if i != 9], "src long, dst long")
+    for side in (2, 4):
+        got = {r["src"]: r["facc"] for r in tiles.accumulation(cells, 4, side).collect()}
+        assert got[10] == 3 and got[14] == 4 and got[13] == 1 and got[5] == 2

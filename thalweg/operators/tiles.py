@@ -29,11 +29,23 @@ def _border(cell: np.ndarray, n_cols: int, side: int) -> np.ndarray:
     return (row == 0) | (row == side - 1) | (col == 0) | (col == side - 1)
 
 
-def _places(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of each cell's next one within the tile, -1 for none; whether it drains out of the tile). ``src`` is sorted."""
+def _places(src: np.ndarray, dst: np.ndarray, n_cols: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each cell's next one within the tile, -1 for none; whether it drains out of the tile). ``src`` is sorted.
+
+    Flow to a cell of the tile that is not there ends, like flow to the cell itself.
+    """
     at = np.minimum(np.searchsorted(src, dst), len(src) - 1)
-    inside = src[at] == dst
-    return np.where(inside & (dst != src), at, -1), ~inside
+    square = lambda cell: (cell // n_cols // side, cell % n_cols // side)
+    (ay, ax), (by, bx) = square(src), square(dst)
+    return np.where((src[at] == dst) & (dst != src), at, -1), (ay != by) | (ax != bx)
+
+
+def _here(src: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of ``cells`` in sorted ``src``, whether they are there)."""
+    at = np.searchsorted(src, cells)
+    there = at < len(src)
+    there[there] = src[at[there]] == cells[there]
+    return at, there
 
 
 def _gathered(following: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -62,12 +74,15 @@ def _ends(following: np.ndarray) -> np.ndarray:
 
 
 def accumulation(flow: DataFrame, n_cols: int, side: int = SIDE) -> DataFrame:
-    """src, facc: the number of cells that drain through each cell of a grid, itself included. A cycle is an error."""
+    """src, facc: the number of cells that drain through each cell of a grid, itself included. A cycle is an error.
+
+    Cells that are not there hold and pass on nothing: flow to them ends.
+    """
 
     def borders(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("src")
         src, dst = g["src"].to_numpy(np.int64), g["dst"].to_numpy(np.int64)
-        following, out = _places(src, dst)
+        following, out = _places(src, dst, n_cols, side)
         total, end = _gathered(following, np.ones(len(src), np.int64)), _ends(following)
         edge = np.flatnonzero(_border(src, n_cols, side))
         leaves = out[end[edge]]
@@ -80,8 +95,11 @@ def accumulation(flow: DataFrame, n_cols: int, side: int = SIDE) -> DataFrame:
         g = group[group["dst"].notna()].sort_values("src")
         src, dst = g["src"].to_numpy(np.int64), g["dst"].to_numpy(np.int64)
         own, more = np.ones(len(src), np.int64), group[group["dst"].isna()]
-        np.add.at(own, np.searchsorted(src, more["src"].to_numpy(np.int64)), more["acc"].to_numpy(np.int64))
-        return pd.DataFrame({"src": src, "facc": _gathered(_places(src, dst)[0], own).astype(np.float64)})
+        # What was sent to a cell that the grid lacks goes nowhere.
+        at, there = _here(src, more["src"].to_numpy(np.int64))
+        np.add.at(own, at[there], more["acc"].to_numpy(np.int64)[there])
+        following = _places(src, dst, n_cols, side)[0] if len(src) else np.zeros(0, np.int64)
+        return pd.DataFrame({"src": src, "facc": _gathered(following, own).astype(np.float64)})
 
     cells = flow.select("src", "dst")
     met = cut(cells.groupBy(*_tile(F.col("src"), n_cols, side)).applyInPandas(borders, "node long, ptr long, acc long"), "borders")
@@ -105,7 +123,7 @@ def labelled(flow: DataFrame, seeds: DataFrame, n_cols: int, side: int = SIDE) -
         src, dst = g["src"].to_numpy(np.int64), g["dst"].to_numpy(np.int64)
         mark, seed = np.zeros(len(src), np.int64), group[group["dst"].isna()]
         np.maximum.at(mark, np.searchsorted(src, seed["src"].to_numpy(np.int64)), seed["label"].to_numpy(np.int64))
-        following, out = _places(src, dst)
+        following, out = _places(src, dst, n_cols, side)
         end = _ends(np.where(mark > 0, -1, following))
         return src, dst, end, out & (mark == 0), mark
 
