@@ -173,52 +173,6 @@ def snapped_outlets(points: DataFrame, facc: DataFrame, n_cols: int, radius: int
     return points.join(best, "fid", "left").select("fid", F.coalesce("b.r", "row_i").alias("row_i"), F.coalesce("b.c", "col_i").alias("col_i"))
 
 
-def outlets(flow: DataFrame, facc: DataFrame, n_cols: int, cell_m2: float, mode: str = "n", n_target: int = 25, least_m2: float = 10e6, main_stem: bool = True, edges: bool = True) -> DataFrame:
-    """place, node, dst, area_m2, kind: outlets taken greedily by accumulation, ``SPACING`` cells apart.
-
-    Sinks come first, a third of the budget at most; then the lesser inflows of confluences, each
-    with its junction's main stem, which need not keep away from that one inflow. Candidates are
-    ranked and streamed in order; acceptance is sequential by its nature, and stops with the budget
-    or the area threshold. Ties go to the smaller cell.
-    """
-    if mode not in ("n", "area"):
-        raise ValueError(f"unknown mode {mode}")
-    spark = flow.sparkSession
-    budget = max(1, n_target - 1)
-    taken: list[tuple[int, int, float, str]] = []
-
-    def free(node: int, but: int | None = None) -> bool:
-        r, c = divmod(node, n_cols)
-        return not any(t[0] != but and abs(r - t[0] // n_cols) < SPACING and abs(c - t[0] % n_cols) < SPACING for t in taken)
-
-    big = F.col("facc") * cell_m2 >= least_m2 if mode == "area" else F.lit(True)
-    if edges:
-        sinks = flow.where("src = dst").join(facc, "src", "left").select("src", F.coalesce("facc", F.lit(0.0)).alias("facc")).where(big)
-        found = 0
-        for s in sinks.orderBy(F.desc("facc"), "src").toLocalIterator():
-            if mode == "n" and found >= max(1, budget // 3):
-                break
-            if free(s["src"]):
-                taken.append((s["src"], s["src"], s["facc"] * cell_m2, "edge"))
-                found += 1
-    inflows = confluences(flow, facc)
-    stems = inflows.where("main_stem").select("dst", F.col("src").alias("stem"), F.col("facc").alias("stem_facc"))
-    lesser = inflows.where("not main_stem").where(big).join(stems, "dst")
-    left, used = budget - len(taken), 0
-    for c in lesser.orderBy(F.desc("facc"), "src").toLocalIterator():
-        if mode == "n" and used >= left:
-            break
-        if not free(c["src"]):
-            continue
-        taken.append((c["src"], c["dst"], c["facc"] * cell_m2, "internal"))
-        used += 1
-        if main_stem and used < left and free(c["stem"], but=c["src"]):
-            taken.append((c["stem"], c["dst"], c["stem_facc"] * cell_m2, "main_stem"))
-            used += 1
-    rows = [(i, *t) for i, t in enumerate(taken)]
-    return spark.createDataFrame(rows, "place long, node long, dst long, area_m2 double, kind string")
-
-
 def with_own_outlet(found: DataFrame, node: int, area_m2: float) -> DataFrame:
     """The outlets, and a cell of the user's own unless it is among them."""
     mine = found.sparkSession.createDataFrame([(node, node, area_m2, "outlet")], "node long, dst long, area_m2 double, kind string")

@@ -156,8 +156,9 @@ def river_layers(rivers: DataFrame, profile: DataFrame, table: DataFrame, segmen
 
 
 def with_distance(knicks: DataFrame, profile: DataFrame) -> DataFrame:
-    """Knickpoints (basin_id, idx, chi, elev) with dist_m and elev_m of their profile point."""
-    return knicks.select("basin_id", "idx", "chi", F.col("elev").alias("elev_m")).join(profile.select("basin_id", "idx", F.round("dist_m", 1).alias("dist_m")), ["basin_id", "idx"])
+    """Knickpoints (basin_id, idx, chi, elev) with dist_m and elev_m of their profile point; without such a point the distance is 0."""
+    at = profile.select("basin_id", "idx", F.round("dist_m", 1).alias("dist_m"))
+    return knicks.select("basin_id", "idx", "chi", F.col("elev").alias("elev_m")).join(at, ["basin_id", "idx"], "left").fillna(0.0, ["dist_m"])
 
 
 def unit_colours(units: DataFrame, colours: DataFrame) -> DataFrame:

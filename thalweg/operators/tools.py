@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import channel, checks, clip, flow, fluvial, grid, hypsometry, mapunits, network, polylines, sampling, series
+from . import channel, checks, clip, filling, flow, fluvial, grid, hypsometry, mapunits, network, outlets, polylines, sampling, series, tables, tiles
 from . import swath as swaths
 
 
@@ -72,15 +72,66 @@ class Fluvial:
     knickpoints: DataFrame
     segments: DataFrame
     summary: DataFrame
+    skipped: DataFrame  # basin_id, reason
 
 
 def steepness(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.GridMeta, theta: float = 0.45, a0: float = 1.0, depth: int = 3, smooth: int = 0, method: str = "chi_slope", value: str = "z") -> Fluvial:
-    """Every metric of the fluvial tool along rivers (fid, vidx, x, y), sampled cell by cell."""
+    """Every metric of the fluvial tool along rivers (fid, vidx, x, y), sampled cell by cell; rivers with too few points are skipped with a reason."""
     base = sampling.cell_by_cell(rivers, dem, facc, meta, value).select("basin_id", "idx", "dist_m", "elev", "area_m2")
     profile = cut(fluvial.analysed(base, theta, a0, smooth), "analysed")
     knicks = cut(fluvial.knickpoints(profile, depth), "knickpoints")
     parts = fluvial.segments(profile, knicks.select("basin_id", "idx"), method, theta)
-    return Fluvial(profile, knicks, parts, fluvial.summary(profile))
+    every = rivers.select(F.col("fid").alias("basin_id")).distinct()
+    skipped = every.join(profile.select("basin_id").distinct(), "basin_id", "left_anti").withColumn("reason", F.lit("too few points with an elevation"))
+    return Fluvial(profile, knicks, parts, fluvial.summary(profile), skipped)
+
+
+def accumulation_of(facc: DataFrame | None, dem: DataFrame, meta: grid.GridMeta, value: str = "z") -> tuple[DataFrame, str | None]:
+    """(src, row_i, col_i, facc; a message where it was computed): a user's own accumulation if it has a value, else that of the elevations.
+
+    Depressions are filled and flats drained before (``filling.flow``); cells without an elevation have no accumulation.
+    """
+    own = sampling.first_source(facc)
+    if own is not None:
+        return own.withColumn("src", F.col("row_i") * meta.n_cols + F.col("col_i")).select("src", "row_i", "col_i", "facc"), None
+    numbered = dem.withColumn("src", F.col("row_i") * meta.n_cols + F.col("col_i"))
+    down = cut(filling.flow(numbered, meta.n_cols, (meta.px_w, meta.px_h), value=value).select("src", "dst"), "flow")
+    found = cut(tiles.accumulation(down, meta.n_cols), "facc")
+    return found.select("src", F.floor(F.col("src") / meta.n_cols).alias("row_i"), (F.col("src") % meta.n_cols).alias("col_i"), "facc"), "accumulation computed from the elevations"
+
+
+@dataclass
+class Report:
+    """What a whole tool gives: its parts, labels (fid, label), what was skipped (fid, reason) and messages."""
+
+    rivers: Rivers
+    found: Channels | Fluvial
+    labels: DataFrame
+    skipped: DataFrame
+    messages: list[str]
+
+
+def _whole_skipped(rivers: Rivers, found: Channels | Fluvial, labels: DataFrame) -> DataFrame:
+    """fid, label, reason of every basin that gives no result, from clipping to sampling."""
+    late = found.skipped.select(F.col("basin_id").alias("fid"), "reason")
+    return rivers.skipped.unionByName(late).join(labels, "fid", "left").select("fid", F.coalesce("label", F.concat(F.lit("Basin_"), F.col("fid").cast("string"))).alias("label"), "reason")
+
+
+def ncp_of(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid.GridMeta, n: int = 200, smooth: int = 0, label: str | None = None, snap: float = 2.0, cell: float = 1000.0) -> Report:
+    """Normalised channel profiles of the main river of each basin, from streams (fid, vidx, x, y), basins (rings) and elevations."""
+    names = grid.labels(basins.dropDuplicates(["fid"]), label)
+    rivers = main_rivers(streams, basins, dem, meta, snap, cell)
+    found = channels(rivers.vertices, dem, meta, n, smooth)
+    return Report(rivers, found, names, _whole_skipped(rivers, found, names), [])
+
+
+def fluvial_of(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid.GridMeta, facc: DataFrame | None = None, theta: float = 0.45, a0: float = 1.0, depth: int = 3, smooth: int = 0, label: str | None = None, snap: float = 2.0, cell: float = 1000.0) -> Report:
+    """The fluvial tool on the main river of each basin; without an accumulation it is computed from the elevations."""
+    names = grid.labels(basins.dropDuplicates(["fid"]), label)
+    rivers = main_rivers(streams, basins, dem, meta, snap, cell)
+    drained, message = accumulation_of(facc, dem, meta)
+    found = steepness(rivers.vertices, dem, drained, meta, theta, a0, depth, smooth)
+    return Report(rivers, found, names, _whole_skipped(rivers, found, names), [message] if message else [])
 
 
 def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label: str | None = None, n_points: int = 200, least_cells: int = 10, cell: float = 1000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -118,10 +169,12 @@ def swath_of(lines: DataFrame, dem: DataFrame, meta: grid.GridMeta, n_stations:
     if high_to_low:
         named = series.high_to_low(named, "mean", "dist").drop("turn")
     if smooth >= 3:
-        for c in (c for c in columns if c not in ("relief", "hyps")):
+        for c in columns:
             named = series.smoothed(named, c, smooth).withColumn(c, F.col("smooth")).drop("smooth")
     out = named.withColumnsRenamed({"basin_id": "fid", "idx": "station"})
-    ticks = out.groupBy("fid").agg(swaths.nice_interval(F.max("dist") / 8).alias("x_tick"), swaths.nice_interval((F.max("max") - F.min("min")) / 6).alias("z_tick"))
+    # Where no station has a mean there is no range to divide.
+    z_tick = F.when(F.count("mean") > 0, swaths.nice_interval((F.max("mean") - F.min("mean")) / 6)).otherwise(F.lit(100.0))
+    ticks = out.groupBy("fid").agg(swaths.nice_interval(F.max("dist") / 8).alias("x_tick"), z_tick.alias("z_tick"))
     return out, ticks
 
 
@@ -168,3 +221,55 @@ def resolved_outlet(points: DataFrame | None, facc: DataFrame, meta: grid.GridMe
     inside = F.col("row_i").between(0, meta.n_rows - 1) & F.col("col_i").between(0, meta.n_cols - 1)
     off = cell.where(~inside).select("fid", F.lit("the outlet lies off the grid").alias("message"))
     return flow.snapped_outlets(cell.where(inside), facc, meta.n_cols, radius).select("row_i", "col_i"), warned.unionByName(off)
+
+
+@dataclass
+class Watershed:
+    """subbasins with rank and hex_color; labels: node, label; outlets; encoding; warnings: fid, message."""
+
+    subbasins: DataFrame
+    labels: DataFrame
+    outlets: DataFrame
+    encoding: str
+    warnings: DataFrame
+
+
+def watershed(directions: DataFrame, facc: DataFrame | None, meta: grid.GridMeta, points: DataFrame | None = None, encoding: str = "auto", mode: str = "n", n_subbasins: int = 25, least_km2: float = 10.0, main_stem: bool = True, edges: bool = True) -> Watershed:
+    """Sub-basins of flow directions (src, row_i, col_i, fdir): encoding, accumulation unless given, outlets, labels, statistics and colours.
+
+    Unknown codes are an error. A user's point (fid, x, y) is snapped to the most accumulation near
+    it, and is an outlet besides those chosen; without points the best cell of the grid is.
+    """
+    if encoding == "auto":
+        encoding = flow.encoding(directions).first()["encoding"]
+    if encoding not in flow.OFFSETS:
+        raise ValueError("unrecognised flow direction codes")
+    down = cut(flow.downstream(directions, meta.n_rows, meta.n_cols, encoding), "flow")
+    facc = tiles.accumulation(down, meta.n_cols) if facc is None else facc.select("src", "facc")
+    facc = cut(facc, "facc")
+    cell_m2 = meta.cell_area_m2()
+    found = cut(outlets.outlets(down, facc, meta.n_cols, cell_m2, mode, n_subbasins, least_km2 * 1e6, main_stem, edges), "outlets")
+    warnings = found.groupBy().count().where("count = 0").select(F.lit(None).cast("long").alias("fid"), F.lit("no confluences found").alias("message"))
+    spot, off = resolved_outlet(points, facc, meta)
+    warnings = warnings.unionByName(off)
+    own = spot.first()
+    if own is not None:
+        node = int(own["row_i"] * meta.n_cols + own["col_i"])
+        area = (facc.where(F.col("src") == node).agg(F.max("facc")).first()[0] or 0.0) * cell_m2
+        found = cut(flow.with_own_outlet(found, node, area), "outlets")
+    main = found.agg(F.max_by("node", F.struct("area_m2", -F.col("place")))).first()[0]
+    seeds = found.select("node", (F.col("place") + 1).alias("label"), "place")
+    if main is not None:
+        seeds = flow.with_trunk(down, seeds, main)
+    labels = cut(tiles.labelled(down, seeds, meta.n_cols), "labels")
+    parts = flow.subbasins(labels, facc, meta.n_cols, cell_m2, meta.x_of, meta.y_of)
+    return Watershed(tables.ranked_colours(parts), labels, found, encoding, warnings)
+
+
+def subbasin_layer(found: Watershed, meta: grid.GridMeta) -> DataFrame:
+    """label_id, area_km2, rank, n_pixels, outlet_x, outlet_y, hex_color, wkt: sub-basins with their outlines."""
+    row, col = F.floor(F.col("node") / meta.n_cols), F.col("node") % meta.n_cols
+    kept = found.labels.join(found.subbasins.select(F.col("label_id").alias("label")), "label", "left_semi")
+    rings = polygons(kept.select(row.alias("row_i"), col.alias("col_i"), "label"), meta)
+    shapes = tables.polygon_wkt(rings.withColumnRenamed("label", "fid"))
+    return found.subbasins.join(shapes.withColumnRenamed("fid", "label_id"), "label_id").select("label_id", "area_km2", "rank", "n_pixels", "outlet_x", "outlet_y", "hex_color", "wkt")

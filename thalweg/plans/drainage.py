@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import flow, mapunits, network, tiles
+from ..operators import filling, flow, mapunits, network, outlets, tiles
+from ..operators import tools as whole
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
 from .terrain import META
@@ -84,21 +87,51 @@ def outlet_snap(spark, sf):
 
 
 def outlets_greedy(spark, sf):
-    return flow.outlets(_flow(spark, sf), _facc(spark, sf), N_COLS, CELL_M2)
+    return outlets.outlets(_flow(spark, sf), _facc(spark, sf), N_COLS, CELL_M2)
+
+
+def outlets_by_area(spark, sf):
+    return outlets.outlets(_flow(spark, sf), _facc(spark, sf), N_COLS, CELL_M2, "area", least_m2=2500.0)
+
+
+def d8_accumulation_gaps(spark, sf):
+    """Over a grid without the cells that have no elevation: flow to them ends."""
+    there = _elevations(spark, sf).where("z is not null").select("src")
+    return tiles.accumulation(_flow(spark, sf).join(there, "src", "left_semi"), N_COLS)
+
+
+def _elevations(spark, sf):
+    return fx.elevation_cells(spark, sf).withColumn("src", F.col("row_i") * N_COLS + F.col("col_i"))
+
+
+def flow_from_dem(spark, sf):
+    return filling.flow(_elevations(spark, sf), N_COLS, (fx.PIXEL_W, fx.PIXEL_H)).select("src", "dst", F.round("level", 6).alias("level"))
+
+
+def fac_from_dem(spark, sf):
+    return whole.accumulation_of(None, fx.elevation_cells(spark, sf), META)[0].select("src", "facc")
+
+
+def _meta(spark, sf):
+    return replace(META, n_rows=_rows(spark, sf))
 
 
 def watershed(spark, sf):
     """From flow directions to sub-basins: accumulation, outlets, trunk, labels, statistics, colours."""
-    d8 = cut(_flow(spark, sf), "flow")
-    facc = cut(tiles.accumulation(d8, N_COLS), "facc")
-    found = cut(flow.outlets(d8, facc, N_COLS, CELL_M2), "outlets")
-    auto = flow.auto_outlet(facc, _rows(spark, sf), N_COLS).first()
-    if auto is not None:
-        found = cut(flow.with_own_outlet(found, auto["row_i"] * N_COLS + auto["col_i"], auto["facc"] * CELL_M2), "outlets")
-    main = found.agg(F.max_by("node", F.struct("area_m2", -F.col("place")))).first()[0]
-    seeds = found.select("node", (F.col("place") + 1).alias("label"), "place")
-    labels = cut(tiles.labelled(d8, flow.with_trunk(d8, seeds, main), N_COLS), "labels")
-    return flow.subbasins(labels, facc, N_COLS, CELL_M2, META.x_of, META.y_of).withColumn("colour", flow.rank_colour(F.col("rank")))
+    found = whole.watershed(fx.flow_cells(spark, sf), None, _meta(spark, sf))
+    return found.subbasins
+
+
+def watershed_by_area(spark, sf):
+    """Sub-basins upstream of confluences with a threshold, above a user's own outlet."""
+    spot = spark.createDataFrame([(1, 505.0, 805.0)], "fid long, x double, y double")
+    return whole.watershed(fx.flow_cells(spark, sf), None, _meta(spark, sf), spot, "grass", "area", least_km2=0.004, main_stem=False).subbasins
+
+
+def watershed_layer(spark, sf):
+    """Outlines of sub-basins: corners, and the area that they enclose in cells, beside the cells counted."""
+    found = whole.watershed(fx.flow_cells(spark, sf), None, _meta(spark, sf))
+    return whole.subbasin_layer(found, _meta(spark, sf)).select("label_id", "area_km2", "rank", "hex_color", F.length("wkt").alias("n_chars"))
 
 
 def mask_edges(spark, sf):
@@ -176,7 +209,8 @@ def hex_colours(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        d8_encoding, d8_downstream, d8_confluences, d8_accumulation, d8_path, d8_labels, d8_trunk_labels, subbasin_stats, outlet_auto, outlet_snap, outlets_greedy, watershed,
+        d8_encoding, d8_downstream, d8_confluences, d8_accumulation, d8_path, d8_labels, d8_trunk_labels, subbasin_stats, outlet_auto, outlet_snap, outlets_greedy, outlets_by_area, watershed, watershed_by_area, watershed_layer,
+        d8_accumulation_gaps, flow_from_dem, fac_from_dem,
         mask_edges, mask_rings, stream_downhill, snap_join, river_weights, main_river, stream_clip, kmeans_assign, kmeans, median_filter, components, components_sieve, hex_colours,
     )
 }
@@ -195,7 +229,25 @@ wt AS (SELECT basin_id, seg_id, MAX(total) AS weight FROM up GROUP BY basin_id,
 _DIST = " ".join(f"WHEN d{i} <= LEAST({', '.join(f'd{j}' for j in range(4))}) THEN {i}" for i in range(4))
 _Q = f"q AS (SELECT row_i, col_i, LEAST((r + g)//128, 3) AS cluster FROM ({sql.PIXELS}) p)"
 
+_STEPS8 = " UNION ALL ".join(f"SELECT {dr} AS dr, {dc} AS dc" for dr, dc in filling.STEPS)
+#: Filled levels by a priority flood as a fixpoint, directions, steps over flats.
+_DEM = f"""g AS (SELECT row_i*100 + col_i AS cell, row_i AS r, col_i AS c, z FROM ({sql.CELLS}) k WHERE z IS NOT NULL),
+st AS ({_STEPS8}), nb AS (SELECT a.cell AS src, b.cell AS dst, b.z, sqrt(dr*dr*100.0 + dc*dc*100.0) AS d FROM g a, st JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc),
+bs AS (SELECT cell FROM g WHERE cell NOT IN (SELECT src FROM nb GROUP BY src HAVING COUNT(*) = 8)),
+fl(cell, level) USING KEY (cell) AS (SELECT cell, z FROM g WHERE cell IN (SELECT cell FROM bs)
+  UNION SELECT nb.dst, MIN(GREATEST(nb.z, fl.level)) FROM fl JOIN nb ON nb.src = fl.cell LEFT JOIN recurring.fl o ON o.cell = nb.dst WHERE o.level IS NULL OR GREATEST(nb.z, fl.level) < o.level GROUP BY nb.dst),
+dn AS (SELECT nb.src, nb.dst, a.level AS la, b.level AS lb, (a.level - b.level)/d AS drop FROM nb JOIN fl a ON a.cell = nb.src JOIN fl b ON b.cell = nb.dst),
+lw AS (SELECT src, FIRST(dst ORDER BY drop DESC, dst) AS dst FROM dn WHERE drop > 0 GROUP BY src UNION ALL SELECT cell, cell FROM bs WHERE cell NOT IN (SELECT src FROM dn WHERE drop > 0)),
+fs(cell, steps) USING KEY (cell) AS (SELECT src, 0 FROM lw UNION SELECT dn.dst, MIN(fs.steps) + 1 FROM fs JOIN dn ON dn.src = fs.cell AND la = lb LEFT JOIN recurring.fs o ON o.cell = dn.dst WHERE o.steps IS NULL GROUP BY dn.dst),
+fd AS (SELECT src, dst FROM lw UNION ALL SELECT dn.src, MIN(dn.dst) FROM dn JOIN fs a ON a.cell = dn.src JOIN fs b ON b.cell = dn.dst WHERE la = lb AND b.steps = a.steps - 1 AND dn.src NOT IN (SELECT src FROM lw) GROUP BY dn.src)"""
+
 ORACLES = {
+    "flow_from_dem": f"WITH RECURSIVE {_DEM} SELECT src, dst, round(level, 6) AS level FROM fd JOIN fl ON fl.cell = fd.src",
+    "fac_from_dem": f"""WITH RECURSIVE {_DEM}, wk(origin, node) AS (SELECT src, src FROM fd UNION ALL SELECT origin, fd.dst FROM wk JOIN fd ON wk.node = fd.src WHERE fd.dst <> fd.src)
+SELECT node AS src, CAST(COUNT(*) AS DOUBLE) AS facc FROM wk GROUP BY node""",
+    "d8_accumulation_gaps": f"""WITH RECURSIVE {_F}, th AS (SELECT row_i*100 + col_i AS src FROM ({sql.CELLS}) k WHERE z IS NOT NULL), h AS (SELECT f.src, f.dst FROM f JOIN th USING (src)),
+wk(origin, node) AS (SELECT src, src FROM h UNION ALL SELECT origin, h.dst FROM wk JOIN h ON wk.node = h.src WHERE h.dst <> h.src AND h.dst IN (SELECT src FROM th))
+SELECT node AS src, CAST(COUNT(*) AS DOUBLE) AS facc FROM wk GROUP BY node""",
     "d8_encoding": "SELECT 'grass' AS raster, 'grass' AS encoding UNION ALL SELECT 'esri', 'esri' UNION ALL SELECT 'saga', 'saga' UNION ALL SELECT 'wrong', 'error'",
     "d8_downstream": f"WITH {_F} SELECT src, dst FROM f",
     "d8_confluences": f"""WITH {_F}, {_V}, k AS (SELECT f.src, f.dst, v.facc, COUNT(*) OVER (PARTITION BY f.dst) AS n_in, ROW_NUMBER() OVER (PARTITION BY f.dst ORDER BY v.facc DESC, f.src) = 1 AS main_stem
