@@ -65,8 +65,8 @@ def test_against_brute_force(spark, texts):
     assert any(0 < n < total for total, n, _ in want)
 
 
-def test_small_pieces_shards_and_many_places_of_a_seed(spark, texts, monkeypatch):
-    for name, value in (("PIECE", 40), ("SHARD_WORDS", 150), ("SHARD_PIECES", 5), ("TRIED", 1)):
+def test_small_pieces_shards_and_groups(spark, texts, monkeypatch):
+    for name, value in (("PIECE", 40), ("SHARD_WORDS", 150), ("SHARD_PIECES", 5), ("GROUP", 90)):
         monkeypatch.setattr(rp, name, value)
     check(spark, [*texts[:40], *HARD, " ".join(texts[:20])])
 
@@ -89,6 +89,18 @@ def test_words_that_share_a_letter_stay_apart():
     assert machine.stretches(1, 0, rows[0][2].split()) == [] and machine.covered[0].sum() == 40
 
 
+@pytest.mark.parametrize("tried", [0, 5, 1000])
+def test_a_seed_in_many_passages(monkeypatch, tried):
+    """Looked up by the windows around it, or tried one by one: the same stretches."""
+    monkeypatch.setattr(rp, "TRIED", tried)
+    form = [b"f%d" % i for i in range(18)]
+    rest = [[b"r%d" % (i % 7 * 100 + k // (1 + i % 3)) for k in range(60)] for i in range(40)]
+    machine = rp.Automaton([(i, 0, b" ".join(form + r)) for i, r in enumerate(rest)], rp._Letters())
+    for i in (0, 3, 17, 39):
+        words = [b"x"] * 3 + form + rest[i][:20] + [b"y"] * 9 + rest[i][10:58]
+        assert sorted({(a, b) for a, b in machine.stretches(99, 0, words) if b - a >= 38}) == sorted({(3, 41), (50, 98)})
+
+
 class _One(dict):
     def __missing__(self, word):
         return "\U00010000"

@@ -43,7 +43,7 @@ SEED = 18
 #: Windows in a piece of a document.
 PIECE = 4096
 #: Words of passages in a shard, at about 100 bytes of automaton each, and pieces that one task streams through it.
-SHARD_WORDS, SHARD_PIECES = 1_000_000, 20_000
+SHARD_WORDS, SHARD_PIECES = 500_000, 10_000
 #: Places of one seed that are tried one by one; of a seed with more, the windows around it are looked up.
 TRIED = 8
 _MEMO = 1_000_000
@@ -92,17 +92,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Stretches:
     """Hashes of any stretch of a row of words, from prefix sums modulo 2 ** 64."""
 
+    up, down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # powers, as far as a worker needed them
+
     def __init__(self, h: np.ndarray):
+        if len(self.down) <= len(h):
+            size = len(h) + len(h) // 4 + 1
+            Stretches.up, Stretches.down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
         self.sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * _powers(_BASE, len(h)), out=self.sums[1:])
-        self.down = _powers(pow(_BASE, -1, 1 << 64), len(h) + 1)
+        np.cumsum(h * self.up[: len(h)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, sampled place, its gram's hash, the stretch's hash) of the runs of windows in a row of word hashes."""
+def runs(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, sampled place, its gram's hash, the stretch's hash) of the runs of windows in word hashes.
+
+    ``starts`` are where texts begin; no window crosses a text's end.
+    """
+    if len(h) < LENGTH:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     s = Stretches(h)
     n = np.arange(len(h) - GRAM + 1)
     gram = s.of(n, n + GRAM)
@@ -113,12 +122,48 @@ def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         low = np.minimum(low[:-step], low[step:])
         have += step
     place = (low & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    last = np.append(first[1:], len(place)) - 1
+    ends = np.append(starts[1:], len(h))
+    long = ends - starts >= LENGTH
+    inside = np.zeros(len(h) + 1, np.int64)  # +1 where a text's windows begin, -1 after its last
+    inside[starts[long]] += 1
+    inside[ends[long] - LENGTH + 1] -= 1
+    valid = np.cumsum(inside)[: len(place)] > 0
+    new = np.append(True, place[1:] != place[:-1])
+    new[starts[long]] = True
+    first = np.flatnonzero(new & valid)
+    stop = np.append(np.flatnonzero(new | ~valid), len(place))
+    last = stop[np.searchsorted(stop, first, side="right")] - 1
     place = place[first]
     return first, last, place, gram[place], _mixed(s.of(first, last + LENGTH) + (place - first).astype(np.uint64))
 
 
+def groups(texts: Iterator[list[bytes]], size: int, overlap: int | None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of some ``size`` words: (words, starts of parts, their texts, their places in these).
+
+    Longer texts are cut to slices that overlap by ``overlap`` words, or stay whole where it is None.
+    """
+    words: list[bytes] = []
+    starts, owners, places = [], [], []
+    for i, text in enumerate(texts):
+        step = size if overlap is not None else max(len(text), 1)
+        for at in range(0, max(len(text) - (overlap or 0), 1), step):
+            part = text[at : at + step + (overlap or 0)]
+            if words and len(words) + len(part) > size:
+                yield words, np.array(starts, np.int64), np.array(owners, np.int64), np.array(places, np.int64)
+                words, starts, owners, places = [], [], [], []
+            if part:
+                starts.append(len(words))
+                owners.append(i)
+                places.append(at)
+                words += part
+    if words:
+        yield words, np.array(starts, np.int64), np.array(owners, np.int64), np.array(places, np.int64)
+
+
+#: Words that are hashed at once.
+GROUP = 400_000
+
+
 def _unpacked(z: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(z).split(b" ") if z else []
 
@@ -141,22 +186,18 @@ def store(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return spark.table(name)
 
 
-def sampled_runs(texts: DataFrame, slice_size: int = 1 << 20) -> DataFrame:
+def sampled_runs(texts: DataFrame) -> DataFrame:
     """name (of the gram), whole (of the stretch), uid and span: first window, windows less one, place less first window, packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for batch in batches:
-            out = []
-            for uid, z in zip(batch["uid"], batch["z"]):
-                words = _unpacked(z)
-                for at in range(0, len(words) - LENGTH + 1, slice_size):
-                    part = words[at : at + slice_size + LENGTH - 1]
-                    first, last, place, gram, whole = runs(np.fromiter(map(hashes.__getitem__, part), np.uint64, len(part)))
-                    span = (first + at) << 16 | (last - first) << 8 | (place - first)
-                    out.append((gram.view(np.int64), whole.view(np.int64), np.full(len(first), uid, np.int64), span))
-            columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(4)]
-            yield pd.DataFrame(dict(zip(("name", "whole", "uid", "span"), columns)))
+            uids = batch["uid"].to_numpy(np.int64)
+            for words, starts, owners, places in groups(map(_unpacked, batch["z"]), GROUP, LENGTH - 1):
+                first, last, place, gram, whole = runs(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), starts)
+                part = np.searchsorted(starts, first, side="right") - 1
+                span = (first - starts[part] + places[part]) << 16 | (last - first) << 8 | (place - first)
+                yield pd.DataFrame({"name": gram.view(np.int64), "whole": whole.view(np.int64), "uid": uids[owners[part]], "span": span})
 
     return texts.select("uid", "z").mapInPandas(run, "name long, whole long, uid long, span long")
 
@@ -171,21 +212,25 @@ def last_window(span) -> F.Column:
 
 def windows_of(texts: DataFrame, stretches: DataFrame) -> DataFrame:
     """name, whole, n, win (the window's hash), uid, start of the windows in stretches (name, whole, n, uid, span)."""
-    wanted = stretches.groupBy("uid").agg(F.collect_list(F.struct("name", "whole", "n", "span")).alias("wanted"))
+    columns = ("name", "whole", "n", "span")
+    wanted = stretches.groupBy("uid").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    lists = [F.col("wanted")[c].alias(c) for c in columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for batch in batches:
-            for uid, z, wanted in zip(batch["uid"], batch["z"], batch["wanted"]):
-                words = _unpacked(z)
+            uids = batch["uid"].to_numpy(np.int64)
+            for words, starts, owners, _ in groups(map(_unpacked, batch["z"]), GROUP, None):
                 s = Stretches(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-                name, whole, n, span = (np.array([w[c] for w in wanted], np.int64) for c in ("name", "whole", "n", "span"))
+                name, whole, n, span = (np.concatenate(batch[c].to_numpy()[owners]) for c in columns)
+                text = np.repeat(np.arange(len(owners)), [len(x) for x in batch["span"].to_numpy()[owners]])
                 many = (span >> 8 & 255) + 1
                 start = np.repeat(span >> 16, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 of = lambda x: np.repeat(x, many)
-                yield pd.DataFrame({"name": of(name), "whole": of(whole), "n": of(n), "win": s.of(start, start + LENGTH).view(np.int64), "uid": uid, "start": start})
+                at = start + of(starts[text])
+                yield pd.DataFrame({"name": of(name), "whole": of(whole), "n": of(n), "win": s.of(at, at + LENGTH).view(np.int64), "uid": of(uids[owners[text]]), "start": start})
 
-    return texts.join(wanted, "uid").select("uid", "z", "wanted").mapInPandas(run, "name long, whole long, n long, win long, uid long, start long")
+    return texts.join(wanted, "uid").select("uid", "z", *lists).mapInPandas(run, "name long, whole long, n long, win long, uid long, start long")
 
 
 def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -243,11 +288,18 @@ def pieces(texts: DataFrame, routed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out, size = [], 0
             for uid, z, wanted in zip(batch["uid"], batch["z"], batch["wanted"]):
                 words = _unpacked(z)
-                cut = {w["piece"]: b" ".join(words[w["piece"] * PIECE : (w["piece"] + 1) * PIECE + LENGTH - 1]) for w in wanted}
-                yield pd.DataFrame([(w["shard"], w["part"], uid, w["piece"] * PIECE, cut[w["piece"]]) for w in wanted], columns=["shard", "part", "uid", "base", "words"])
-
+                cut = {k: b" ".join(words[k * PIECE : (k + 1) * PIECE + LENGTH - 1]) for k in {w["piece"] for w in wanted}}
+                out += [(w["shard"], w["part"], uid, w["piece"] * PIECE, cut[w["piece"]]) for w in wanted]
+                size += len(words) * max(1, len(wanted) // len(cut))
+                if size > GROUP:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["shard", "part", "uid", "base", "words"]
     return texts.join(wanted, "uid").select("uid", "z", "wanted").mapInPandas(run, "shard long, part long, uid long, base long, words binary")
 
 
