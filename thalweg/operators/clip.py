@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import grid
+from . import grid, zones
 
 
 def _tiles(lo: str, hi: str, cell: float):
@@ -68,9 +68,6 @@ def parts(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, head.unionByName(tail)
 
 
-def cells_in_mask(cells: DataFrame, rings: DataFrame, meta: grid.GridMeta, cell: float) -> DataFrame:
+def cells_in_mask(cells: DataFrame, rings: DataFrame, meta: grid.GridMeta) -> DataFrame:
     """The cells whose centres lie in a polygon, each once."""
-    at = cells.withColumn("x_", meta.x_of(F.col("col_i"))).withColumn("y_", meta.y_of(F.col("row_i")))
-    points = at.select("row_i", "col_i", F.col("x_").alias("x"), F.col("y_").alias("y"))
-    inside = grid.point_in_rings(points, rings, cell).select("row_i", "col_i").distinct()
-    return cells.join(inside, ["row_i", "col_i"], "left_semi")
+    return cells.join(zones.members(rings, meta).select("row_i", "col_i"), ["row_i", "col_i"], "left_semi")

@@ -188,37 +188,6 @@ def outline_edges(cells: DataFrame, label: str = "label") -> DataFrame:
     return each.groupBy("label", "r0", "c0", "r1", "c1").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
 
 
-def rings(edges: DataFrame) -> DataFrame:
-    """label, ring, vidx, r, c: closed rings through the outline's corners, all of a label's, holes too."""
-    import pandas as pd
-
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        at: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r0, c0, r1, c1 in group[["r0", "c0", "r1", "c1"]].sort_values(["r0", "c0", "r1", "c1"]).itertuples(index=False):
-            at.setdefault((r0, c0), []).append((r1, c1))
-            at.setdefault((r1, c1), []).append((r0, c0))
-        out, ring = [], 0
-        for corner in sorted(at):
-            while at[corner]:
-                here, n = corner, 0
-                out.append((ring, n, *here))
-                while True:
-                    there = at[here].pop(0)
-                    at[there].remove(here)
-                    n += 1
-                    out.append((ring, n, *there))
-                    here = there
-                    if here == corner:
-                        break
-                ring += 1
-        made = pd.DataFrame(out, columns=["ring", "vidx", "r", "c"])
-        made.insert(0, "label", group["label"].iat[0])
-        return made
-
-    kind = dict(edges.dtypes)["label"]
-    return edges.groupBy("label").applyInPandas(trace, f"label {kind}, ring long, vidx long, r long, c long")
-
-
 def rank_colour(rank: Column) -> Column:
     """#rrggbb of a rank: hues a golden ratio apart at one saturation and value."""
     hue = F.pmod(rank * 0.618033988749895 + 0.1, F.lit(1.0)) * 6

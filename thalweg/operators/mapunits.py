@@ -138,68 +138,3 @@ def median(labels: DataFrame, n_rows: int, n_cols: int, size: int = 5, column: s
     dealt = labels.select("row_i", "col_i", F.col(column).cast("double").alias("v"), F.explode(tiles("row_i", n_rows)).alias("ty")).withColumn("tx", F.explode(tiles("col_i", n_cols)))
     found = dealt.groupBy("ty", "tx").applyInPandas(middle, f"row_i long, col_i long, {column} double")
     return found.withColumn(column, F.col(column).cast(kind))
-
-
-def parts(labels: DataFrame, column: str = "cluster", diagonal: bool = False, limit: int = 64) -> DataFrame:
-    """row_i, col_i, ``column``, part: connected cells of one value; a part's number is the key of its first cell.
-
-    Smallest keys spread over neighbours and along pointers at once, so a part takes about log2 of
-    its extent rounds.
-    """
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    key = F.shiftleft(F.col("row_i").cast("long"), 31) + F.col("col_i")
-    cells = cut(labels.select("row_i", "col_i", F.col(column).alias("v"), key.alias("id")), "cells")
-    edges = None
-    for dr, dc in steps:
-        other = cells.select((F.col("row_i") - dr).alias("row_i"), (F.col("col_i") - dc).alias("col_i"), F.col("v").alias("v2"), F.col("id").alias("b"))
-        met = cells.join(other, ["row_i", "col_i"]).where("v = v2").select(F.col("id").alias("a"), "b")
-        edges = met if edges is None else edges.unionByName(met)
-    edges = cut(edges, "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = cut(cells.select("id", F.col("id").alias("part")), "parts")
-    total = None
-    for _ in range(limit):
-        near = both.join(state.select(F.col("id").alias("b"), F.col("part").alias("p")), "b").groupBy(F.col("a").alias("id")).agg(F.min("p").alias("p"))
-        lower = state.join(near, "id", "left").select("id", F.col("part").alias("old"), F.least("part", F.coalesce("p", "part")).alias("part"))
-        # A part's old head takes the smallest key that any of its cells has met, and all of its cells jump there.
-        head = lower.groupBy(F.col("old").alias("h")).agg(F.min("part").alias("to"))
-        hop = lower.join(head, lower["old"] == head["h"]).select("id", F.least("part", "to").alias("part"))
-        state = cut(hop, "parts")
-        jump = state.select(F.col("id").alias("part"), F.col("part").alias("root"))
-        state = cut(state.join(jump, "part", "left").select("id", F.least("part", F.coalesce("root", "part")).alias("part")), "parts")
-        now = tuple(state.agg(F.sum(F.col("part").cast("decimal(38,0)")), F.count("*")).first())
-        if now == total:
-            break
-        total = now
-    else:
-        raise RuntimeError(f"parts did not settle in {limit} rounds")
-    return cells.join(state, "id").select("row_i", "col_i", F.col("v").alias(column), "part")
-
-
-def sieved(labels: DataFrame, least: int, column: str = "cluster", rounds: int = 1000) -> DataFrame:
-    """Labels with parts (8-connected) under ``least`` cells merged into the largest part beside them.
-
-    All small parts that have a larger neighbour merge in a round; rounds go on until none is left
-    or what is left touches nothing larger.
-    """
-    state = labels.select("row_i", "col_i", column)
-    steps = [(0, 1), (1, 0), (1, 1), (1, -1)]
-    for _ in range(rounds):
-        found = cut(parts(state, column, True), "sieve")
-        size = found.groupBy("part", column).agg(F.count("*").alias("n"))
-        if size.where(F.col("n") < least).isEmpty():
-            return found.select("row_i", "col_i", column)
-        touching = None
-        for dr, dc in steps:
-            other = found.select((F.col("row_i") - dr).alias("row_i"), (F.col("col_i") - dc).alias("col_i"), F.col("part").alias("q"))
-            met = found.join(other, ["row_i", "col_i"]).where("part <> q").select("part", "q").distinct()
-            touching = met if touching is None else touching.unionByName(met)
-        beside = touching.unionByName(touching.select(F.col("q").alias("part"), F.col("part").alias("q"))).distinct()
-        sizes = size.select("part", "n")
-        named = size.select(F.col("part").alias("q"), F.col("n").alias("m"), F.col(column).alias("to"))
-        small = beside.join(sizes, "part").where(F.col("n") < least).join(named, "q").where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("q") < F.col("part"))))
-        best = cut(small.groupBy("part").agg(F.max_by("to", F.struct("m", -F.col("q"))).alias("to")), "merge")
-        if best.isEmpty():
-            return found.select("row_i", "col_i", column)
-        state = cut(found.join(best, "part", "left").select("row_i", "col_i", F.coalesce("to", column).alias(column)), "sieve")
-    raise RuntimeError(f"the sieve did not settle in {rounds} rounds")

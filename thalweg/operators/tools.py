@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import channel, checks, clip, filling, flow, fluvial, grid, hypsometry, mapunits, network, outlets, polylines, sampling, series, tables, tiles
+from . import channel, checks, clip, filling, flow, fluvial, grid, hypsometry, mapunits, network, outlets, outlines, polylines, sampling, series, tables, tiles, zones
+from . import parts as grouping
 from . import swath as swaths
 
 
@@ -134,7 +135,7 @@ def fluvial_of(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid
     return Report(rivers, found, names, _whole_skipped(rivers, found, names), [message] if message else [])
 
 
-def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label: str | None = None, n_points: int = 200, least_cells: int = 10, cell: float = 1000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label: str | None = None, n_points: int = 200, least_cells: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, curves, skipped) of basins (rings, with any label column) over a grid of z.
 
     results: basin_id, label, hi, stage, area_km2, z_min, z_max, relief, n_cells. Faulty polygons,
@@ -143,8 +144,7 @@ def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label:
     sound, faults = checks.usable(basins)
     names = grid.labels(basins.dropDuplicates(["fid"]), label).withColumnRenamed("fid", "basin_id")
     once, repeated = grid.first_of_each_shape(sound)
-    points = dem.select("row_i", "col_i", "z", meta.x_of(F.col("col_i")).alias("x"), meta.y_of(F.col("row_i")).alias("y"))
-    cells = cut(grid.point_in_rings(points, once, cell).select(F.col("fid").alias("basin_id"), "z"), "zones")
+    cells = cut(zones.cells_in_zones(dem.select("row_i", "col_i", "z"), once, meta).select(F.col("fid").alias("basin_id"), "z"), "zones")
     curves = cut(hypsometry.curve(cells, n_points, least_cells), "curves")
     hi = hypsometry.integral(curves)
     area = grid.ring_areas(once).select(F.col("fid").alias("basin_id"), F.round("area_km2", 4).alias("area_km2"))
@@ -183,10 +183,10 @@ def polygons(labels: DataFrame, meta: grid.GridMeta, column: str = "label", hole
 
     Cells that touch by a side are one part. Of a part the ring with the largest extent is its outside (ring 0); without ``holes`` only that stays.
     """
-    parts = mapunits.parts(labels.select("row_i", "col_i", column), column)
-    outlines = flow.rings(flow.outline_edges(parts.select("row_i", "col_i", F.col("part").alias("label")), "label"))
+    parts = cut(grouping.parts(labels.select("row_i", "col_i", column), column), "parts")
+    traced = cut(outlines.rings(parts.select("row_i", "col_i", F.col("part").alias("label")), meta.n_cols), "rings")
     names = parts.groupBy("part").agg(F.first(column).alias(column))
-    at = outlines.select(F.col("label").alias("part"), "ring", "vidx", (F.lit(meta.x0) + F.col("c") * meta.px_w).alias("x"), (F.lit(meta.y0) + F.col("r") * meta.px_h).alias("y"))
+    at = traced.select(F.col("label").alias("part"), "ring", "vidx", (F.lit(meta.x0) + F.col("c") * meta.px_w).alias("x"), (F.lit(meta.y0) + F.col("r") * meta.px_h).alias("y"))
     box = at.groupBy("part", "ring").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("extent"))
     order = Window.partitionBy("part").orderBy(F.desc("extent"), "ring")
     ranked = box.withColumn("place", (F.row_number().over(order) - 1).cast("int")).select("part", "ring", "place")
@@ -194,7 +194,7 @@ def polygons(labels: DataFrame, meta: grid.GridMeta, column: str = "label", hole
     return at.join(kept, ["part", "ring"]).join(names, "part").select(column, "part", F.col("place").alias("ring"), "vidx", "x", "y")
 
 
-def map_units(pixels: DataFrame, meta: grid.GridMeta, k: int = 8, smooth: int = 5, sieve: int = 5000, mask: DataFrame | None = None, cell: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+def map_units(pixels: DataFrame, meta: grid.GridMeta, k: int = 8, smooth: int = 5, sieve: int = 5000, mask: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(outlines cluster_id, part, ring, vidx, x, y; colours cluster, r, g, b) of an image clustered by colour.
 
     Pixels are clustered, smoothed by a median, sieved and outlined; with ``mask`` (rings) only cells
@@ -202,9 +202,9 @@ def map_units(pixels: DataFrame, meta: grid.GridMeta, k: int = 8, smooth: int =
     """
     labels, centres = mapunits.kmeans(pixels, k, meta.n_cols)
     cleaned = mapunits.median(labels, meta.n_rows, meta.n_cols, smooth) if smooth >= 3 else labels
-    units = cut(mapunits.sieved(cleaned.select("row_i", "col_i", "cluster"), sieve), "units")
+    units = cut(grouping.sieved(cleaned.select("row_i", "col_i", "cluster"), sieve), "units")
     if mask is not None:
-        units = clip.cells_in_mask(units, mask, meta, cell)
+        units = clip.cells_in_mask(units, mask, meta)
     colours = pixels.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(centres)], "cluster int, r int, g int, b int")
     return polygons(units, meta, "cluster").withColumnRenamed("cluster", "cluster_id"), colours
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import filling, flow, mapunits, network, outlets, tiles
+from ..operators import filling, flow, mapunits, network, outlets, outlines, parts, tiles
 from ..operators import tools as whole
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
@@ -140,8 +140,12 @@ def mask_edges(spark, sf):
 
 
 def mask_rings(spark, sf):
+    """The rings around areas of one basin with known elevations: corners, area in cells, and whether it is a hole."""
     cells = fx.elevation_cells(spark, sf).where("z is not null").withColumn("label", F.col("basin_id"))
-    return flow.rings(flow.outline_edges(cells))
+    w = Window.partitionBy("label", "ring").orderBy("vidx")
+    cross = F.col("c") * F.lead("r").over(w) - F.lead("c").over(w) * F.col("r")
+    each = outlines.rings(cells, N_COLS).withColumn("cross", cross).groupBy("label", "ring").agg(F.count("cross").alias("n_corners"), F.sum("cross").alias("s"))
+    return each.select("label", "ring", "n_corners", (F.abs("s") / 2).alias("area"), (F.col("s") < 0).alias("hole"))
 
 
 def stream_downhill(spark, sf):
@@ -194,11 +198,11 @@ def median_filter(spark, sf):
 
 
 def components(spark, sf):
-    return mapunits.parts(_quarters(spark, sf)).groupBy("part", "cluster").agg(F.count("*").alias("n"))
+    return parts.parts(_quarters(spark, sf)).groupBy("part", "cluster").agg(F.count("*").alias("n"))
 
 
 def components_sieve(spark, sf):
-    return mapunits.sieved(mapunits.median(_quarters(spark, sf), _rows(spark, sf), N_COLS, 5), 6).groupBy("cluster").agg(F.count("*").alias("n"))
+    return parts.sieved(mapunits.median(_quarters(spark, sf), _rows(spark, sf), N_COLS, 5), 6).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def hex_colours(spark, sf):
@@ -241,7 +245,21 @@ lw AS (SELECT src, FIRST(dst ORDER BY drop DESC, dst) AS dst FROM dn WHERE drop
 fs(cell, steps) USING KEY (cell) AS (SELECT src, 0 FROM lw UNION SELECT dn.dst, MIN(fs.steps) + 1 FROM fs JOIN dn ON dn.src = fs.cell AND la = lb LEFT JOIN recurring.fs o ON o.cell = dn.dst WHERE o.steps IS NULL GROUP BY dn.dst),
 fd AS (SELECT src, dst FROM lw UNION ALL SELECT dn.src, MIN(dn.dst) FROM dn JOIN fs a ON a.cell = dn.src JOIN fs b ON b.cell = dn.dst WHERE la = lb AND b.steps = a.steps - 1 AND dn.src NOT IN (SELECT src FROM lw) GROUP BY dn.src)"""
 
+_SIDES = "d(k, ar, ac, ox, oy, br, bc) AS (VALUES (0, 0, 1, -1, 0, 0, 0), (1, 1, 0, 0, 1, 0, 1), (2, 0, -1, 1, 0, 1, 1), (3, -1, 0, 0, -1, 1, 0))"
+
 ORACLES = {
+    # Edges clockwise around their cell; each is followed by a turn to the right where there is one.
+    "mask_rings": f"""WITH RECURSIVE c AS (SELECT row_i AS r, col_i AS c, basin_id AS label FROM ({sql.CELLS}) k WHERE z IS NOT NULL), {_SIDES},
+e AS (SELECT c.label, (c.r*100 + c.c)*4 + k AS edge, c.r + br AS y, c.c + bc AS x, CASE WHEN a.label IS NULL THEN (c.r*100 + c.c)*4 + (k + 1) % 4 WHEN g.label IS NULL THEN (a.r*100 + a.c)*4 + k ELSE (g.r*100 + g.c)*4 + (k + 3) % 4 END AS nxt
+  FROM c CROSS JOIN d LEFT JOIN c o ON o.r = c.r + ox AND o.c = c.c + oy AND o.label = c.label LEFT JOIN c a ON a.r = c.r + ar AND a.c = c.c + ac AND a.label = c.label
+  LEFT JOIN c g ON g.r = c.r + ar + ox AND g.c = c.c + ac + oy AND g.label = c.label WHERE o.label IS NULL),
+w AS (SELECT e.edge AS origin, e.label, e.nxt AS at, CAST(1 AS BIGINT) AS n, e.x*f.y - f.x*e.y AS s FROM e JOIN e f ON f.edge = e.nxt
+  UNION ALL SELECT origin, w.label, e.nxt, n + 1, s + e.x*f.y - f.x*e.y FROM w JOIN e ON e.edge = w.at JOIN e f ON f.edge = e.nxt WHERE w.at > origin)
+SELECT label, origin AS ring, n AS n_corners, abs(s)/2.0::DOUBLE AS area, s < 0 AS hole FROM w WHERE at = origin""",
+    "components": f"""WITH RECURSIVE {_Q}, c AS (SELECT row_i*2147483648 + col_i AS cell, row_i, col_i, cluster FROM q),
+nb AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON a.cluster = b.cluster AND abs(a.row_i - b.row_i) + abs(a.col_i - b.col_i) = 1 AND a.row_i BETWEEN b.row_i - 1 AND b.row_i + 1 AND b.col_i IN (a.col_i - 1, a.col_i, a.col_i + 1)),
+p(cell, part) USING KEY (cell) AS (SELECT cell, cell FROM c UNION SELECT nb.b, MIN(p.part) FROM p JOIN nb ON nb.a = p.cell JOIN recurring.p o ON o.cell = nb.b WHERE p.part < o.part GROUP BY nb.b)
+SELECT part, cluster, COUNT(*) AS n FROM p JOIN c USING (cell) GROUP BY part, cluster""",
     "flow_from_dem": f"WITH RECURSIVE {_DEM} SELECT src, dst, round(level, 6) AS level FROM fd JOIN fl ON fl.cell = fd.src",
     "fac_from_dem": f"""WITH RECURSIVE {_DEM}, wk(origin, node) AS (SELECT src, src FROM fd UNION ALL SELECT origin, fd.dst FROM wk JOIN fd ON wk.node = fd.src WHERE fd.dst <> fd.src)
 SELECT node AS src, CAST(COUNT(*) AS DOUBLE) AS facc FROM wk GROUP BY node""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, hypsometry, polylines, rose, series, swath
+from ..operators import grid, hypsometry, polylines, rose, series, swath, zones
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
 
@@ -163,8 +163,7 @@ def natural_sort_labels(spark, sf):
 
 def zonal_point_in_polygon(spark, sf):
     cells = fx.elevation_cells(spark, sf).select("row_i", "col_i", "z")
-    centres = cells.withColumn("x", META.x_of(F.col("col_i"))).withColumn("y", META.y_of(F.col("row_i")))
-    inside = grid.point_in_rings(centres, fx.basin_rings(spark, sf), 150.0)
+    inside = zones.cells_in_zones(cells, fx.basin_rings(spark, sf), META)
     return inside.groupBy("fid").agg(F.count("*").alias("n_cells"), F.count("z").alias("n_known"), F.round(F.avg("z"), 6).alias("z_mean"))
 
 

@@ -61,6 +61,40 @@ def ncp_skipped(spark, sf):
     return found.select("basin_id", "reason")
 
 
+def _streams(spark, sf):
+    """The stream segments as lines of two vertices."""
+    ends = F.array(F.struct(F.lit(0).alias("vidx"), F.col("start_x").alias("x"), F.col("start_y").alias("y")), F.struct(F.lit(1).alias("vidx"), F.col("end_x").alias("x"), F.col("end_y").alias("y")))
+    each = fx.stream_segments(spark, sf).select((F.col("basin_id") * 1000000 + F.col("seg_id")).alias("fid"), F.explode(ends).alias("p"))
+    return each.select("fid", F.col("p.vidx").cast("long").alias("vidx"), "p.x", "p.y")
+
+
+def _report(found):
+    return found.skipped.select("fid", "label", "reason")
+
+
+def ncp_tool(spark, sf):
+    """Streams, basins and elevations to the metrics of each basin's main river."""
+    found = tools.ncp_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, 50, cell=250.0)
+    return found.found.metrics.join(found.found.counts, "basin_id")
+
+
+def ncp_tool_skipped(spark, sf):
+    return _report(tools.ncp_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, 50, cell=250.0))
+
+
+def fluvial_tool(spark, sf):
+    """The same for the river metrics, with the accumulation that the elevations give."""
+    return tools.fluvial_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, cell=250.0).found.summary
+
+
+def fluvial_tool_skipped(spark, sf):
+    return _report(tools.fluvial_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, cell=250.0))
+
+
+def swath_ticks(spark, sf):
+    return tools.swath_of(fx.lines(spark, sf), fx.elevation_cells(spark, sf), META, STATIONS, 2 * HALF_WIDTH, ACROSS)[1]
+
+
 def fluvial_from_raster(spark, sf):
     base = sampling.cell_by_cell(fx.lines(spark, sf), _coarse(fx.elevation_cells(spark, sf), "z"), _coarse(_facc(spark, sf), "facc"), COARSE).select("basin_id", "idx", "dist_m", "elev", "area_m2")
     found = fluvial.steepness(series.slope(fluvial.chi(series.high_to_low(base).drop("turn"))))
@@ -91,13 +125,13 @@ def _triangles(spark, sf):
 
 
 def mask_clip(spark, sf):
-    cells = clip.cells_in_mask(fx.elevation_cells(spark, sf), _triangles(spark, sf).where("fid % 2 = 0"), META, 250.0)
+    cells = clip.cells_in_mask(fx.elevation_cells(spark, sf), _triangles(spark, sf).where("fid % 2 = 0"), META)
     return cells.groupBy("basin_id").agg(F.count("*").alias("n"))
 
 
 def hyps_from_polygons(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label", cell=150.0)
-    return tables.hypsometry_summary(found).select("label", "fid", F.round("hi", 3).alias("hi"), "area_km2", *r6("min_elev", "max_elev", "relief"), "n_pixels")
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label")
+    return tables.hypsometry_summary(found).select("label", "fid", "hi", "area_km2", *r6("min_elev", "max_elev", "relief"), "n_pixels")
 
 
 def hyps_all_skipped(spark, sf):
@@ -105,17 +139,17 @@ def hyps_all_skipped(spark, sf):
     far = rings.where("fid < 2").select((F.col("fid") + 900000).alias("fid"), "label", "part", "ring", "vidx", (F.col("x") + 100000.0).alias("x"), "y")
     flat = rings.where("fid = 3").select((F.col("fid") + 800000).alias("fid"), "label", "part", "ring", "vidx", "x", F.lit(5.0).alias("y"))
     again = rings.where("fid = 0").select(F.lit(700000).cast("long").alias("fid"), "label", "part", "ring", "vidx", "x", "y")
-    _, _, gone = tools.hypsometry_of(fx.elevation_cells(spark, sf), rings.unionByName(far).unionByName(flat).unionByName(again), META, "label", cell=150.0)
+    _, _, gone = tools.hypsometry_of(fx.elevation_cells(spark, sf), rings.unionByName(far).unionByName(flat).unionByName(again), META, "label")
     return gone.select("fid", "reason")
 
 
 def hyps_selection_stats(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf).where("fid in (0, 2, 5, 9)"), META, "label", cell=150.0)
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf).where("fid in (0, 2, 5, 9)"), META, "label")
     return hypsometry.group_statistics(found.withColumn("selection", F.lit("Selection")), "selection").select("selection", "n", *r6("area_total_km2", "area_mean_km2", "relief_mean"))
 
 
 def hyps_ungrouped_strategy(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label", cell=150.0)
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label")
     return hypsometry.chunked(hypsometry.grouped(found, "none", "")).groupBy("group_no", "group_label").agg(F.count("*").alias("n"))
 
 
@@ -202,7 +236,7 @@ def clipped_network(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        river_equidistant, river_hydraulic, river_cell_by_cell, stream_ends, ncp_from_raster, ncp_skipped, fluvial_from_raster, position_at_distance, streams_in_polygons, mask_clip,
+        river_equidistant, river_hydraulic, river_cell_by_cell, stream_ends, ncp_from_raster, ncp_skipped, ncp_tool, ncp_tool_skipped, fluvial_tool, fluvial_tool_skipped, swath_ticks, fluvial_from_raster, position_at_distance, streams_in_polygons, mask_clip,
         hyps_from_polygons, hyps_all_skipped, hyps_selection_stats, swath_tool, swath_csv, rose_csv, profile_csv, summary_csv, summary_fleet, knickpoint_csv, ncp_csv, ncp_pair, ncp_profile_csv,
         layers_profile_points, ring_faults, first_line, closed_lines, clipped_network,
     )
@@ -224,6 +258,11 @@ def _area(source: str, order: str, cell_m2: float) -> str:
 ak AS (SELECT * EXCLUDE (raw, b4, af), CASE WHEN coalesce(b4, af) > 0 THEN coalesce(b4, af) ELSE {cell_m2} END AS area_m2 FROM ar)"""
 
 
+def _nice(v: str) -> str:
+    part = f"{v}/pow(10.0, floor(log10({v})))"
+    return f"CASE WHEN {v} > 0 THEN (CASE WHEN {part} < 1.5 THEN 1.0 WHEN {part} < 3 THEN 2.0 WHEN {part} < 7 THEN 5.0 ELSE 10.0 END)*pow(10.0, floor(log10({v}))) ELSE 1.0 END"
+
+
 _WALK = f"""l AS ({sql.LINES}), nx AS (SELECT *, LEAD(x) OVER w AS x2, LEAD(y) OVER w AS y2 FROM l WINDOW w AS (PARTITION BY fid ORDER BY vidx)),
 sg AS (SELECT *, GREATEST(CAST(CEIL(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y))/30.0) AS BIGINT), 1) AS steps FROM nx WHERE x2 IS NOT NULL AND sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)) >= 1e-6),
 wk AS (SELECT fid AS basin_id, vidx, s, x + s/CAST(steps AS DOUBLE)*(x2-x) AS x, y + s/CAST(steps AS DOUBLE)*(y2-y) AS y FROM (SELECT *, unnest(range(0, steps)) AS s FROM sg) q),
@@ -264,7 +303,7 @@ nc AS (SELECT {_NAME}, basin_id AS fid, max_c AS "maxC", dl AS "dL", concavity,
 
 ORACLES = {
     "ncp_from_raster": f"WITH {_RASTER_NCP} SELECT * FROM m",
-    "hyps_from_polygons": f"WITH {_FOUND} SELECT label, fid, round(hi_, 3) AS hi, round(km2, 4) AS area_km2, round(lo, 6) AS min_elev, round(top, 6) AS max_elev, round(top-lo, 6) AS relief, n AS n_pixels FROM fo",
+    "hyps_from_polygons": f"WITH {_FOUND} SELECT label, fid, round(hi_, 4) AS hi, round(km2, 4) AS area_km2, round(lo, 6) AS min_elev, round(top, 6) AS max_elev, round(top-lo, 6) AS relief, n AS n_pixels FROM fo",
     "hyps_strategy_none": f"WITH {_FOUND} SELECT fid AS group_no, label AS group_label, COUNT(*) AS n FROM fo GROUP BY ALL",
     "rose_csv": f"SELECT center AS azimuth, value FROM ({terrain.ORACLES['rose_bins_length']}) r",
     "hyps_all_skipped": f"""WITH b AS ({sql.BASINS}), k AS (SELECT basin_id AS fid, COUNT(z) AS n FROM ({sql.CELLS}) c GROUP BY 1)
@@ -286,6 +325,9 @@ SELECT fid, CAST(dist AS DOUBLE) AS dist, round(px + (dist-pcum)/(cum-pcum)*(x-p
     "mask_clip": f"""WITH {_RECT}, c2 AS (SELECT basin_id, (col_i + 0.5)*10.0 AS cx, 1000.0 - (row_i + 0.5)*10.0 AS cy FROM ({sql.CELLS}) c)
 SELECT basin_id, COUNT(*) AS n FROM c2 JOIN bs ON bs.fid % 2 = 0 AND cx >= x_min AND cy >= y_min AND (cx - x_min)/(x_max - x_min) + (cy - y_min)/(y_max - y_min) < 1 GROUP BY basin_id""",
     "hyps_selection_stats": f"""WITH {_HYPS} SELECT 'Selection' AS selection, COUNT(*) AS n, round(SUM(km2), 1) AS area_total_km2, round(AVG(km2), 1) AS area_mean_km2, round(AVG(hi-lo), 1) AS relief_mean FROM zs WHERE fid IN (0, 2, 5, 9)""",
+    "swath_ticks": f"""WITH {terrain._SWATH}, ss AS (SELECT sm.fid, sm.station, ANY_VALUE(st.dist) AS dist, AVG(z) AS mean FROM sm JOIN st ON st.fid = sm.fid AND st.station = sm.station GROUP BY ALL),
+t AS (SELECT fid, MAX(dist)/8 AS x, (MAX(mean) - MIN(mean))/6 AS z, COUNT(mean) AS n FROM ss GROUP BY fid)
+SELECT fid, {_nice('x')} AS x_tick, CASE WHEN n = 0 THEN 100.0 ELSE {_nice('z')} END::DOUBLE AS z_tick FROM t""",
     "swath_tool": f"""WITH {terrain._SWATH}, ss AS (SELECT sm.fid, sm.station, ANY_VALUE(st.dist) AS dist, AVG(z) AS mean, MIN(z) AS lo, MAX(z) AS hi FROM sm JOIN st ON st.fid = sm.fid AND st.station = sm.station GROUP BY ALL)
 SELECT fid, round(MAX(dist)/1000, 2) AS length_km, round(MAX(hi), 1) AS max, round(MIN(lo), 1) AS min, round(AVG(mean), 1) AS mean, round(MAX(hi)-MIN(lo), 1) AS relief FROM ss GROUP BY fid""",
     "swath_csv": f"""WITH {terrain._SWATH}, ss AS (SELECT sm.fid, sm.station, ANY_VALUE(st.dist) AS dist, AVG(z) AS mean, MIN(z) AS lo, MAX(z) AS hi, COUNT(z) AS n FROM sm JOIN st ON st.fid = sm.fid AND st.station = sm.station GROUP BY ALL)
