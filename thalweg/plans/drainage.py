@@ -253,9 +253,9 @@ ORACLES = {
 e AS (SELECT c.label, (c.r*100 + c.c)*4 + k AS edge, c.r + br AS y, c.c + bc AS x, CASE WHEN a.label IS NULL THEN (c.r*100 + c.c)*4 + (k + 1) % 4 WHEN g.label IS NULL THEN (a.r*100 + a.c)*4 + k ELSE (g.r*100 + g.c)*4 + (k + 3) % 4 END AS nxt
   FROM c CROSS JOIN d LEFT JOIN c o ON o.r = c.r + ox AND o.c = c.c + oy AND o.label = c.label LEFT JOIN c a ON a.r = c.r + ar AND a.c = c.c + ac AND a.label = c.label
   LEFT JOIN c g ON g.r = c.r + ar + ox AND g.c = c.c + ac + oy AND g.label = c.label WHERE o.label IS NULL),
-w AS (SELECT e.edge AS origin, e.label, e.nxt AS at, CAST(1 AS BIGINT) AS n, e.x*f.y - f.x*e.y AS s FROM e JOIN e f ON f.edge = e.nxt
-  UNION ALL SELECT origin, w.label, e.nxt, n + 1, s + e.x*f.y - f.x*e.y FROM w JOIN e ON e.edge = w.at JOIN e f ON f.edge = e.nxt WHERE w.at > origin)
-SELECT label, origin AS ring, n AS n_corners, abs(s)/2.0::DOUBLE AS area, s < 0 AS hole FROM w WHERE at = origin""",
+w AS (SELECT e.edge AS origin, e.label, e.nxt AS here, CAST(1 AS BIGINT) AS n, e.x*f.y - f.x*e.y AS s FROM e JOIN e f ON f.edge = e.nxt
+  UNION ALL SELECT origin, w.label, e.nxt, n + 1, s + e.x*f.y - f.x*e.y FROM w JOIN e ON e.edge = w.here JOIN e f ON f.edge = e.nxt WHERE w.here > origin)
+SELECT label, origin AS ring, n AS n_corners, abs(s)/2.0::DOUBLE AS area, s < 0 AS hole FROM w WHERE here = origin""",
     "components": f"""WITH RECURSIVE {_Q}, c AS (SELECT row_i*2147483648 + col_i AS cell, row_i, col_i, cluster FROM q),
 nb AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON a.cluster = b.cluster AND abs(a.row_i - b.row_i) + abs(a.col_i - b.col_i) = 1 AND a.row_i BETWEEN b.row_i - 1 AND b.row_i + 1 AND b.col_i IN (a.col_i - 1, a.col_i, a.col_i + 1)),
 p(cell, part) USING KEY (cell) AS (SELECT cell, cell FROM c UNION SELECT nb.b, MIN(p.part) FROM p JOIN nb ON nb.a = p.cell JOIN recurring.p o ON o.cell = nb.b WHERE p.part < o.part GROUP BY nb.b)
