@@ -101,43 +101,58 @@ def chi_line(profile: DataFrame) -> DataFrame:
     return profile.groupBy("basin_id").agg(z0.alias("z_mouth"), (z0 + F.avg("ksn") * (F.max("chi") - F.min("chi"))).alias("z_source"))
 
 
+_SUMS = ("sx", "sy", "sxx", "sxy", "syy")
+
+
+def _rss(low: str, high: str, first: str, last: str) -> Column:
+    """Sum of squares about the line of the points between two sets of running sums, infinite where x does not change from ``first`` to ``last``."""
+    d = {c: F.col(f"{high}{c}") - F.col(f"{low}{c}") for c in ("n", *_SUMS)}
+    sxx = d["sxx"] - d["sx"] * d["sx"] / d["n"]
+    sxy = d["sxy"] - d["sx"] * d["sy"] / d["n"]
+    syy = d["syy"] - d["sy"] * d["sy"] / d["n"]
+    steep = F.abs(F.col(first) - F.col(last)) < 1e-10
+    return F.when(steep, F.lit(float("inf"))).otherwise(syy - sxy * sxy / F.when(~steep, sxx))
+
+
 def knickpoints(profile: DataFrame, depth: int = 3, points: int = SEGMENT_POINTS) -> DataFrame:
     """basin_id, idx, chi, elev: breaks of the chi profile, by repeated splitting in two.
 
     A stretch is split where two straight lines leave the least sum of squares, with ``points`` on
     each side; both parts are split again, ``depth`` levels deep, and the first ``depth`` breaks in
-    order of position stay. Running sums of a basin make every candidate's sum of squares a few
-    operations; a basin is one row throughout.
+    order of position stay. Every point is a row with its basin's running sums and its stretch's
+    ends; a level takes the best candidate of each stretch by an aggregate.
     """
+    from ..functions.lineage import cut
+
     basin = Window.partitionBy("basin_id")
     valid = profile.where("chi is not null and elev is not null").withColumn("x", F.col("chi") - F.avg("chi").over(basin)).withColumn("y", F.col("elev") - F.avg("elev").over(basin))
     run = along().rowsBetween(Window.unboundedPreceding, 0)
-    sums = valid.select(
-        "basin_id", "idx", "chi", "elev", "x", F.sum("x").over(run).alias("sx"), F.sum("y").over(run).alias("sy"),
-        F.sum(F.col("x") * F.col("x")).over(run).alias("sxx"), F.sum(F.col("x") * F.col("y")).over(run).alias("sxy"), F.sum(F.col("y") * F.col("y")).over(run).alias("syy"),
-    )
-    # p[k] holds the sums of the first k points; q[k] the point at k.
-    rows = sums.groupBy("basin_id").agg(F.array_sort(F.collect_list(F.struct("idx", "chi", "elev", "x", "sx", "sy", "sxx", "sxy", "syy"))).alias("q"))
-    zero = F.expr("array(named_struct('sx', 0D, 'sy', 0D, 'sxx', 0D, 'sxy', 0D, 'syy', 0D))")
-    rows = rows.withColumn("p", F.concat(zero, F.expr("transform(q, r -> named_struct('sx', r.sx, 'sy', r.sy, 'sxx', r.sxx, 'sxy', r.sxy, 'syy', r.syy))")))
-    part = lambda i, j, c: f"(p[{j}].{c} - p[{i}].{c})"
-
-    def rss(i: str, j: str) -> str:
-        n = f"({j} - {i})"
-        sxx = f"({part(i, j, 'sxx')} - {part(i, j, 'sx')} * {part(i, j, 'sx')} / {n})"
-        sxy = f"({part(i, j, 'sxy')} - {part(i, j, 'sx')} * {part(i, j, 'sy')} / {n})"
-        syy = f"({part(i, j, 'syy')} - {part(i, j, 'sy')} * {part(i, j, 'sy')} / {n})"
-        return f"if(abs(q[{i}].x - q[{j} - 1].x) < 1e-10, double('inf'), {syy} - {sxy} * {sxy} / {sxx})"
-
-    # Unbroken stretches of a level; null breaks end a branch.
-    rows = rows.withColumn("open", F.expr("array(named_struct('i', 0, 'j', size(q)))")).withColumn("found", F.expr("cast(array() as array<int>)"))
-    best = f"""array_min(transform(sequence(s.i + {points}, s.j - {points} - 1), b -> named_struct('r', {rss('s.i', 'b')} + {rss('b', 's.j')}, 'b', b)))"""
+    terms = {"sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y"), "syy": F.col("y") * F.col("y")}
+    rows = valid.select("basin_id", "idx", "chi", "elev", "x", (F.row_number().over(along())).cast("long").alias("n"), *[F.sum(v).over(run).alias(c) for c, v in terms.items()])
+    # ``b``: sums over all points before this one; a point's place is their number.
+    before = [F.coalesce(F.lag(c).over(along()), F.lit(0).cast("long") if c == "n" else F.lit(0.0)).alias(f"b{c}") for c in ("n", *_SUMS)]
+    every = cut(rows.select("basin_id", "idx", "chi", "elev", "x", F.lag("x").over(along()).alias("x_before"), "n", *_SUMS, *before), "points")
+    state = every.withColumn("i", F.lit(0).cast("long")).withColumn("j", F.count("*").over(basin))
+    found = None
     for _ in range(depth):
-        rows = rows.withColumn("cut", F.expr(f"filter(transform(open, s -> if(s.j - s.i > {2 * points}, named_struct('i', s.i, 'j', s.j, 'm', {best}), null)), c -> c is not null and c.m.r < double('inf'))"))
-        rows = rows.withColumn("found", F.expr("concat(found, transform(cut, c -> c.m.b))"))
-        rows = rows.withColumn("open", F.expr("flatten(transform(cut, c -> array(named_struct('i', c.i, 'j', c.m.b), named_struct('i', c.m.b, 'j', c.j))))"))
-    rows = rows.withColumn("at", F.explode(F.expr(f"slice(array_sort(array_distinct(found)), 1, {max(depth, 1)})"))).withColumn("k", F.expr("q[at]"))
-    return rows.where(F.lit(depth > 0)).select("basin_id", "k.idx", "k.chi", "k.elev")
+        state = cut(state, "stretches")
+        # A stretch's ends: sums before its first point and up to its last one.
+        first = state.where("bn = i").select("basin_id", "i", F.col("x").alias("x_i"), *[F.col(f"b{c}").alias(f"i{c}") for c in ("n", *_SUMS)])
+        last = state.where("n = j").select("basin_id", "i", F.col("x").alias("x_j"), *[F.col(c).alias(f"j{c}") for c in ("n", *_SUMS)])
+        inner = state.where((F.col("j") - F.col("i") > 2 * points) & (F.col("bn") >= F.col("i") + points) & (F.col("bn") < F.col("j") - points))
+        met = inner.join(first, ["basin_id", "i"]).join(last, ["basin_id", "i"])
+        total = _rss("i", "b", "x_i", "x_before") + _rss("b", "j", "x", "x_j")
+        tried = met.select("basin_id", "i", total.alias("rss"), "bn").where(F.col("rss") < float("inf"))
+        best = cut(tried.groupBy("basin_id", "i").agg(F.min_by("bn", F.struct("rss", "bn")).alias("at")), "breaks")
+        found = best.select("basin_id", "at") if found is None else found.unionByName(best.select("basin_id", "at"))
+        split = state.join(best, ["basin_id", "i"])  # a stretch without a break is done
+        right = F.col("bn") >= F.col("at")
+        state = split.withColumn("j", F.when(right, F.col("j")).otherwise(F.col("at"))).withColumn("i", F.when(right, F.col("at")).otherwise(F.col("i"))).drop("at")
+    if found is None:
+        return every.select("basin_id", "idx", "chi", "elev").limit(0)
+    order = Window.partitionBy("basin_id").orderBy("at")
+    kept = found.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= depth)
+    return every.join(kept.select("basin_id", F.col("at").alias("bn")), ["basin_id", "bn"]).select("basin_id", "idx", "chi", "elev")
 
 
 def stretches(profile: DataFrame, breaks: DataFrame) -> DataFrame:
