@@ -56,11 +56,18 @@ def closed(vertices: DataFrame) -> DataFrame:
     return vertices.select("fid", F.col("vidx").cast("long").alias("vidx"), "x", "y").unionByName(more)
 
 
-def usable(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(polygons without faults, fid and reason of the others). Open rings are closed first."""
+def usable(rings: DataFrame, cell: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(polygons without faults, fid and reason of the others). Open rings are closed first.
+
+    With ``cell``, the size of the squares in which edges meet, rings that cross or overlap are repaired.
+    """
     key = ["fid", "part", "ring"]
     named = rings.withColumn("id_", F.struct(*key))
     shut = closed(named.select(F.col("id_").alias("fid"), "vidx", "x", "y")).select("fid.*", "vidx", "x", "y")
+    if cell is not None:
+        from .repair import repaired
+
+        shut, _ = repaired(shut, cell)
     faults = ring_faults(shut)
     return shut.join(faults.select("fid"), "fid", "left_anti"), faults
 

@@ -59,3 +59,12 @@ def cycle_minima(nodes: DataFrame, limit: int = 64) -> DataFrame:
             return state.select("node", "least")
         before = now
     raise RuntimeError("the cycles did not settle")
+
+
+def cycle_places(nodes: DataFrame) -> DataFrame:
+    """node, cycle, place: the smallest node of each node's cycle (node, ptr), and the steps from it; every node is on a cycle."""
+    from .flow import gathered
+
+    least = cycle_minima(nodes.withColumn("value", F.col("node")))
+    opened = nodes.join(least, "node").select("node", F.when(F.col("ptr") != F.col("least"), F.col("ptr")).alias("ptr"), F.lit(1).cast("long").alias("acc"))
+    return least.join(gathered(opened), "node").select("node", F.col("least").alias("cycle"), (F.col("acc") - 1).alias("place"))

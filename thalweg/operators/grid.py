@@ -13,7 +13,7 @@ EARTH_RADIUS_M = 6371000.0
 
 @dataclass(frozen=True)
 class GridMeta:
-    """Georeference of a grid without rotation; ``px_h`` is negative where rows run south."""
+    """Georeference of a grid without rotation; ``px_h`` is negative where rows run south, ``crs`` is the number of its coordinate system, if known."""
 
     x0: float
     px_w: float
@@ -22,6 +22,7 @@ class GridMeta:
     n_rows: int | None = None
     n_cols: int | None = None
     geographic: bool = False
+    crs: int | None = None
 
     def column_of(self, x: Column) -> Column:
         return F.floor((x - F.lit(self.x0)) / F.lit(self.px_w))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import channel, checks, clip, filling, flow, fluvial, grid, hypsometry, mapunits, network, outlets, outlines, polylines, sampling, series, tables, tiles, zones
+from . import channel, checks, clip, filling, flow, fluvial, geodesy, grid, hypsometry, mapunits, network, outlets, outlines, polylines, sampling, series, tables, tiles, zones
 from . import parts as grouping
 from . import swath as swaths
 
@@ -22,12 +22,19 @@ class Rivers:
     skipped: DataFrame
 
 
-def main_rivers(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid.GridMeta, snap: float = 2.0, cell: float = 1000.0, value: str = "z") -> Rivers:
+def on_grid(features: DataFrame, crs: int | None, meta: grid.GridMeta) -> DataFrame:
+    """Features (x, y) of another coordinate system in that of the grid; unchanged where either is not named."""
+    return features if crs is None or meta.crs is None else geodesy.reprojected(features, crs, meta.crs)
+
+
+def main_rivers(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid.GridMeta, snap: float = 2.0, cell: float = 1000.0, value: str = "z", crs: int | None = None) -> Rivers:
     """The main river of each basin (rings) from streams (fid, vidx, x, y): clipped, turned downhill, snapped, weighed and traced.
 
-    Basins with faulty rings, and basins without a stream, are skipped with a reason.
+    Rings that cross or overlap are repaired; basins with other faults, and basins without a stream,
+    are skipped with a reason. ``crs`` is the system of streams and basins, where it is not the grid's.
     """
-    sound, faults = checks.usable(basins)
+    streams, basins = on_grid(streams, crs, meta), on_grid(basins, crs, meta)
+    sound, faults = checks.usable(basins, cell)
     pieces = cut(clip.lines_in_polygons(streams, sound, cell), "pieces")
     segments, vertices = clip.parts(pieces)
     turned = cut(network.downhill(sampling.ends(segments, dem, meta, value)), "segments")
@@ -135,19 +142,22 @@ def fluvial_of(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid
     return Report(rivers, found, names, _whole_skipped(rivers, found, names), [message] if message else [])
 
 
-def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label: str | None = None, n_points: int = 200, least_cells: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label: str | None = None, n_points: int = 200, least_cells: int = 10, cell: float = 1000.0, crs: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, curves, skipped) of basins (rings, with any label column) over a grid of z.
 
-    results: basin_id, label, hi, stage, area_km2, z_min, z_max, relief, n_cells. Faulty polygons,
-    repeated ones and basins with too few cells are skipped with a reason.
+    results: basin_id, label, hi, stage, area_km2, z_min, z_max, relief, n_cells; areas are
+    ellipsoidal on a geographic grid. Rings that cross or overlap are repaired; other faulty
+    polygons, repeated ones and basins with too few cells are skipped with a reason. ``crs`` is the
+    system of the basins, where it is not the grid's.
     """
-    sound, faults = checks.usable(basins)
+    basins = on_grid(basins, crs, meta)
+    sound, faults = checks.usable(basins, cell)
     names = grid.labels(basins.dropDuplicates(["fid"]), label).withColumnRenamed("fid", "basin_id")
     once, repeated = grid.first_of_each_shape(sound)
     cells = cut(zones.cells_in_zones(dem.select("row_i", "col_i", "z"), once, meta).select(F.col("fid").alias("basin_id"), "z"), "zones")
     curves = cut(hypsometry.curve(cells, n_points, least_cells), "curves")
     hi = hypsometry.integral(curves)
-    area = grid.ring_areas(once).select(F.col("fid").alias("basin_id"), F.round("area_km2", 4).alias("area_km2"))
+    area = (geodesy if meta.geographic else grid).ring_areas(once).select(F.col("fid").alias("basin_id"), F.round("area_km2", 4).alias("area_km2"))
     found = hypsometry.summary(cells, least_cells).join(hi, "basin_id").join(area, "basin_id").join(names, "basin_id").withColumn("stage", hypsometry.stage(F.col("hi")))
     empty = once.select("fid").distinct().join(cells.select(F.col("basin_id").alias("fid")).distinct(), "fid", "left_anti").withColumn("reason", F.lit("no cell in polygon"))
     few = hypsometry.skipped(cells, least_cells).withColumnRenamed("basin_id", "fid")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import filling, flow, mapunits, network, outlets, outlines, parts, tiles
+from ..operators import filling, flow, mapunits, network, outlets, outlines, parts, tables, tiles
 from ..operators import tools as whole
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
@@ -122,6 +122,12 @@ def watershed(spark, sf):
     return found.subbasins
 
 
+def watershed_totals(spark, sf):
+    """Sub-basins and their area in all, as the page shows them."""
+    found = whole.watershed(fx.flow_cells(spark, sf), None, _meta(spark, sf))
+    return tables.watershed_totals(tables.watershed(found.subbasins))
+
+
 def watershed_by_area(spark, sf):
     """Sub-basins upstream of confluences with a threshold, above a user's own outlet."""
     spot = spark.createDataFrame([(1, 505.0, 805.0)], "fid long, x double, y double")
@@ -213,7 +219,7 @@ def hex_colours(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        d8_encoding, d8_downstream, d8_confluences, d8_accumulation, d8_path, d8_labels, d8_trunk_labels, subbasin_stats, outlet_auto, outlet_snap, outlets_greedy, outlets_by_area, watershed, watershed_by_area, watershed_layer,
+        d8_encoding, d8_downstream, d8_confluences, d8_accumulation, d8_path, d8_labels, d8_trunk_labels, subbasin_stats, outlet_auto, outlet_snap, outlets_greedy, outlets_by_area, watershed, watershed_totals, watershed_by_area, watershed_layer,
         d8_accumulation_gaps, flow_from_dem, fac_from_dem,
         mask_edges, mask_rings, stream_downhill, snap_join, river_weights, main_river, stream_clip, kmeans_assign, kmeans, median_filter, components, components_sieve, hex_colours,
     )

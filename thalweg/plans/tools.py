@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from ..operators import checks, clip, fluvial, grid, hypsometry, network, polylines, rose, sampling, series, swath, tables, tools
+from ..operators import checks, clip, fluvial, geodesy, grid, hypsometry, network, polylines, repair, rose, sampling, series, swath, tables, tools
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
 from . import rivers, terrain
@@ -68,27 +70,66 @@ def _streams(spark, sf):
     return each.select("fid", F.col("p.vidx").cast("long").alias("vidx"), "p.x", "p.y")
 
 
+def _meta(spark, sf):
+    return replace(META, n_rows=int(fx.elevation_cells(spark, sf).agg(F.max("row_i")).first()[0]) + 1)
+
+
 def _report(found):
     return found.skipped.select("fid", "label", "reason")
 
 
 def ncp_tool(spark, sf):
     """Streams, basins and elevations to the metrics of each basin's main river."""
-    found = tools.ncp_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, 50, cell=250.0)
+    found = tools.ncp_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), _meta(spark, sf), 50, cell=250.0)
     return found.found.metrics.join(found.found.counts, "basin_id")
 
 
 def ncp_tool_skipped(spark, sf):
-    return _report(tools.ncp_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, 50, cell=250.0))
+    return _report(tools.ncp_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), _meta(spark, sf), 50, cell=250.0))
 
 
 def fluvial_tool(spark, sf):
     """The same for the river metrics, with the accumulation that the elevations give."""
-    return tools.fluvial_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, cell=250.0).found.summary
+    return tools.fluvial_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), _meta(spark, sf), cell=250.0).found.summary
 
 
 def fluvial_tool_skipped(spark, sf):
-    return _report(tools.fluvial_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), META, cell=250.0))
+    return _report(tools.fluvial_of(_streams(spark, sf), fx.basin_rings(spark, sf), fx.elevation_cells(spark, sf), _meta(spark, sf), cell=250.0))
+
+
+def _degrees(df):
+    """Places of the fixtures as degrees, some kilometres about a corner of a zone."""
+    return df.withColumns({"x": F.lit(7.25) + F.col("x") / 1000, "y": F.lit(45.5) + F.col("y") / 1000})
+
+
+def geographic_areas(spark, sf):
+    return geodesy.ring_areas(_degrees(fx.basin_rings(spark, sf))).select("fid", *r6("area_km2"))
+
+
+def utm_there_and_back(spark, sf):
+    """Vertices to a zone of the transverse Mercator and back, to a tenth of a millimetre."""
+    lines = _degrees(fx.lines(spark, sf))
+    back = geodesy.reprojected(geodesy.reprojected(lines, 4326, 32632), 32632, 4326)
+    return back.select("fid", "vidx", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+def web_mercator(spark, sf):
+    lines = geodesy.reprojected(_degrees(fx.lines(spark, sf)), 4326, 3857)
+    return lines.select("fid", "vidx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+def repaired_areas(spark, sf):
+    """Basins whose corners are in the order of a bow tie, repaired to two triangles."""
+    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x_min", "y_min"), ("x_max", "y_max"), ("x_max", "y_min"), ("x_min", "y_max"), ("x_min", "y_min"))])
+    ties = fx.basins(spark, sf).select("fid", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.posexplode(corners).alias("vidx", "p")).select("fid", "part", "ring", F.col("vidx").cast("long").alias("vidx"), "p.x", "p.y")
+    found, _ = repair.repaired(ties, 150.0)
+    parts = found.groupBy("fid").agg(F.countDistinct("part").alias("n_parts"))
+    return grid.ring_areas(found).join(parts, "fid").select("fid", "n_parts", *r6("area_m2"))
+
+
+def hyps_curve_csv(spark, sf):
+    _, curves, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label", 20, cell=150.0)
+    return tables.hypsometric_curve(curves)
 
 
 def swath_ticks(spark, sf):
@@ -130,7 +171,7 @@ def mask_clip(spark, sf):
 
 
 def hyps_from_polygons(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label")
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label", cell=150.0)
     return tables.hypsometry_summary(found).select("label", "fid", "hi", "area_km2", *r6("min_elev", "max_elev", "relief"), "n_pixels")
 
 
@@ -139,17 +180,17 @@ def hyps_all_skipped(spark, sf):
     far = rings.where("fid < 2").select((F.col("fid") + 900000).alias("fid"), "label", "part", "ring", "vidx", (F.col("x") + 100000.0).alias("x"), "y")
     flat = rings.where("fid = 3").select((F.col("fid") + 800000).alias("fid"), "label", "part", "ring", "vidx", "x", F.lit(5.0).alias("y"))
     again = rings.where("fid = 0").select(F.lit(700000).cast("long").alias("fid"), "label", "part", "ring", "vidx", "x", "y")
-    _, _, gone = tools.hypsometry_of(fx.elevation_cells(spark, sf), rings.unionByName(far).unionByName(flat).unionByName(again), META, "label")
+    _, _, gone = tools.hypsometry_of(fx.elevation_cells(spark, sf), rings.unionByName(far).unionByName(flat).unionByName(again), META, "label", cell=150.0)
     return gone.select("fid", "reason")
 
 
 def hyps_selection_stats(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf).where("fid in (0, 2, 5, 9)"), META, "label")
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf).where("fid in (0, 2, 5, 9)"), META, "label", cell=150.0)
     return hypsometry.group_statistics(found.withColumn("selection", F.lit("Selection")), "selection").select("selection", "n", *r6("area_total_km2", "area_mean_km2", "relief_mean"))
 
 
 def hyps_ungrouped_strategy(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label")
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label", cell=150.0)
     return hypsometry.chunked(hypsometry.grouped(found, "none", "")).groupBy("group_no", "group_label").agg(F.count("*").alias("n"))
 
 
@@ -236,7 +277,7 @@ def clipped_network(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        river_equidistant, river_hydraulic, river_cell_by_cell, stream_ends, ncp_from_raster, ncp_skipped, ncp_tool, ncp_tool_skipped, fluvial_tool, fluvial_tool_skipped, swath_ticks, fluvial_from_raster, position_at_distance, streams_in_polygons, mask_clip,
+        river_equidistant, river_hydraulic, river_cell_by_cell, stream_ends, ncp_from_raster, ncp_skipped, ncp_tool, ncp_tool_skipped, fluvial_tool, fluvial_tool_skipped, geographic_areas, utm_there_and_back, web_mercator, repaired_areas, hyps_curve_csv, swath_ticks, fluvial_from_raster, position_at_distance, streams_in_polygons, mask_clip,
         hyps_from_polygons, hyps_all_skipped, hyps_selection_stats, swath_tool, swath_csv, rose_csv, profile_csv, summary_csv, summary_fleet, knickpoint_csv, ncp_csv, ncp_pair, ncp_profile_csv,
         layers_profile_points, ring_faults, first_line, closed_lines, clipped_network,
     )
@@ -301,7 +342,16 @@ fo AS (SELECT COALESCE(NULLIF(TRIM(label), ''), 'Basin_' || CAST(fid AS VARCHAR)
 _NCP = f"""{rivers._NCP}, ln AS (SELECT basin_id, MAX(dist_m) AS len, COUNT(*) AS np FROM p GROUP BY basin_id),
 nc AS (SELECT {_NAME}, basin_id AS fid, max_c AS "maxC", dl AS "dL", concavity, round(len/1000, 3) AS length_km, np AS n_points FROM m JOIN ln USING (basin_id))"""
 
+def _authalic(v: str) -> str:
+    return f"({1 - geodesy.E2!r}*(sin(radians({v}))/(1 - {geodesy.E2!r}*pow(sin(radians({v})), 2)) + atanh({geodesy.E!r}*sin(radians({v})))/{geodesy.E!r}))"
+
+
 ORACLES = {
+    "geographic_areas": f"""SELECT fid, round(radians((x_max - x_min)/1000)*({_authalic('45.5 + y_max/1000')} - {_authalic('45.5 + y_min/1000')})*{geodesy.A}*{geodesy.A}/2/1e6, 6) AS area_km2 FROM ({sql.BASINS}) b""",
+    "utm_there_and_back": f"SELECT fid, vidx, round(7.25::DOUBLE + x/1000, 9) AS x, round(45.5::DOUBLE + y/1000, 9) AS y FROM ({sql.LINES}) l",
+    "web_mercator": f"SELECT fid, vidx, round(radians(7.25::DOUBLE + x/1000)*{geodesy.A}, 4) AS x, round(asinh(tan(radians(45.5::DOUBLE + y/1000)))*{geodesy.A}, 4) AS y FROM ({sql.LINES}) l",
+    "hyps_curve_csv": f"WITH {terrain._hyps_sql(20)} SELECT basin_id, p, round(area_fraction, 6) AS area_fraction, round(elev_fraction, 6) AS elev_fraction FROM h",
+    "repaired_areas": f"SELECT fid, CAST(2 AS BIGINT) AS n_parts, round((x_max - x_min)*(y_max - y_min)/2, 6) AS area_m2 FROM ({sql.BASINS}) b",
     "ncp_from_raster": f"WITH {_RASTER_NCP} SELECT * FROM m",
     "hyps_from_polygons": f"WITH {_FOUND} SELECT label, fid, round(hi_, 4) AS hi, round(km2, 4) AS area_km2, round(lo, 6) AS min_elev, round(top, 6) AS max_elev, round(top-lo, 6) AS relief, n AS n_pixels FROM fo",
     "hyps_strategy_none": f"WITH {_FOUND} SELECT fid AS group_no, label AS group_label, COUNT(*) AS n FROM fo GROUP BY ALL",
