@@ -79,3 +79,26 @@ def test_gap_by_hand(spark):
     for side in (2, 4):
         got = {r["src"]: r["facc"] for r in tiles.accumulation(cells, 4, side).collect()}
         assert got[10] == 3 and got[14] == 4 and got[13] == 1 and got[5] == 2
+
+
+@pytest.mark.parametrize("side", [3, 8, 64])
+def test_path(spark, side):
+    dst, cols = grid(9)
+    rng = np.random.default_rng(9)
+    gone = rng.random(len(dst)) < 0.03
+    cells = spark.createDataFrame([(i, int(d)) for i, d in enumerate(dst) if not gone[i]], "src long, dst long")
+    far = lambda i: 0 if gone[i] else 1 + (0 if dst[i] == i else far(dst[i]))
+    start = max((i for i in range(len(dst)) if not gone[i]), key=far)
+    want, at = {}, start
+    while at not in want and not gone[at]:
+        want[at] = len(want)
+        at = int(dst[at])
+    assert {r["node"]: r["step"] for r in tiles.path(cells, start, cols, side).collect()} == want and len(want) > 5
+    assert tiles.path(cells, 10**6, cols, side).count() == 0
+
+
+def test_path_that_meets_itself(spark):
+    cells = spark.createDataFrame([(0, 1), (1, 2), (2, 6), (6, 5), (5, 1), (9, 9)], "src long, dst long")
+    for side in (1, 2, 8):
+        assert {r["node"]: r["step"] for r in tiles.path(cells, 0, 4, side).collect()} == {0: 0, 1: 1, 2: 2, 6: 3, 5: 4}
+    assert [tuple(r) for r in tiles.path(cells, 9, 4, 2).collect()] == [(9, 0)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Columns that each tool's inputs must have.
 INPUTS = {
     "rose": {"lines": ("fid", "vidx", "x", "y")},
@@ -67,8 +69,8 @@ def usable(rings: DataFrame, cell: float | None = None) -> tuple[DataFrame, Data
     if cell is not None:
         from .repair import repaired
 
-        shut, _ = repaired(shut, cell)
-    faults = ring_faults(shut)
+        shut = cut(repaired(shut, cell)[0], "sound")
+    faults = cut(ring_faults(shut), "faults")
     return shut.join(faults.select("fid"), "fid", "left_anti"), faults
 
 

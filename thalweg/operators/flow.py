@@ -119,13 +119,13 @@ def _same_ends(a: DataFrame, b: DataFrame) -> bool:
     return tuple(check(a)) == tuple(check(b))
 
 
-def with_trunk(flow: DataFrame, seeds: DataFrame, main: int) -> DataFrame:
-    """Seeds (node, label, place in the list) with the whole path down from the main outlet's cell under its label.
+def with_trunk(trunk: DataFrame, seeds: DataFrame, main: int) -> DataFrame:
+    """Seeds (node, label, place in the list) with ``trunk``, the whole path down from the main outlet's cell, under its label.
 
     Seeds listed after the main one keep their own cells on that path; those before are overruled.
     """
     mine = seeds.where(F.col("node") == main).select("label", "place")
-    trunk = path(flow, main).select("node").crossJoin(F.broadcast(mine))  # one row
+    trunk = trunk.select("node").crossJoin(F.broadcast(mine))  # one row
     rest = seeds.where(F.col("node") != main)
     best = trunk.unionByName(rest.select("node", "label", "place"), allowMissingColumns=True)
     return best.groupBy("node").agg(F.max_by("label", "place").alias("label"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -149,3 +149,55 @@ def labelled(flow: DataFrame, seeds: DataFrame, n_cols: int, side: int = SIDE) -
     outer = met.where("exit").join(found.where("label > 0").withColumnRenamed("node", "ptr").withColumnRenamed("label", "got"), "ptr")
     brought = outer.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("got").alias("label"))
     return every.unionByName(brought).groupBy(*_tile(F.col("src"), n_cols, side)).applyInPandas(inner, "node long, label long")
+
+
+def path(flow: DataFrame, start: int, n_cols: int, side: int = SIDE) -> DataFrame:
+    """node, step: the cells from ``start`` down to where its flow ends, or meets itself.
+
+    Each tile tells where the flow that enters at a border cell leaves it, and after how many cells;
+    the way through these is followed by doubling. Then only the tiles on it are read again, each
+    with the cells where the way enters. A start off the grid gives no rows.
+    """
+
+    def hops(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("src")
+        src, dst = g["src"].to_numpy(np.int64), g["dst"].to_numpy(np.int64)
+        following, out = _places(src, dst, n_cols, side)
+        end, steps = _ends(following), _steps(following)
+        at = np.flatnonzero(_border(src, n_cols, side) | (src == start))
+        at = at[out[end[at]]]
+        return pd.DataFrame({"src": src[at], "dst": dst[end[at]], "n": steps[at] + 1})
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        cells = group[group["dst"].notna()]
+        following = dict(zip(cells["src"].tolist(), cells["dst"].astype(np.int64).tolist()))
+        rows = []
+        for entry, first in group.loc[group["dst"].isna(), ["src", "first"]].astype(np.int64).itertuples(index=False):
+            at, seen = entry, set()
+            while at in following and at not in seen:
+                rows.append((at, first + len(seen)))
+                seen.add(at)
+                at = following[at]
+        return pd.DataFrame(rows, columns=["node", "step"])
+
+    cells = flow.select("src", "dst")
+    tile = _tile(F.col("src"), n_cols, side)
+    jumps = cut(cells.groupBy(*tile).applyInPandas(hops, "src long, dst long, n long"), "hops")
+    begin = cells.where(F.col("src") == start).select("src").distinct()
+    way = general.path(jumps.select("src", "dst").unionByName(begin.join(jumps.select("src"), "src", "left_anti").withColumn("dst", F.col("src"))), start)
+    # A row for each tile that the way crosses: numbered in one place.
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    entries = cut(way.join(jumps.select(F.col("src").alias("node"), "n"), "node", "left").select(F.col("node").alias("src"), F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first")), "entries")
+    met = cells.select("src", "dst", F.lit(0).cast("long").alias("first"), *tile).join(entries.select(*tile).distinct(), ["ty", "tx"], "left_semi")
+    marks = entries.select("src", F.lit(None).cast("long").alias("dst"), "first", *tile)
+    found = met.unionByName(marks).groupBy("ty", "tx").applyInPandas(walk, "node long, step long")
+    return found.groupBy("node").agg(F.min("step").alias("step"))
+
+
+def _steps(following: np.ndarray) -> np.ndarray:
+    """How many cells of the tile follow each one; of a cycle's cells, some number."""
+    steps, ptr = (following >= 0).astype(np.int64), np.where(following >= 0, following, np.arange(len(following)))
+    for _ in range(int(len(ptr)).bit_length()):
+        steps = steps + steps[ptr]  # a last cell has none
+        ptr = ptr[ptr]
+    return steps

@@ -270,7 +270,7 @@ def watershed(directions: DataFrame, facc: DataFrame | None, meta: grid.GridMeta
     main = found.agg(F.max_by("node", F.struct("area_m2", -F.col("place")))).first()[0]
     seeds = found.select("node", (F.col("place") + 1).alias("label"), "place")
     if main is not None:
-        seeds = flow.with_trunk(down, seeds, main)
+        seeds = flow.with_trunk(tiles.path(down, main, meta.n_cols), seeds, main)
     labels = cut(tiles.labelled(down, seeds, meta.n_cols), "labels")
     parts = flow.subbasins(labels, facc, meta.n_cols, cell_m2, meta.x_of, meta.y_of)
     return Watershed(tables.ranked_colours(parts), labels, found, encoding, warnings)

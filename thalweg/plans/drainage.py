@@ -65,11 +65,11 @@ def d8_labels(spark, sf):
 
 def d8_trunk_labels(spark, sf):
     seeds = _seeds(spark, sf).withColumn("place", F.col("label"))
-    return tiles.labelled(_flow(spark, sf), flow.with_trunk(_flow(spark, sf), seeds, 371), N_COLS)
+    return tiles.labelled(_flow(spark, sf), flow.with_trunk(tiles.path(_flow(spark, sf), 371, N_COLS), seeds, 371), N_COLS)
 
 
 def d8_path(spark, sf):
-    return flow.path(_flow(spark, sf), 371)
+    return tiles.path(_flow(spark, sf), 371, N_COLS)
 
 
 def subbasin_stats(spark, sf):

@@ -64,9 +64,13 @@ def ncp_skipped(spark, sf):
 
 
 def _streams(spark, sf):
-    """The stream segments as lines of two vertices."""
-    ends = F.array(F.struct(F.lit(0).alias("vidx"), F.col("start_x").alias("x"), F.col("start_y").alias("y")), F.struct(F.lit(1).alias("vidx"), F.col("end_x").alias("x"), F.col("end_y").alias("y")))
-    each = fx.stream_segments(spark, sf).select((F.col("basin_id") * 1000000 + F.col("seg_id")).alias("fid"), F.explode(ends).alias("p"))
+    """The stream trees as lines of two vertices over the grid's northern rows, a band of six metres for each tree."""
+    k = F.col("seg_id")
+    y = lambda k: F.lit(995.0) - F.col("basin_id") * 6 - (k % 5) * 0.9
+    up = F.floor((k - 1) / 2)
+    start = F.struct(F.lit(0).alias("vidx"), F.col("start_x").alias("x"), y(k).alias("y"))
+    end = F.struct(F.lit(1).alias("vidx"), F.col("end_x").alias("x"), F.when(k == 0, y(k)).otherwise(y(up) + 0.5).alias("y"))
+    each = fx.stream_segments(spark, sf).select((F.col("basin_id") * 1000000 + k).alias("fid"), F.explode(F.array(start, end)).alias("p"))
     return each.select("fid", F.col("p.vidx").cast("long").alias("vidx"), "p.x", "p.y")
 
 
