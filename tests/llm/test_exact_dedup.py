@@ -50,11 +50,14 @@ def test_against_brute_force(spark, small_docs):
 def test_index_is_kept_compacted_and_repeatable(spark, make_docs):
     docs = make_docs(["a b", "ab", "c", None, "d" * 50])
     index = DigestIndex(spark, "kept_index", buckets=4)
-    first = {r["doc_id"]: r["kept"] for r in index.add(docs).collect()}
+    first = {r["doc_id"]: r["kept"] for r in index.add(docs, batch="monday").collect()}
     assert first == {0: True, 1: False, 2: True, 3: True, 4: True}
     assert DigestIndex(spark, "kept_index").buckets == 4
     again = DigestIndex(spark, "kept_index").add(docs).collect()
     assert not any(r["kept"] for r in again) and index.table().count() == 4
+    # The batch itself, after a lost driver: the same answer, and nothing is appended.
+    repeated = DigestIndex(spark, "kept_index").add(docs, batch="monday").collect()
+    assert {r["doc_id"]: r["kept"] for r in repeated} == first and index.table().count() == 4
     index.add(make_docs(["e", "f g"])).count()
     before = sorted(tuple(r) for r in index.table().collect())
     index.compact(2)

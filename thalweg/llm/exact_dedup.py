@@ -1,8 +1,9 @@
 """Exact deduplication through a persistent digest index.
 
 The index is a table bucketed and sorted by digest. A batch is reduced to one keeper for each
-digest, the keepers are anti-joined with the index (a sort-merge join whose index side needs
-neither exchange nor sort) and those that are new are appended. Only built-in functions are used.
+digest, the keepers are anti-joined with the index (a sort-merge join whose index side needs no
+exchange; Spark's sort of it meets buckets that are in order) and those that are new are appended
+under the batch's name. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 
 class DigestIndex:
-    """``name`` is a table of (digest, keep_id), bucketed and sorted by digest.
+    """``name`` is a table of (digest, keep_id, batch), bucketed and sorted by digest.
 
     Defined cases: null text counts as empty, so all empty texts are one group; the row with most
     code points stays, ties go to the smallest id; a row whose id and text repeat another's counts
@@ -48,7 +49,7 @@ class DigestIndex:
             told = spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
             self.buckets = int(told["data_type"])
         else:
-            self._write(spark.createDataFrame([], "digest string, keep_id long"), "errorifexists")
+            self._write(spark.createDataFrame([], "digest string, keep_id long, batch string"), "errorifexists")
 
     def _write(self, df: DataFrame, mode: str, name: str | None = None) -> None:
         # Dealt as the buckets are: one file for each bucket, whatever the number of tasks before.
@@ -70,14 +71,16 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Deduplicate a batch against itself and the index, and append what is new.
 
         Returns doc_id, keep_id, group_size (rows of this batch with that text), kept, text_sha256.
         ``kept`` is false for every row whose text an earlier batch brought; ``keep_id`` is then the
-        row that stayed at that time. A batch that is added again, as after a lost driver, finds its
-        own rows in the index: nothing is appended twice, and none of it counts as new.
+        row that stayed at that time. A batch of a name that is added again, as after a lost driver,
+        finds its own rows in the index: nothing is appended twice, and the answer is the same.
+        Without a name every call is a batch of its own.
         """
+        batch = batch or uuid.uuid4().hex
         rows = settle(digests(docs, id_col, text), "digests")
         groups = settle(
             rows.groupBy("digest").agg(
@@ -87,12 +90,12 @@ class DigestIndex:
             "groups",
         )
         new = groups.hint("merge").join(self.table().hint("merge"), "digest", "left_anti")
-        known = groups.hint("merge").join(self.table().hint("merge"), "digest").select("digest", "group_size", "keep_id", F.lit(False).alias("fresh"))
+        known = groups.hint("merge").join(self.table().hint("merge"), "digest").select("digest", "group_size", "keep_id", (F.col("batch") == batch).alias("fresh"), F.lit(True).alias("stored"))
         decided = settle(
-            new.select("digest", "group_size", F.col("best").alias("keep_id"), F.lit(True).alias("fresh")).unionByName(known),
+            new.select("digest", "group_size", F.col("best").alias("keep_id"), F.lit(True).alias("fresh"), F.lit(False).alias("stored")).unionByName(known),
             "decided",
         )
-        self._write(decided.where("fresh").select("digest", "keep_id"), "append")
+        self._write(decided.where("not stored").select("digest", "keep_id", F.lit(batch).alias("batch")), "append")
         return rows.join(decided, "digest").select(
             "doc_id",
             "keep_id",
