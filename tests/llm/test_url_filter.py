@@ -55,6 +55,9 @@ def test_segmentation_is_the_best_of_all():
         every.append([name[a:b] for a, b in zip(at, at[1:])])
     assert s.split(name) == min(every, key=lambda w: sum(map(s.cost, w))) == ["the", "river", "head"]
     assert s.split("") == []
+    long = "a" * 30
+    assert uf.Segmenter({"book": 3, long: 50}, 1000).split("book" + long + "zz") == ["book", long, "zz"]
+    assert uf.Segmenter({}, 0).split("q" * 90) == ["q" * 90]
 
 
 def test_model_learns_words_and_judges_the_rest(spark):
@@ -108,3 +111,10 @@ def test_accuracy_on_hosts_kept_from_training(spark):
         rows.append((i, f"http://{name}{i % 7}.{'net/es' if side else 'com'}/{i}", " ".join(good + bad + ["one", "two"]) * 20))
     share, n = uf.held_out(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert n >= 20 and share >= 0.95
+
+
+def test_words_of_any_length_are_segments(spark):
+    word = "lopado" * 6
+    rows = [(0, f"http://old{word}shop.org/", f"the old {word} shop " * 5)]
+    got = uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert got["host_words"] == f"old {word} shop org"

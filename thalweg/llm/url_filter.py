@@ -29,8 +29,6 @@ RULES = (
     ("net/es/", BLOCK),
     ("net/fr/", BLOCK),
 )
-#: Letters of a word of a host name, at most.
-LONGEST = 24
 SLOTS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PART = re.compile(r"[^\W_]+")
@@ -73,11 +71,21 @@ class Segmenter:
         return -math.log(n / self.total) if n else math.log(max(self.total, 1)) + 2.5 * len(word)
 
     def split(self, name: str) -> list[str]:
+        """Known words end where they occur, whatever their length; of unknown stretches the cheapest start is carried along."""
         best, back = [0.0], [0]
+        lengths = sorted({len(w) for w in self.counts})
+        unknown, low = (0.0, 0), math.log(max(self.total, 1))
         for end in range(1, len(name) + 1):
-            c, b = min((best[start] + self.cost(name[start:end]), start) for start in range(max(0, end - LONGEST), end))
+            found = [(unknown[0] + low + 2.5 * end, unknown[1])]
+            for n in lengths:
+                if n > end:
+                    break
+                if name[end - n : end] in self.counts:
+                    found.append((best[end - n] + self.cost(name[end - n : end]), end - n))
+            c, b = min(found)
             best.append(c)
             back.append(b)
+            unknown = min(unknown, (c - 2.5 * end, end))
         out, at = [], len(name)
         while at:
             out.append(name[back[at] : at])
@@ -96,15 +104,23 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(h, i, p) for h in b["host"] for i, p in enumerate(_PART.findall(h))], columns=["host", "place", "part"])
 
 
-def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows: list[tuple[str, str]] = []
-    for b in batches:
-        for p in b["part"]:
-            rows += [(p, w) for w in {p[i:j] for i in range(len(p)) for j in range(i + 1, min(i + LONGEST, len(p)) + 1)}]
-            if len(rows) >= 50_000:
-                yield pd.DataFrame(rows, columns=["part", "word"])
-                rows = []
-    yield pd.DataFrame(rows, columns=["part", "word"])
+def _substrings(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """part and word: the different substrings of each name (``part``) that are as long as some word of the dictionary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple[str, str]] = []
+        for b in batches:
+            for p in b["part"]:
+                for n in lengths:
+                    if n > len(p):
+                        break
+                    rows += [(p, w) for w in {p[i : i + n] for i in range(len(p) - n + 1)}]
+                    if len(rows) >= 50_000:
+                        yield pd.DataFrame(rows, columns=["part", "word"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["part", "word"])
+
+    return names.mapInPandas(run, "part string, word string")
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -113,7 +129,10 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 0
     parts = settle(hosts.select("host").distinct().mapInPandas(_parts, "host string, place int, part string"), "parts")
     names = settle(parts.select("part").distinct(), "names")
-    met = names.mapInPandas(_substrings, "part string, word string").join(counts, "word").groupBy("part").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("counts"))
+    # Lengths of words, no longer than the longest name: as many numbers as that has letters, at most.
+    longest = names.agg(F.max(F.length("part"))).first()[0] or 0
+    lengths = sorted(r["n"] for r in counts.select(F.length("word").alias("n")).where(F.col("n") <= longest).distinct().collect())
+    met = _substrings(names, lengths).join(counts, "word").groupBy("part").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("counts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
