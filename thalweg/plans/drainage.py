@@ -82,7 +82,8 @@ def outlet_auto(spark, sf):
 
 
 def outlet_snap(spark, sf):
-    points = fx.flow_cells(spark, sf).where("src % 997 = 3").select(F.col("src").alias("fid"), "row_i", "col_i")
+    number = F.col("c_custkey")
+    points = fx.read(spark, sf, "customer").select(number.alias("fid"), F.floor(number / N_COLS).alias("row_i"), (number % N_COLS).alias("col_i"))
     return flow.snapped_outlets(points, _value(spark, sf), N_COLS)
 
 
@@ -176,8 +177,8 @@ def main_river(spark, sf):
 def stream_clip(spark, sf):
     ends = fx.lines(spark, sf)
     w = Window.partitionBy("fid").orderBy("vidx")
-    segs = ends.select((F.col("fid") * 1000 + F.col("vidx")).alias("seg_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null and seg_id % 7 = 0")
-    parts = network.clipped(segs, fx.basins(spark, sf).where("y_max > 400"), 250.0)
+    segs = ends.select((F.col("fid") * 1000 + F.col("vidx")).alias("seg_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null")
+    parts = network.clipped(segs, fx.basins(spark, sf), 250.0)
     return parts.groupBy("fid").agg(F.count("*").alias("n"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 3).alias("total"))
 
 
@@ -291,7 +292,7 @@ SELECT label_id, n_pixels, round(n_pixels*100.0, 1)::DOUBLE AS area_m2, round(n_
 round((cell%100 + 0.5)*10.0, 4)::DOUBLE AS outlet_x, round(1000.0 - (cell//100 + 0.5)*10.0, 4)::DOUBLE AS outlet_y, ROW_NUMBER() OVER (ORDER BY n_pixels DESC, label_id) AS rank FROM g""",
     "outlet_auto": f"""WITH {_V}, k AS (SELECT src//100 AS row_i, src%100 AS col_i, facc, src FROM v), mx AS (SELECT MAX(src)//100 + 1 AS n FROM v)
 SELECT row_i, col_i, facc FROM k, mx WHERE n <= 40 OR (row_i BETWEEN 20 AND n - 21 AND col_i BETWEEN 20 AND 79) ORDER BY facc DESC, src LIMIT 1""",
-    "outlet_snap": f"""WITH {_V}, p AS (SELECT src AS fid, src//100 AS r, src%100 AS c FROM v WHERE src % 997 = 3),
+    "outlet_snap": f"""WITH {_V}, p AS (SELECT c_custkey AS fid, c_custkey//100 AS r, c_custkey%100 AS c FROM customer),
 k AS (SELECT fid, v.src, ROW_NUMBER() OVER (PARTITION BY fid ORDER BY v.facc DESC, v.src) AS rn FROM p JOIN v ON abs(v.src//100 - r) <= 25 AND abs(v.src%100 - c) <= 25)
 SELECT fid, src//100 AS row_i, src%100 AS col_i FROM k WHERE rn = 1""",
     "mask_edges": f"""WITH c AS (SELECT row_i, col_i, basin_id AS label FROM ({sql.CELLS}) k WHERE z IS NOT NULL),
@@ -310,7 +311,7 @@ nx AS (SELECT basin_id, seg_id, up_seg_id FROM (SELECT ln.*, ROW_NUMBER() OVER (
 rv(basin_id, place, seg_id, length_m) AS (SELECT basin_id, CAST(0 AS BIGINT), seg_id, weight FROM ot UNION ALL SELECT rv.basin_id, place + 1, nx.up_seg_id, length_m FROM rv JOIN nx ON nx.basin_id = rv.basin_id AND nx.seg_id = rv.seg_id)
 SELECT basin_id, place, seg_id, round(length_m, 2) AS length_m FROM rv""",
     "stream_clip": f"""WITH l AS (SELECT fid*1000 + vidx AS seg_id, x AS x1, y AS y1, LEAD(x) OVER w AS x2, LEAD(y) OVER w AS y2 FROM ({sql.LINES}) q WINDOW w AS (PARTITION BY fid ORDER BY vidx)),
-b AS (SELECT * FROM ({sql.BASINS}) q WHERE y_max > 400), m AS (SELECT *, x2-x1 AS dx, y2-y1 AS dy FROM l, b WHERE x2 IS NOT NULL AND seg_id % 7 = 0),
+b AS ({sql.BASINS}), m AS (SELECT *, x2-x1 AS dx, y2-y1 AS dy FROM l, b WHERE x2 IS NOT NULL),
 t AS (SELECT *, GREATEST(0, CASE WHEN dx <> 0 THEN LEAST((x_min-x1)/dx, (x_max-x1)/dx) ELSE 0 END, CASE WHEN dy <> 0 THEN LEAST((y_min-y1)/dy, (y_max-y1)/dy) ELSE 0 END) AS t0,
   LEAST(1, CASE WHEN dx <> 0 THEN GREATEST((x_min-x1)/dx, (x_max-x1)/dx) ELSE 1 END, CASE WHEN dy <> 0 THEN GREATEST((y_min-y1)/dy, (y_max-y1)/dy) ELSE 1 END) AS t1
   FROM m WHERE (dx <> 0 OR x1 BETWEEN x_min AND x_max) AND (dy <> 0 OR y1 BETWEEN y_min AND y_max))

@@ -39,8 +39,9 @@ def river_hydraulic(spark, sf):
 
 
 def _coarse(cells, value):
-    """The fixture's first rows and columns as a grid of large cells."""
-    return cells.where((F.col("row_i") < 10) & (F.col("col_i") < 10)).select("row_i", "col_i", value)
+    """The fixture's cells by the hundred: the largest value of each ten by ten."""
+    tens = [F.floor(F.col(c) / 10).alias(c) for c in ("row_i", "col_i")]
+    return cells.groupBy(*tens).agg(F.max(value).alias(value))
 
 
 def river_cell_by_cell(spark, sf):
@@ -59,7 +60,7 @@ def ncp_from_raster(spark, sf):
 
 def ncp_skipped(spark, sf):
     lines = fx.lines(spark, sf).where("fid % 3 <> 0 or vidx < 3")
-    found = tools.channels(lines, fx.elevation_cells(spark, sf).where("row_i < 4"), META, 20).skipped
+    found = tools.channels(lines, fx.elevation_cells(spark, sf), META, 20).skipped
     return found.select("basin_id", "reason")
 
 
@@ -160,7 +161,7 @@ def streams_in_polygons(spark, sf):
 
 def _short_streams(spark, sf):
     both = F.array(F.struct(F.lit(0).alias("vidx"), F.col("start_x").alias("x"), F.col("start_y").alias("y")), F.struct(F.lit(1).alias("vidx"), (F.col("start_x") + 130.25).alias("x"), (F.col("start_y") + 71.5).alias("y")))
-    named = fx.stream_segments(spark, sf).where("basin_id < 8").select((F.col("basin_id") * 100000 + F.col("seg_id")).alias("fid"), F.explode(both).alias("p"))
+    named = fx.stream_segments(spark, sf).select((F.col("basin_id") * 100000 + F.col("seg_id")).alias("fid"), F.explode(both).alias("p"))
     return named.select("fid", F.col("p.vidx").cast("long").alias("vidx"), "p.x", "p.y")
 
 
@@ -170,7 +171,7 @@ def _triangles(spark, sf):
 
 
 def mask_clip(spark, sf):
-    cells = clip.cells_in_mask(fx.elevation_cells(spark, sf), _triangles(spark, sf).where("fid % 2 = 0"), META)
+    cells = clip.cells_in_mask(fx.elevation_cells(spark, sf), _triangles(spark, sf), META)
     return cells.groupBy("basin_id").agg(F.count("*").alias("n"))
 
 
@@ -189,8 +190,9 @@ def hyps_all_skipped(spark, sf):
 
 
 def hyps_selection_stats(spark, sf):
-    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf).where("fid in (0, 2, 5, 9)"), META, "label", cell=150.0)
-    return hypsometry.group_statistics(found.withColumn("selection", F.lit("Selection")), "selection").select("selection", "n", *r6("area_total_km2", "area_mean_km2", "relief_mean"))
+    found, _, _ = tools.hypsometry_of(fx.elevation_cells(spark, sf), fx.basin_rings(spark, sf), META, "label", cell=150.0)
+    picked = found.where("basin_id in (0, 2, 5, 9)").withColumn("selection", F.lit("Selection"))  # what a user marks
+    return hypsometry.group_statistics(picked, "selection").select("selection", "n", *r6("area_total_km2", "area_mean_km2", "relief_mean"))
 
 
 def hyps_ungrouped_strategy(spark, sf):
@@ -291,6 +293,8 @@ QUERIES["hyps_strategy_none"] = hyps_ungrouped_strategy
 _LAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 _CELL = f"cell AS (SELECT row_i, col_i, z FROM ({sql.CELLS}) c)"
 _FACC = "fc AS (SELECT CAST(FLOOR(o_orderkey/100) AS BIGINT) AS row_i, o_orderkey % 100 AS col_i, CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey % 977 AS DOUBLE) END AS facc FROM orders)"
+_COARSE = f"""cell AS (SELECT row_i//10 AS row_i, col_i//10 AS col_i, MAX(z) AS z FROM ({sql.CELLS}) c GROUP BY ALL),
+fc AS (SELECT o_orderkey//1000 AS row_i, o_orderkey % 100//10 AS col_i, MAX(CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey % 977 AS DOUBLE) END) AS facc FROM orders GROUP BY ALL)"""
 _EQUI = f"""{terrain._stations_sql(POINTS)}, {_CELL},
 e0 AS (SELECT st.fid AS basin_id, st.station, st.dist AS dist_m, z AS elev, st.x, st.y FROM st JOIN cell ON row_i = CAST(FLOOR((y - 1000.0)/-10.0) AS BIGINT) AND col_i = CAST(FLOOR(x/10.0) AS BIGINT) WHERE z IS NOT NULL),
 pr AS (SELECT basin_id, ROW_NUMBER() OVER (PARTITION BY basin_id ORDER BY station) - 1 AS idx, dist_m, elev, x, y FROM e0 QUALIFY COUNT(*) OVER (PARTITION BY basin_id) >= 5)"""
@@ -314,7 +318,7 @@ wk AS (SELECT fid AS basin_id, vidx, s, x + s/CAST(steps AS DOUBLE)*(x2-x) AS x,
 ins AS (SELECT *, CAST(FLOOR((y - 1000.0)/-100.0) AS BIGINT) AS r, CAST(FLOOR(x/100.0) AS BIGINT) AS c FROM wk WHERE FLOOR((y - 1000.0)/-100.0) BETWEEN 0 AND 9 AND FLOOR(x/100.0) BETWEEN 0 AND 9),
 ch0 AS (SELECT *, coalesce(sqrt(pow(x - LAG(x) OVER w, 2) + pow(y - LAG(y) OVER w, 2)), 0) AS d, COUNT(*) OVER (PARTITION BY basin_id) AS n FROM ins WINDOW w AS (PARTITION BY basin_id ORDER BY vidx, s)),
 ch1 AS (SELECT *, SUM(d) OVER (PARTITION BY basin_id ORDER BY vidx, s ROWS UNBOUNDED PRECEDING) AS dist_m, ROW_NUMBER() OVER (PARTITION BY basin_id ORDER BY vidx, s) AS stp FROM ch0 WHERE n >= 5),
-{_CELL}, {_FACC},
+{_COARSE},
 sm AS (SELECT ch1.basin_id, stp, dist_m, z AS elev, facc*10000.0 AS raw FROM ch1 LEFT JOIN cell ON cell.row_i = r AND cell.col_i = c LEFT JOIN fc ON fc.row_i = r AND fc.col_i = c),
 {_area("sm", "stp", 10000.0)},
 p AS (SELECT basin_id, ROW_NUMBER() OVER (PARTITION BY basin_id ORDER BY stp) - 1 AS idx, dist_m, elev, area_m2, fac_valid FROM ak WHERE elev IS NOT NULL QUALIFY COUNT(*) OVER (PARTITION BY basin_id) >= 5)"""
@@ -326,7 +330,7 @@ m AS (SELECT *, SUM(d) OVER (PARTITION BY fid ORDER BY vidx ROWS UNBOUNDED PRECE
 s AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py, LAG(cum) OVER w AS pcum FROM m WINDOW w AS (PARTITION BY fid ORDER BY vidx))"""
 _RECT = f"bs AS ({sql.BASINS}), ce AS (SELECT row_i, col_i, z, (col_i + 0.5)*10.0 AS cx, 1000.0 - (row_i + 0.5)*10.0 AS cy FROM ({sql.CELLS}) c)"
 # Of a segment's line x = sx + 130.25 t, y = sy + 71.5 t, the part inside a right triangle is one span of t.
-_STREAMS = f"sx AS (SELECT basin_id*100000 + seg_id AS line, start_x, start_y FROM ({sql.SEGMENTS}) s WHERE basin_id < 8)"
+_STREAMS = f"sx AS (SELECT basin_id*100000 + seg_id AS line, start_x, start_y FROM ({sql.SEGMENTS}) s)"
 _SPAN = f"""bs AS ({sql.BASINS}), {_STREAMS},
 sp AS (SELECT fid, line, GREATEST(0, (x_min - start_x)/130.25, (y_min - start_y)/71.5) AS t0,
   LEAST(1, (1 - (start_x - x_min)/(x_max - x_min) - (start_y - y_min)/(y_max - y_min))/(130.25/(x_max - x_min) + 71.5/(y_max - y_min))) AS t1 FROM sx, bs)"""
@@ -377,7 +381,7 @@ SELECT fid, CAST(dist AS DOUBLE) AS dist, round(px + (dist-pcum)/(cum-pcum)*(x-p
     "streams_in_polygons": f"WITH {_SPAN} SELECT fid, line, round((t1-t0)*sqrt(130.25*130.25 + 71.5*71.5), 4) AS length FROM sp WHERE (t1-t0)*sqrt(130.25*130.25 + 71.5*71.5) > 0.001",
     "clipped_network": f"WITH {_SPAN} SELECT fid, 'no stream found in basin' AS reason FROM bs WHERE fid NOT IN (SELECT fid FROM sp WHERE t1 > t0)",
     "mask_clip": f"""WITH {_RECT}, c2 AS (SELECT basin_id, (col_i + 0.5)*10.0 AS cx, 1000.0 - (row_i + 0.5)*10.0 AS cy FROM ({sql.CELLS}) c)
-SELECT basin_id, COUNT(*) AS n FROM c2 JOIN bs ON bs.fid % 2 = 0 AND cx >= x_min AND cy >= y_min AND (cx - x_min)/(x_max - x_min) + (cy - y_min)/(y_max - y_min) < 1 GROUP BY basin_id""",
+SELECT basin_id, COUNT(*) AS n FROM c2 JOIN bs ON cx >= x_min AND cy >= y_min AND (cx - x_min)/(x_max - x_min) + (cy - y_min)/(y_max - y_min) < 1 GROUP BY basin_id""",
     "hyps_selection_stats": f"""WITH {_HYPS} SELECT 'Selection' AS selection, COUNT(*) AS n, round(SUM(km2), 1) AS area_total_km2, round(AVG(km2), 1) AS area_mean_km2, round(AVG(hi-lo), 1) AS relief_mean FROM zs WHERE fid IN (0, 2, 5, 9)""",
     "swath_ticks": f"""WITH {terrain._SWATH}, ss AS (SELECT sm.fid, sm.station, ANY_VALUE(st.dist) AS dist, AVG(z) AS mean FROM sm JOIN st ON st.fid = sm.fid AND st.station = sm.station GROUP BY ALL),
 t AS (SELECT fid, MAX(dist)/8 AS x, (MAX(mean) - MIN(mean))/6 AS z, COUNT(mean) AS n FROM ss GROUP BY fid)
