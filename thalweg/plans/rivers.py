@@ -157,7 +157,25 @@ pt AS (SELECT basin_id, i0, i1, MAX(CASE WHEN idx = i0 THEN chi END) AS c0, MAX(
 _ENDS = "basin_id, i0, i1, round(c0, 4) AS chi_start, round(c1, 4) AS chi_end, CAST(round(CAST(z0 AS DECIMAL(18,6)), 2) AS DOUBLE) AS elev_start, CAST(round(CAST(z1 AS DECIMAL(18,6)), 2) AS DOUBLE) AS elev_end"
 _RSS = "({0}yy - {0}y*{0}y/{1} - pow({0}xy - {0}x*{0}y/{1}, 2)/({0}xx - {0}x*{0}x/{1}))"
 
+def _splits_sql(source: str, depth: int, points: int = 8) -> str:
+    """CTEs up to ``kp`` (basin_id, b): breaks of ``source`` (basin_id, idx, chi, elev) by two lines of least squares on each level."""
+    rss = lambda side: f"(regr_syy(p.elev, p.chi) FILTER ({side}) - pow(regr_sxy(p.elev, p.chi) FILTER ({side}), 2)/regr_sxx(p.elev, p.chi) FILTER ({side}))"
+    parts = [f"kv AS (SELECT basin_id, idx, chi, elev, ROW_NUMBER() OVER (PARTITION BY basin_id ORDER BY idx) - 1 AS k, COUNT(*) OVER (PARTITION BY basin_id) AS n FROM {source} WHERE chi IS NOT NULL AND elev IS NOT NULL)", "s0 AS (SELECT DISTINCT basin_id, 0 AS i, n AS j FROM kv)"]
+    for level in range(depth):
+        parts.append(
+            f"c{level} AS (SELECT s.basin_id, s.i, s.j, q.k AS b, {rss('p.k < q.k')} + {rss('p.k >= q.k')} AS r FROM s{level} s JOIN kv q ON q.basin_id = s.basin_id AND s.j - s.i > {2 * points} AND q.k BETWEEN s.i + {points} AND s.j - {points} - 1"
+            " JOIN kv p ON p.basin_id = s.basin_id AND p.k >= s.i AND p.k < s.j GROUP BY ALL)"
+        )
+        parts.append(f"b{level} AS (SELECT basin_id, i, j, FIRST(b ORDER BY r, b) AS b FROM c{level} GROUP BY ALL)")
+        parts.append(f"s{level + 1} AS (SELECT basin_id, i, b AS j FROM b{level} UNION ALL SELECT basin_id, b, j FROM b{level})")
+    every = " UNION ".join(f"SELECT basin_id, b FROM b{level}" for level in range(depth))
+    parts.append(f"kp AS (SELECT basin_id, b FROM ({every}) u QUALIFY ROW_NUMBER() OVER (PARTITION BY basin_id ORDER BY b) <= {depth})")
+    return ", ".join(parts)
+
+
 ORACLES = {
+    "knickpoints": f"""WITH {_P}, {_chi(THETA)}, {_splits_sql('ch', 3)}
+SELECT kv.basin_id, kv.idx, round(kv.chi, 4) AS chi, round(p.dist_m, 1) AS dist_m, CAST(round(CAST(kv.elev AS DECIMAL(18,6)), 2) AS DOUBLE) AS elev FROM kp JOIN kv ON kv.basin_id = kp.basin_id AND kv.k = kp.b JOIN p ON p.basin_id = kv.basin_id AND p.idx = kv.idx""",
     "ncp_normalized": f"WITH {_NCP} SELECT basin_id, idx, round(x, 6) AS x, round(y, 6) AS y, round(deviation, 6) AS deviation FROM n",
     "ncp_metrics": f"WITH {_NCP} SELECT * FROM m",
     "ncp_fleet": f"WITH {_NCP} SELECT COUNT(*) AS n, COUNT(max_c) AS n_max_c, round(AVG(max_c), 6) AS max_c_mean, round(AVG(dl), 6) AS dl_mean, round(AVG(concavity), 6) AS concavity_mean FROM m",

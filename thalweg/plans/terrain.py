@@ -94,7 +94,7 @@ def hyps_stats(spark, sf):
 
 
 def hyps_skipped(spark, sf):
-    return hypsometry.skipped(fx.elevation_cells(spark, sf), 360)
+    return hypsometry.skipped(fx.elevation_cells(spark, sf), 368)
 
 
 def hyps_curve(spark, sf):
@@ -345,7 +345,7 @@ SELECT basin_id, idx, round(CASE WHEN dd > 1e-6 THEN GREATEST(abs(dz)/dd, 1e-8)
 FIRST_VALUE(area_raw IGNORE NULLS) OVER (PARTITION BY basin_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM p)
 SELECT basin_id, idx, CASE WHEN v <= 0 THEN 900.0 ELSE v END AS area_filled FROM a""",
     "hyps_stats": f"SELECT basin_id, COUNT(*) AS n_cells, round(MIN(z), 1) AS z_min, round(MAX(z), 1) AS z_max, round(MAX(z)-MIN(z), 1) AS relief FROM ({sql.CELLS}) c WHERE z IS NOT NULL GROUP BY basin_id HAVING COUNT(*) >= 10",
-    "hyps_skipped": f"SELECT basin_id, 'insufficient valid pixels' AS reason FROM ({sql.CELLS}) c GROUP BY basin_id HAVING COUNT(z) < 360",
+    "hyps_skipped": f"SELECT basin_id, 'insufficient valid pixels' AS reason FROM ({sql.CELLS}) c GROUP BY basin_id HAVING COUNT(z) < 368",
     "hyps_curve": f"WITH {_hyps_sql(100)} SELECT basin_id, p, round(area_fraction, 6) AS area_fraction, round(elev_fraction, 6) AS elev_fraction FROM h",
     "hyps_integral": f"WITH {_hyps_sql(200)} SELECT basin_id, hi, CASE WHEN hi >= 0.6 THEN 'young' WHEN hi < 0.4 THEN 'old' ELSE 'mature' END AS stage FROM g",
     "hyps_groups": f"WITH {_GROUPS} SELECT basin_id, group_no, group_label FROM gr",

@@ -59,7 +59,8 @@ def ncp_from_raster(spark, sf):
 
 
 def ncp_skipped(spark, sf):
-    lines = fx.lines(spark, sf).where("fid % 3 <> 0 or vidx < 3")
+    """Of each third line only its first vertex is left."""
+    lines = fx.lines(spark, sf).where("fid % 3 <> 0 or vidx < 1")
     found = tools.channels(lines, fx.elevation_cells(spark, sf), META, 20).skipped
     return found.select("basin_id", "reason")
 
@@ -358,6 +359,8 @@ ORACLES = {
     "geographic_areas": f"""SELECT fid, round(radians((x_max - x_min)/1000)*({_authalic('45.5 + y_max/1000')} - {_authalic('45.5 + y_min/1000')})*{geodesy.A}*{geodesy.A}/2/1e6, 6) AS area_km2 FROM ({sql.BASINS}) b""",
     "utm_there_and_back": f"SELECT fid, vidx, round(7.25::DOUBLE + x/1000, 9) AS x, round(45.5::DOUBLE + y/1000, 9) AS y FROM ({sql.LINES}) l",
     "web_mercator": f"SELECT fid, vidx, round(radians(7.25::DOUBLE + x/1000)*{geodesy.A}, 4) AS x, round(asinh(tan(radians(45.5::DOUBLE + y/1000)))*{geodesy.A}, 4) AS y FROM ({sql.LINES}) l",
+    "ncp_skipped": f"""WITH {terrain._stations_sql(20)}, {_CELL}, n AS (SELECT st.fid, COUNT(z) AS n FROM st LEFT JOIN cell ON row_i = CAST(FLOOR((y - 1000.0)/-10.0) AS BIGINT) AND col_i = CAST(FLOOR(x/10.0) AS BIGINT) GROUP BY st.fid)
+SELECT fid AS basin_id, 'too few points with an elevation' AS reason FROM n WHERE fid % 3 = 0 OR n < 5""",
     "hyps_curve_csv": f"WITH {terrain._hyps_sql(20)} SELECT basin_id, p, round(area_fraction, 6) AS area_fraction, round(elev_fraction, 6) AS elev_fraction FROM h",
     "repaired_areas": f"SELECT fid, CAST(2 AS BIGINT) AS n_parts, round((x_max - x_min)*(y_max - y_min)/2, 6) AS area_m2 FROM ({sql.BASINS}) b",
     "ncp_from_raster": f"WITH {_RASTER_NCP} SELECT * FROM m",
