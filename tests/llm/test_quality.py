@@ -58,3 +58,33 @@ def test_passages_cover_the_text():
     x, bag = q.encode_texts([text, None, "one"])
     assert list(np.bincount(bag)) == [3, 1, 1]
     assert x[1, 11] > 0.9  # repeats
+
+
+def test_scores_against_a_plain_version(tables, monkeypatch):
+    """Passage by passage and number by number: encoder, gated attention, softmax over the document, score."""
+    docs, labels = tables
+    model = q.train(docs, labels)
+    monkeypatch.setattr(q, "train", lambda *_: model)
+    p = {k: np.asarray(v, float).tolist() for k, v in model.params.items()}
+    n = len(p["w"])
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    some = docs.where("doc_id % 25 = 3")
+    got = {r["doc_id"]: r["score"] for r in q.classify(docs, labels).join(some.select("doc_id"), "doc_id", "left_semi").collect()}
+    for row in some.collect():
+        passages = ((q.encode_texts([row["text"]])[0].astype(float) - model.mean) / model.scale).tolist()
+        hidden, logit = [], []
+        for x in passages:
+            h = [np.tanh(dot(x, [v[j] for v in p["V"]]) + p["v"][j]) for j in range(n)]
+            gate = [np.tanh(dot(h, [a[j] for a in p["A"]])) / (1 + np.exp(-dot(h, [b[j] for b in p["B"]]))) for j in range(n)]
+            hidden.append(h)
+            logit.append(dot(gate, p["w"]))
+        weights = [np.exp(e - max(logit)) for e in logit]
+        mean = [sum(a * h[j] for a, h in zip(weights, hidden)) / sum(weights) for j in range(n)]
+        assert got[row["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(dot(mean, p["c"]) + p["b"]))), abs=1e-5)
+
+
+def test_a_text_is_encoded_alike_in_any_company():
+    texts = ["one two", "  two  \t three. three", "three", "x" * 50 + " y", "tail\n\n", "\n lead"]
+    together, bag = q.encode_texts(texts)
+    for i, t in enumerate(texts):
+        assert np.array_equal(together[bag == i], q.encode_texts([t])[0])

@@ -97,9 +97,10 @@ def _passages(group: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndar
     nth = np.arange(len(start)) - np.maximum.accumulate(np.where(first, np.arange(len(start)), 0))
     head = np.flatnonzero(first | (nth % PASSAGE == 0))  # first word of each passage
     words = np.diff(np.append(head, len(start)))
-    # A passage's bytes run up to the next one's first word.
+    # A passage's bytes run up to the next one's first word, and no further than its own text.
+    close = np.cumsum(lens)[part[head]]
     lo = start[head]
-    hi = np.append(lo[1:], len(b))
+    hi = np.minimum(np.append(lo[1:], len(b)), close)
     span = (hi - lo).astype(np.float64)
     size = (end - start).astype(np.float64)
     with np.errstate(over="ignore"):
@@ -114,12 +115,18 @@ def _passages(group: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndar
     k, p = key[order], passage[order]
     fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
     distinct = np.bincount(p[fresh], minlength=len(head)) / words
-    same = np.concatenate([[False], key[1:] == key[:-1]])
-    of = lambda c: np.add.reduceat((kind == c).astype(np.float64), lo) / span
+    same = np.concatenate([[False], key[1:] == key[:-1]]) & ~first
+
+    def within(flags: np.ndarray) -> np.ndarray:
+        """How many of a passage's bytes are flagged."""
+        sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        return (sums[hi] - sums[lo]).astype(np.float64)
+
+    of = lambda c: within(kind == c) / span
     shares = [of(c) for c in (_SPACE, _UPPER, _LOWER, _DIGIT, _POINT, _OTHER, _HIGH)]
     last, begin = kind[end - 1], kind[start]
     mean = per_word(size)
-    byte = lambda c: np.add.reduceat((b == ord(c)).astype(np.float64), lo) / words
+    byte = lambda c: within(b == ord(c)) / words
     stats = np.stack(
         [
             *shares,
@@ -142,8 +149,11 @@ def _passages(group: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndar
     w = b.astype(np.uint32)
     w[kind == _DIGIT] = 48
     slot = ((w[:-2] | w[1:-1] << 8 | w[2:] << 16) * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(HASHED)
-    which = np.searchsorted(hi, np.arange(len(slot)), side="right").clip(0, len(head) - 1)
-    hist = np.bincount(which * HASHED + slot, minlength=len(head) * HASHED).reshape(-1, HASHED)
+    # Three bytes count for the passage that they begin in, if they end in its text.
+    at = np.arange(len(slot))
+    which = (np.searchsorted(lo, at, side="right") - 1).clip(0)
+    inside = (at >= lo[which]) & (at < hi[which]) & (at + 2 < close[which])
+    hist = np.bincount(which[inside] * HASHED + slot[inside], minlength=len(head) * HASHED).reshape(-1, HASHED)
     return np.concatenate([stats, np.sqrt(hist / span[:, None])], axis=1).astype(np.float32), np.array(owner, np.int64)[part[head]]
 
 
