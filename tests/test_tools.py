@@ -151,7 +151,7 @@ def test_sheets_documents_and_layers(spark, tmp_path):
         tables.measure_pair(df, "maxC", "maxC")
 
 
-def tiff(path, values, order="<", compression=1, predictor=1, rows=3, tile=None, nodata=None):
+def tiff(path, values, order="<", compression=1, predictor=1, rows=3, tile=None, nodata=None, planar=False, crs=None):
     """A small GeoTIFF writer, for the reader's round trip."""
     values = np.atleast_3d(values)
     h, w, bands = values.shape
@@ -166,6 +166,8 @@ def tiff(path, values, order="<", compression=1, predictor=1, rows=3, tile=None,
                 blocks.append(b)
     else:
         blocks = [values[r : r + rows] for r in range(0, h, rows)]
+    if planar:  # all blocks of a band, then those of the next
+        blocks = [b[:, :, k : k + 1] for k in range(bands) for b in blocks]
     if predictor == 2:
         blocks = [np.diff(b, axis=1, prepend=np.zeros_like(b[:, :1])).astype(b.dtype) for b in blocks]
     raw = [b.astype(b.dtype.newbyteorder(order)).tobytes() for b in blocks]
@@ -174,11 +176,13 @@ def tiff(path, values, order="<", compression=1, predictor=1, rows=3, tile=None,
     for x in raw:
         offsets.append(8 + len(data))
         data += x
-    tags = [(256, "I", [w]), (257, "I", [h]), (258, "H", [values.dtype.itemsize * 8] * bands), (259, "H", [compression]), (277, "H", [bands]), (284, "H", [1]), (317, "H", [predictor]), (339, "H", [kind] * bands),
+    tags = [(256, "I", [w]), (257, "I", [h]), (258, "H", [values.dtype.itemsize * 8] * bands), (259, "H", [compression]), (277, "H", [bands]), (284, "H", [2 if planar else 1]), (317, "H", [predictor]), (339, "H", [kind] * bands),
             (33550, "d", [10.0, 10.0, 0.0]), (33922, "d", [0.0, 0.0, 0.0, 500.0, 900.0, 0.0])]
     tags += [(322, "I", [tile]), (323, "I", [tile]), (324, "I", offsets), (325, "I", [len(x) for x in raw])] if tile else [(273, "I", offsets), (278, "I", [rows]), (279, "I", [len(x) for x in raw])]
     if nodata is not None:
         tags.append((42113, "s", nodata.encode() + b"\0"))
+    if crs is not None:
+        tags.append((34735, "H", [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, crs]))
     at = 8 + len(data)
     extra, entries = b"", b""
     base = at + 2 + 12 * len(tags) + 4
@@ -224,6 +228,40 @@ def test_geotiff_bands_and_errors(spark, tmp_path):
         geotiff.layout(str(tmp_path / "lzw.tif"))
 
 
+def blocks_read(path, filters=(), **options):
+    """Numbers of the blocks that a scan would read."""
+    reader = geotiff._Pushed(str(path), 2, geotiff.Choice.of({k: str(v) for k, v in options.items()}))
+    assert list(reader.pushFilters(list(filters))) == list(filters)  # Spark tests the rows itself
+    return [n for p in reader.partitions() for n in p.numbers]
+
+
+def test_geotiff_reads_only_the_blocks_it_needs(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+
+    values = np.arange(40 * 50 * 3, dtype="i4").reshape(40, 50, 3)
+    path = tmp_path / "tiles.tif"
+    tiff(path, values, tile=16, planar=True, crs=32632)  # 3 x 4 tiles in each of three planes
+    assert len(blocks_read(path)) == 36
+    assert blocks_read(path, min_band=2, max_band=2) == list(range(12, 24))
+    assert blocks_read(path, min_band=1, max_band=1, min_row_i=15, max_row_i=16, min_col_i=32, max_col_i=32) == [2, 6]
+    assert blocks_read(path, [EqualTo(("band",), 3), GreaterThan(("row_i",), 31), LessThanOrEqual(("col_i",), 15)]) == [32]
+    assert blocks_read(path, [In(("row_i",), (1, 3)), EqualTo(("v",), 5.0), EqualTo(("band",), 1)]) == [0, 1, 2, 3]
+    assert blocks_read(path, [EqualTo(("row_i",), 400)]) == []
+    for place in (str(path), path.as_uri()):
+        cells, meta = geotiff.read(spark, place, 2, (15, 17, 30, 33))
+        got = {(r["row_i"], r["col_i"]): r["z"] for r in cells.collect()}
+        assert got == {(r, c): float(values[r, c, 1]) for r in range(15, 18) for c in range(30, 34)} and meta.crs == 32632
+    assert geotiff.read(spark, str(path), 1, (100, 200, 0, 1))[0].count() == 0
+    kept = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        whole = spark.read.format("geotiff").option("blocks", 1).option("push", "true").load(str(path))
+        few = whole.where("band = 1 and row_i >= 32 and col_i < 3")
+        assert few.rdd.getNumPartitions() == 1 and sorted(r["v"] for r in few.collect()) == sorted(values[32:, :3, 0].ravel().tolist())
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", kept)
+
+
 @pytest.mark.parametrize("size,side", [(3, 5), (5, 6), (7, 64)])
 def test_median_across_squares(spark, size, side):
     rng = np.random.default_rng(size)
