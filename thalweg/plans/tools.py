@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import checks, clip, fluvial, geodesy, grid, hypsometry, network, polylines, repair, rose, sampling, series, swath, tables, tools
 from ..sources import fixtures as fx
 from . import fixture_sql as sql
@@ -260,6 +262,28 @@ def layers_profile_points(spark, sf):
     return points.select("basin", *r6("distance_m", "elevation_m"), F.round("chi", 4).alias("chi"), F.round("ksn", 3).alias("ksn"), F.round("slk_index", 4).alias("slk_index"), F.col("wkt").isNotNull().alias("placed"))
 
 
+def _cut_up(spark, sf):
+    """(analysed profile, its knickpoints with their distance, names)."""
+    profile = cut(fluvial.analysed(fx.profiles(spark, sf), rivers.THETA), "analysed")
+    return profile, tables.with_distance(fluvial.knickpoints(profile, 3), profile), _names(spark, sf)
+
+
+def river_layers(spark, sf):
+    """Features of each of the four layers, over profiles that are cut where breaks are found."""
+    profile, knicks, names = _cut_up(spark, sf)
+    lengths = profile.groupBy("basin_id").agg(F.max("dist_m").alias("length_m"))
+    table = tables.river_summary(fluvial.summary(profile), knicks, lengths, names, rivers.THETA)
+    parts = fluvial.segments(profile, knicks.select("basin_id", "idx"), theta=rivers.THETA)
+    layers = tables.river_layers(fx.lines(spark, sf), profile, table, parts, knicks, names)
+    counts = [df.groupBy(F.lit(name).alias("layer")).agg(F.count("*").alias("n"), F.countDistinct("basin").alias("n_basins")) for name, df in layers.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+def knickpoints_found_csv(spark, sf):
+    _, knicks, names = _cut_up(spark, sf)
+    return tables.knickpoints(knicks, names).select("basin", F.round("chi", 4).alias("chi"), "dist_m", F.round("elev_m", 2).alias("elev_m"))
+
+
 def ring_faults(spark, sf):
     rings = fx.basin_rings(spark, sf)
     open_rings = rings.where("fid % 5 = 1 and vidx < 4").unionByName(rings.where("fid % 5 = 2 and vidx < 3")).unionByName(rings.where("fid % 5 = 3").withColumn("x", F.lit(1.0))).unionByName(rings.where("fid % 5 in (0, 4)"))
@@ -286,7 +310,7 @@ QUERIES = {
     for f in (
         river_equidistant, river_hydraulic, river_cell_by_cell, stream_ends, ncp_from_raster, ncp_skipped, ncp_tool, ncp_tool_skipped, fluvial_tool, fluvial_tool_skipped, geographic_areas, utm_there_and_back, web_mercator, repaired_areas, hyps_curve_csv, swath_ticks, fluvial_from_raster, position_at_distance, streams_in_polygons, mask_clip,
         hyps_from_polygons, hyps_all_skipped, hyps_selection_stats, swath_tool, swath_csv, rose_csv, profile_csv, summary_csv, summary_fleet, knickpoint_csv, ncp_csv, ncp_pair, ncp_profile_csv,
-        layers_profile_points, ring_faults, first_line, closed_lines, clipped_network,
+        layers_profile_points, river_layers, knickpoints_found_csv, ring_faults, first_line, closed_lines, clipped_network,
     )
 }
 QUERIES["hyps_strategy_none"] = hyps_ungrouped_strategy
@@ -361,6 +385,11 @@ ORACLES = {
     "web_mercator": f"SELECT fid, vidx, round(radians(7.25::DOUBLE + x/1000)*{geodesy.A}, 4) AS x, round(asinh(tan(radians(45.5::DOUBLE + y/1000)))*{geodesy.A}, 4) AS y FROM ({sql.LINES}) l",
     "ncp_skipped": f"""WITH {terrain._stations_sql(20)}, {_CELL}, n AS (SELECT st.fid, COUNT(z) AS n FROM st LEFT JOIN cell ON row_i = CAST(FLOOR((y - 1000.0)/-10.0) AS BIGINT) AND col_i = CAST(FLOOR(x/10.0) AS BIGINT) GROUP BY st.fid)
 SELECT fid AS basin_id, 'too few points with an elevation' AS reason FROM n WHERE fid % 3 = 0 OR n < 5""",
+    "knickpoints_found_csv": f"""WITH {rivers._P}, {rivers._chi(rivers.THETA)}, {rivers._splits_sql('ch', 3)}
+SELECT 'R' || CAST(kv.basin_id AS VARCHAR) AS basin, round(kv.chi, 4) AS chi, round(p.dist_m, 1) AS dist_m, CAST(round(CAST(kv.elev AS DECIMAL(18,6)), 2) AS DOUBLE) AS elev_m FROM kp JOIN kv ON kv.basin_id = kp.basin_id AND kv.k = kp.b JOIN p ON p.basin_id = kv.basin_id AND p.idx = kv.idx""",
+    "river_layers": f"""WITH {rivers._P}, {rivers._chi(rivers.THETA)}, {rivers._splits_sql('ch', 3)}, nb AS (SELECT COUNT(DISTINCT basin_id) AS b, COUNT(*) AS n FROM p)
+SELECT 'main_rivers' AS layer, b AS n, b AS n_basins FROM nb UNION ALL SELECT 'ksn_segments', b + (SELECT COUNT(*) FROM kp), b FROM nb
+UNION ALL SELECT 'knickpoints', COUNT(*), COUNT(DISTINCT basin_id) FROM kp UNION ALL SELECT 'profile_points', n, b FROM nb""",
     "hyps_curve_csv": f"WITH {terrain._hyps_sql(20)} SELECT basin_id, p, round(area_fraction, 6) AS area_fraction, round(elev_fraction, 6) AS elev_fraction FROM h",
     "repaired_areas": f"SELECT fid, CAST(2 AS BIGINT) AS n_parts, round((x_max - x_min)*(y_max - y_min)/2, 6) AS area_m2 FROM ({sql.BASINS}) b",
     "ncp_from_raster": f"WITH {_RASTER_NCP} SELECT * FROM m",
