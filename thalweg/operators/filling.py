@@ -278,13 +278,16 @@ def spill_levels(links: DataFrame, limit: int = 64) -> DataFrame:
 
 def _roots(hops: DataFrame, limit: int) -> DataFrame:
     """region, root, took: where following ``root`` ends, by doubling."""
+    check = lambda s: tuple(s.agg(F.bit_xor(F.xxhash64("region", "root")), F.count("*")).first())
     state = cut(hops, "hops")
+    before = check(state)
     for _ in range(limit):
         at = state.select(F.col("region").alias("root"), F.col("root").alias("further"))
-        state, before = cut(state.join(at, "root", "left").select("region", F.coalesce("further", "root").alias("root"), "took"), "hops"), state
-        check = [tuple(s.agg(F.bit_xor(F.xxhash64("region", "root")), F.count("*")).first()) for s in (before, state)]
-        if check[0] == check[1]:
+        state = cut(state.join(at, "root", "left").select("region", F.coalesce("further", "root").alias("root"), "took"), "hops")
+        now = check(state)
+        if now == before:
             return state
+        before = now
     raise ValueError("the hops have cycles")
 
 
