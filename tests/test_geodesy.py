@@ -67,3 +67,11 @@ def test_unknown_systems_and_nulls(spark):
             geodesy.System(code)
     row = geodesy.reprojected(spark.createDataFrame([(None, 4.0)], "x double, y double"), 4326, 32632).first()
     assert row["x"] is None
+
+
+def test_signed_areas_change_their_sign_beyond_a_pole(spark):
+    """On the cylinder the parallels run backwards there: what turns left in degrees turns right."""
+    rows = box(1, 0, 0, 1, 1) + box(2, 0, -100, 1, -99) + box(3, 0, -81, 1, -80)
+    got = {r["fid"]: r["area_km2"] for r in geodesy.ring_areas(spark.createDataFrame(rows, RING), signed=True).collect()}
+    assert got[1] == pytest.approx(12308.778, rel=1e-4)
+    assert got[2] == pytest.approx(-got[3], rel=1e-9) and got[3] > 0

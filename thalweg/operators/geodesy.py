@@ -26,17 +26,19 @@ def authalic(lat: Column) -> Column:
     return (1 - E2) * (s / (1 - E2 * s * s) + F.atanh(E * s) / E)
 
 
-def ring_areas(rings: DataFrame) -> DataFrame:
+def ring_areas(rings: DataFrame, signed: bool = False) -> DataFrame:
     """fid, area_m2, area_km2 of rings in degrees on the ellipsoid; rings after the first of a part are holes.
 
     Edges are straight on the cylinder of equal areas, as meridians and parallels are. A ring may
-    cross the date line, but not hold a pole.
+    cross the date line, but not hold a pole. ``signed`` areas are positive where a ring turns left
+    on the cylinder and negative where it turns right, as holes that turn right and all beyond a pole do.
     """
     w = Window.partitionBy("fid", "part", "ring").orderBy("vidx")
     x, q = F.radians("x"), authalic(F.radians("y"))
     step = _turn(F.lead(x).over(w) - x) * (F.lead(q).over(w) + q) / 2
-    each = rings.select("fid", "part", "ring", step.alias("s")).groupBy("fid", "part", "ring").agg((F.abs(F.sum("s")) * (A * A / 2)).alias("a"))
-    total = each.groupBy("fid").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area_m2"))
+    each = rings.select("fid", "part", "ring", step.alias("s")).groupBy("fid", "part", "ring").agg((-F.sum("s") * (A * A / 2)).alias("a"))
+    size = F.col("a") if signed else F.when(F.col("ring") == 0, F.abs("a")).otherwise(-F.abs("a"))
+    total = each.groupBy("fid").agg(F.sum(size).alias("area_m2"))
     return total.withColumn("area_km2", F.col("area_m2") / 1e6)
 
 
