@@ -99,16 +99,20 @@ def chunked(groups: DataFrame, most: int = 6) -> DataFrame:
 
 
 def group_statistics(groups: DataFrame, *keys: str) -> DataFrame:
-    """n, hi_min, hi_max, hi_mean (3 digits), area_total_km2, area_mean_km2 and relief_mean (1 digit) of each group."""
+    """n, hi_min, hi_max, hi_mean (3 digits), area_total_km2, area_mean_km2 and relief_mean (1 digit) of each group.
+
+    Rounded as decimals of nine digits: the last bits of a sum depend on its order, and would decide at halves.
+    """
     finite = lambda c: F.when((F.abs(F.col(c)) < float("inf")) & ~F.isnan(c), F.col(c))
+    rounded = lambda v, digits: F.coalesce(F.round(v.try_cast("decimal(24,9)"), digits).cast("double"), F.round(v, digits))
     return groups.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.round(F.min(finite("hi")), 3).alias("hi_min"),
-        F.round(F.max(finite("hi")), 3).alias("hi_max"),
-        F.round(F.avg(finite("hi")), 3).alias("hi_mean"),
-        F.round(F.sum(finite("area_km2")), 1).alias("area_total_km2"),
-        F.round(F.avg(finite("area_km2")), 1).alias("area_mean_km2"),
-        F.round(F.avg(finite("relief")), 1).alias("relief_mean"),
+        rounded(F.min(finite("hi")), 3).alias("hi_min"),
+        rounded(F.max(finite("hi")), 3).alias("hi_max"),
+        rounded(F.avg(finite("hi")), 3).alias("hi_mean"),
+        rounded(F.sum(finite("area_km2")), 1).alias("area_total_km2"),
+        rounded(F.avg(finite("area_km2")), 1).alias("area_mean_km2"),
+        rounded(F.avg(finite("relief")), 1).alias("relief_mean"),
     )
 
 
