@@ -47,5 +47,8 @@ def members(rings: DataFrame, meta: grid.GridMeta) -> DataFrame:
 
 
 def cells_in_zones(cells: DataFrame, rings: DataFrame, meta: grid.GridMeta) -> DataFrame:
-    """``cells`` (row_i, col_i, ...) with the ``fid`` of each polygon that holds their centre: an equi-join, with nothing to test after it."""
-    return cells.join(members(rings, meta), ["row_i", "col_i"])
+    """``cells`` (row_i, col_i, ...) with the ``fid`` of each polygon that holds their centre: an equi-join, with nothing to test after it.
+
+    The cells of a polygon are sized by its few corners before they are expanded: without the hint they would be broadcast.
+    """
+    return cells.join(members(rings, meta).hint("merge"), ["row_i", "col_i"])

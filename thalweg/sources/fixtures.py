@@ -19,8 +19,9 @@ def elevation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("o_orderkey") / N_COLS).alias("row_i"),
         (F.col("o_orderkey") % N_COLS).alias("col_i"),
         F.expr(
-            "CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE ROUND(3000D - 2D * FLOOR(o_orderkey / 100)"
-            " + 0.5D * ABS(o_orderkey % 100 - 50) + o_totalprice / 10000D, 3) END"
+            # Rounded as the SQL's engine does, by whole thousandths: at halves the decimal digits may say otherwise.
+            "CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE ROUND((3000D - 2D * FLOOR(o_orderkey / 100)"
+            " + 0.5D * ABS(o_orderkey % 100 - 50) + o_totalprice / 10000D) * 1000D) / 1000D END"
         ).alias("z"),
         F.expr("FLOOR(o_orderkey / 1500) * 4 + FLOOR((o_orderkey % 100) / 25)").cast("long").alias("basin_id"),
     )
