@@ -74,3 +74,22 @@ def test_no_cells_and_wrong_mode(spark):
     assert outlets.outlets(none, spark.createDataFrame([], "src long, facc double"), 5, 1.0).count() == 0
     with pytest.raises(ValueError, match="mode"):
         outlets.outlets(none, none, 5, 1.0, mode="x")
+
+
+def test_snapping_pairs_no_point_with_each_cell_around_it(spark):
+    """Points on, off and beside a grid that several tiles share, against every pair; the plan joins points with their own answer only."""
+    from thalweg.operators import flow
+
+    n_cols, n_rows = 60, 1100
+    facc = {r * n_cols + c: float((r * 37 + c * 91) % 53) for r in range(n_rows) for c in range(n_cols) if (r + c) % 7}
+    cells = spark.createDataFrame(list(facc.items()), "src long, facc double")
+    points = [(1, 0, 0), (2, 1023, 30), (3, 1024, 59), (4, 1030, -5), (5, -25, 70), (6, 5000, 5), (7, 1023, 30), (8, None, 3)]
+    found = flow.snapped_outlets(spark.createDataFrame(points, "fid long, row_i long, col_i long"), cells, n_cols)
+
+    def best(row, col):
+        near = [] if row is None else [(v, -s) for s, v in facc.items() if abs(s // n_cols - row) <= 25 and abs(s % n_cols - col) <= 25]
+        return divmod(-max(near)[1], n_cols) if near else (row, col)
+
+    assert sorted(tuple(r) for r in found.collect()) == sorted((fid, *best(row, col)) for fid, row, col in points)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan

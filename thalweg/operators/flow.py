@@ -6,6 +6,8 @@ round, each cell's pointer jumps twice as far, so a path of length L takes log2(
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ OFFSETS = {
 #: Outlets keep this distance, in cells on one axis at least.
 SPACING = 20
 LEAST_CELLS = 50
+#: Cells on a side of the tiles in which points are snapped.
+TILE = 1024
 
 
 def encoding(cells: DataFrame) -> DataFrame:
@@ -159,18 +163,37 @@ def auto_outlet(facc: DataFrame, n_rows: int, n_cols: int, margin: int = 20) ->
 def snapped_outlets(points: DataFrame, facc: DataFrame, n_cols: int, radius: int = 25) -> DataFrame:
     """fid, row_i, col_i of outlet points moved to the cell with the most accumulation within ``radius`` cells.
 
-    Points go to the blocks of cells around them, so the join is an equi-join. Without a known cell near a point stays.
+    Places and the cells around them go to tiles; in a tile the best cell around each place is a running
+    maximum, so the work does not grow with the radius. Without a known cell near a point stays.
     """
-    size = 2 * radius + 1
-    block = lambda c: F.floor(c / size)
-    cells = facc.where("facc is not null").select("src", "facc", F.floor(F.col("src") / n_cols).alias("r"), (F.col("src") % n_cols).alias("c"))
-    cells = cells.withColumn("br", block(F.col("r"))).withColumn("bc", block(F.col("c")))
-    near = points.withColumn("br", F.explode(F.sequence(block(F.col("row_i") - radius), block(F.col("row_i") + radius)))).withColumn(
-        "bc", F.explode(F.sequence(block(F.col("col_i") - radius), block(F.col("col_i") + radius)))
-    )
-    met = near.join(cells, ["br", "bc"]).where((F.abs(F.col("r") - F.col("row_i")) <= radius) & (F.abs(F.col("c") - F.col("col_i")) <= radius))
-    best = met.groupBy("fid").agg(F.max_by(F.struct("r", "c"), F.struct("facc", -F.col("src"))).alias("b"))
-    return points.join(best, "fid", "left").select("fid", F.coalesce("b.r", "row_i").alias("row_i"), F.coalesce("b.c", "col_i").alias("col_i"))
+    tile = lambda c: F.floor(c / TILE)
+    near = lambda c: F.explode(F.sequence(tile(F.col(c) - radius), tile(F.col(c) + radius)))
+    cells = facc.where("facc is not null").select("src", F.col("facc").cast("double").alias("facc"), F.floor(F.col("src") / n_cols).alias("r"), (F.col("src") % n_cols).alias("c"))
+    cells = cells.withColumn("tr", near("r")).withColumn("tc", near("c"))
+    places = points.where("row_i is not null and col_i is not null").select(F.col("row_i").cast("long").alias("row_i"), F.col("col_i").cast("long").alias("col_i")).distinct()
+    places = places.withColumn("tr", tile(F.col("row_i"))).withColumn("tc", tile(F.col("col_i")))
+
+    def best(cells: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        if cells.empty or places.empty:
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("row_i", "col_i", "r", "c")})
+        cells = cells.sort_values(["facc", "src"], ascending=[True, False])
+        top, left = (int(places[t].iloc[0]) * TILE for t in ("tr", "tc"))
+        rank = np.full((TILE + 2 * radius, TILE + 2 * radius), -1, np.int32)
+        rank[cells["r"] - top + radius, cells["c"] - left + radius] = np.arange(len(cells), dtype=np.int32)
+        most = _running_max(_running_max(rank, 2 * radius + 1).T, 2 * radius + 1).T[places["row_i"] - top, places["col_i"] - left]
+        at = cells[["r", "c"]].to_numpy()[most[most >= 0]]
+        return places.loc[most >= 0, ["row_i", "col_i"]].assign(r=at[:, 0], c=at[:, 1])
+
+    found = cells.groupBy("tr", "tc").cogroup(places.groupBy("tr", "tc")).applyInPandas(best, "row_i long, col_i long, r long, c long")
+    return points.join(found, ["row_i", "col_i"], "left").select("fid", F.coalesce("r", "row_i").alias("row_i"), F.coalesce("c", "col_i").alias("col_i"))
+
+
+def _running_max(a: np.ndarray, n: int) -> np.ndarray:
+    """The most of each ``n`` rows that follow one another, by doubling."""
+    width = 1
+    while 2 * width <= n:
+        a, width = np.maximum(a[:-width], a[width:]), 2 * width
+    return np.maximum(a[: len(a) - (n - width)], a[n - width :])
 
 
 def with_own_outlet(found: DataFrame, node: int, area_m2: float) -> DataFrame:
