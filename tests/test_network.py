@@ -1,5 +1,7 @@
 import sys
 
+from pyspark.sql import functions as F
+
 from thalweg.operators import network
 
 
@@ -39,3 +41,13 @@ def test_long_paths_branches_and_cycles(spark):
     # 3, 4 and 5 form a cycle fed by 6; 0 to 2 lie below it.
     looped = {i: float(10 - i) for i in range(7)}, {0: [1], 1: [2], 2: [4], 3: [5, 6], 4: [3], 5: [4]}
     compare(spark, {1: (deep, stem), 2: braided, 3: looped, 4: ({1: 2.0}, {})})
+
+
+def test_snapping_looks_across_squares_and_broadcasts_nothing(spark):
+    """Ends on either side of squares' borders, at negative places and at the distance itself, against every pair."""
+    rows = [(1, i, (i * 7 % 23) * 0.5 - 6.0, (i * 5 % 19) * 0.5 - 5.0, (i * 11 % 29) * 0.5 - 7.0, (i * 3 % 17) * 0.5 - 4.0) for i in range(60)]
+    found = network.snapped(spark.createDataFrame(rows, "basin_id long, seg_id long, start_x double, start_y double, end_x double, end_y double"), 2.0)
+    got = found.agg(F.sort_array(F.collect_list(F.struct("seg_id", "up_seg_id"))).alias("links"))
+    (links,) = got.collect()
+    assert [tuple(r) for r in links["links"]] == sorted((a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and (a[2] - b[4]) ** 2 + (a[3] - b[5]) ** 2 <= 4)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()

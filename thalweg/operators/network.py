@@ -24,14 +24,15 @@ def downhill(segments: DataFrame) -> DataFrame:
 def snapped(segments: DataFrame, distance: float = 2.0) -> DataFrame:
     """basin_id, seg_id, up_seg_id: segments whose end lies within ``distance`` of another's start.
 
-    Starts look into the nine squares of that size around them: an equi-join and a check.
+    Starts look into the squares, four times as wide, that they reach: one to four, two on average. An equi-join and a check;
+    the squares are sized before they are expanded, so without the hint they might be broadcast.
     """
-    square = lambda c: F.floor(F.col(c) / distance)
-    ends = segments.select("basin_id", F.col("seg_id").alias("up_seg_id"), "end_x", "end_y", square("end_x").alias("bx"), square("end_y").alias("by"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    starts = segments.select("basin_id", "seg_id", "start_x", "start_y", F.explode(around).alias("o"))
-    starts = starts.select("basin_id", "seg_id", "start_x", "start_y", (square("start_x") + F.col("o.i")).alias("bx"), (square("start_y") + F.col("o.j")).alias("by"))
-    met = starts.join(ends, ["basin_id", "bx", "by"])
+    square = lambda c: F.floor(c / (4 * distance))
+    # A little further than the distance, for ends that rounding would put into the next square.
+    reach = lambda c: F.explode(F.sequence(square(F.col(c) - distance * 1.001), square(F.col(c) + distance * 1.001)))
+    ends = segments.select("basin_id", F.col("seg_id").alias("up_seg_id"), "end_x", "end_y", square(F.col("end_x")).alias("bx"), square(F.col("end_y")).alias("by"))
+    starts = segments.select("basin_id", "seg_id", "start_x", "start_y").withColumn("bx", reach("start_x")).withColumn("by", reach("start_y"))
+    met = starts.hint("merge").join(ends, ["basin_id", "bx", "by"])
     near = (F.col("start_x") - F.col("end_x")) ** 2 + (F.col("start_y") - F.col("end_y")) ** 2 <= distance**2
     return met.where(near & (F.col("seg_id") != F.col("up_seg_id"))).select("basin_id", "seg_id", "up_seg_id")
 
