@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from thalweg.operators import grid, hypsometry, zones
+from thalweg.operators import clip, grid, hypsometry, zones
 
 META = grid.GridMeta(0.0, 1.0, 0.0, -1.0, 1000, 1000)
 
@@ -31,3 +31,9 @@ def test_group_sums_at_a_half_do_not_depend_on_their_last_bits(spark):
     rows = spark.range(12).coalesce(1).select(F.lit(1).alias("group_no"), F.lit(0.5).alias("hi"), F.lit(0.0375).alias("area_km2"), F.lit(1e300).alias("relief"))
     (got,) = hypsometry.group_statistics(rows, "group_no").collect()
     assert got["area_total_km2"] == 0.5 and got["relief_mean"] > 9e299
+
+
+def test_cells_in_a_large_mask_are_not_broadcast(spark):
+    found = clip.cells_in_mask(every_cell(spark), one_large_polygon(spark), META).agg(F.count("*").alias("n"))
+    assert found.collect()[0]["n"] == 810_000
+    assert "BroadcastHashJoin" not in plan(found)

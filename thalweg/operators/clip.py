@@ -69,5 +69,5 @@ def parts(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cells_in_mask(cells: DataFrame, rings: DataFrame, meta: grid.GridMeta) -> DataFrame:
-    """The cells whose centres lie in a polygon, each once."""
-    return cells.join(zones.members(rings, meta).select("row_i", "col_i"), ["row_i", "col_i"], "left_semi")
+    """The cells whose centres lie in a polygon, each once. Not broadcast: see ``zones.cells_in_zones``."""
+    return cells.join(zones.members(rings, meta).select("row_i", "col_i").hint("merge"), ["row_i", "col_i"], "left_semi")
