@@ -273,3 +273,15 @@ def test_median_across_squares(spark, size, side):
     found = mapunits.median(labels, 13, 17, size, side=side)
     assert dict(found.dtypes)["cluster"] == "int"
     assert {(r["row_i"], r["col_i"]): r["cluster"] for r in found.collect()} == want
+
+
+def test_tasks_of_a_walk_grow_with_its_steps(spark, monkeypatch):
+    """Twenty rivers of two vertices make 300 steps each: few vertices, but many tasks' worth of steps."""
+    from thalweg.operators import sampling
+
+    cells = spark.range(100).select(F.floor(F.col("id") / 10).alias("row_i"), (F.col("id") % 10).alias("col_i"), F.col("id").cast("double").alias("z"), F.lit(1.0).alias("facc"))
+    rivers = line(spark, *[(fid, [(1, 99), (1, 98 - 0.01 * fid)] * 150) for fid in range(20)])
+    monkeypatch.setattr(sampling, "STEPS_A_TASK", 100)
+    found = sampling.cell_by_cell(rivers, cells.select("row_i", "col_i", "z"), cells.select("row_i", "col_i", "facc"), META)
+    assert found.rdd.getNumPartitions() >= 20 * 299 / 100
+    assert found.groupBy("basin_id").agg(F.count("*").alias("n"), F.max("idx").alias("last")).where("n = 299 and last = 298").count() == 20

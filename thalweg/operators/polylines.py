@@ -95,15 +95,27 @@ def transversals(spots: DataFrame, half_width: float, n: int, geographic: bool =
     )
 
 
+def _walks(vertices: DataFrame, pixel: float, share: float) -> DataFrame:
+    """fid, vidx, x, y, x2, y2, steps of each segment with a length."""
+    w = along("fid")
+    length = F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
+    segs = vertices.select("fid", "vidx", "x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null").where(length >= 1e-6)
+    return segs.withColumn("steps", F.greatest(F.ceil(length / F.lit(share * pixel)), F.lit(1).cast("long")))
+
+
+def step_count(vertices: DataFrame, pixel: float, share: float = 0.3) -> int:
+    """How many steps ``walked`` makes of all lines."""
+    return _walks(vertices, pixel, share).agg(F.sum("steps")).first()[0] or 0
+
+
 def walked(vertices: DataFrame, pixel: float, share: float = 0.3) -> DataFrame:
     """fid, idx, x, y: steps of ``share`` pixels along each segment; the last vertex is left out, and segments without length are."""
-    segs = vertices.select("fid", "vidx", "x", "y", F.lead("x").over(along("fid")).alias("x2"), F.lead("y").over(along("fid")).alias("y2")).where("x2 is not null").where(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")) >= 1e-6)
-    steps = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")) / F.lit(share * pixel)), F.lit(1).cast("long"))
-    each = segs.withColumn("steps", steps).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)))
+    # Steps are numbered from those of the segments before theirs, so that only segments are sorted.
+    before = F.coalesce(F.sum("steps").over(along("fid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    each = _walks(vertices, pixel, share).withColumn("before", before).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)))
     t = F.col("s") / F.col("steps")
     on = lambda a, b: F.col(a) + t * (F.col(b) - F.col(a))
-    order = Window.partitionBy("fid").orderBy("vidx", "s")
-    return each.select("fid", (F.row_number().over(order) - 1).cast("long").alias("idx"), on("x", "x2").alias("x"), on("y", "y2").alias("y"))
+    return each.select("fid", (F.col("before") + F.col("s")).alias("idx"), on("x", "x2").alias("x"), on("y", "y2").alias("y"))
 
 
 def between(vertices: DataFrame, low: Column, high: Column) -> DataFrame:

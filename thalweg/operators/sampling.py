@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from . import grid, polylines, series
 
 #: Points with an elevation that a river needs.
 LEAST_POINTS = 5
+#: Steps of a walk that a task holds, unless a single river has more.
+STEPS_A_TASK = 500_000
 
 
 def _lookup(points: DataFrame, cells: DataFrame, meta: grid.GridMeta, value: str, out: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -70,7 +74,12 @@ def cell_by_cell(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.
     Steps off the grid (``meta`` with n_rows and n_cols) go; distances are chords between the steps that
     stay; steps without an elevation go afterwards.
     """
-    steps = polylines.walked(rivers, cell_metres(meta)).withColumnRenamed("fid", "basin_id")
+    # Vertices become many times as many steps: tasks are dealt by these, which Spark does not see before.
+    tasks = max(rivers.sparkSession.sparkContext.defaultParallelism, math.ceil(polylines.step_count(rivers, cell_metres(meta)) / STEPS_A_TASK))
+    steps = polylines.walked(rivers.repartition(tasks, "fid"), cell_metres(meta)).withColumnRenamed("fid", "basin_id")
+    # Only these cells are met: the rest of a larger grid would keep Spark from broadcasting them, and steps of all rivers would go to a few cells' tasks.
+    there = F.col("row_i").between(0, meta.n_rows - 1) & F.col("col_i").between(0, meta.n_cols - 1)
+    dem, facc = dem.where(there), facc.where(there)
     row, col = meta.row_of(F.col("y")), meta.column_of(F.col("x"))
     inside = steps.where(row.between(0, meta.n_rows - 1) & col.between(0, meta.n_cols - 1))
     w = Window.partitionBy("basin_id").orderBy("idx")
@@ -78,7 +87,8 @@ def cell_by_cell(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.
     far = inside.withColumn("d_", chord).withColumn("dist_m", F.sum("d_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("d_").withColumnRenamed("idx", "step_")
     long = far.withColumn("n_", F.count("*").over(Window.partitionBy("basin_id"))).where(F.col("n_") >= least).drop("n_")
     full = _kept(_drained(_lookup(long, dem, meta, value, "elev"), facc, meta, "step_", F.lit(cell_metres(meta) ** 2)), "step_", least)
-    return series.slope(full).select("basin_id", "idx", "dist_m", "elev", "area_m2", "slope", "fac_valid")
+    # idx goes up with step_, in whose order the rows are already.
+    return series.slope(full, order="step_").select("basin_id", "idx", "dist_m", "elev", "area_m2", "slope", "fac_valid")
 
 
 def first_source(*sources: DataFrame | None) -> DataFrame | None:

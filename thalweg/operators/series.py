@@ -21,9 +21,9 @@ def trapezoid(y: Column, x: Column, w: Window) -> Column:
     return (y + F.lag(y).over(w)) / 2 * (x - F.lag(x).over(w))
 
 
-def slope(profile: DataFrame, z: str = "elev", d: str = "dist_m", least: float = 1e-8) -> DataFrame:
+def slope(profile: DataFrame, z: str = "elev", d: str = "dist_m", least: float = 1e-8, order: str = "idx") -> DataFrame:
     """``slope``: centred difference over distance, one-sided at the ends, never below ``least``."""
-    w = along()
+    w = along(order=order)
     near = lambda c, f: F.coalesce(f(c).over(w), F.col(c))
     dz, dd = near(z, F.lead) - near(z, F.lag), near(d, F.lead) - near(d, F.lag)
     return profile.withColumn("slope", F.when(dd > 1e-6, F.greatest(F.abs(dz) / F.when(dd > 1e-6, dd), F.lit(least))).otherwise(F.lit(least)))
