@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions import lineage
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """As in ``lineage``, but not broadcast: numbers of segments take a byte or so in a file, by which Spark sizes them, and a hundred times that as a hash table."""
+    return lineage.cut(df, name).hint("merge")
 
 
 def downhill(segments: DataFrame) -> DataFrame:
@@ -22,7 +28,14 @@ def downhill(segments: DataFrame) -> DataFrame:
 
 
 def snapped(segments: DataFrame, distance: float = 2.0) -> DataFrame:
-    """basin_id, seg_id, up_seg_id: segments whose end lies within ``distance`` of another's start.
+    """basin_id, seg_id, up_seg_id: segments whose end lies within ``distance`` of another's start."""
+    ends = segments.select("basin_id", F.col("seg_id").alias("up_seg_id"), "end_x", "end_y")
+    met = _within(segments.select("basin_id", "seg_id", "start_x", "start_y"), ends, distance)
+    return met.where("seg_id <> up_seg_id").select("basin_id", "seg_id", "up_seg_id")
+
+
+def _within(starts: DataFrame, ends: DataFrame, distance: float) -> DataFrame:
+    """Pairs of starts and ends of a basin that lie within ``distance``.
 
     Starts look into the squares, four times as wide, that they reach: one to four, two on average. An equi-join and a check;
     the squares are sized before they are expanded, so without the hint they might be broadcast.
@@ -30,28 +43,54 @@ def snapped(segments: DataFrame, distance: float = 2.0) -> DataFrame:
     square = lambda c: F.floor(c / (4 * distance))
     # A little further than the distance, for ends that rounding would put into the next square.
     reach = lambda c: F.explode(F.sequence(square(F.col(c) - distance * 1.001), square(F.col(c) + distance * 1.001)))
-    ends = segments.select("basin_id", F.col("seg_id").alias("up_seg_id"), "end_x", "end_y", square(F.col("end_x")).alias("bx"), square(F.col("end_y")).alias("by"))
-    starts = segments.select("basin_id", "seg_id", "start_x", "start_y").withColumn("bx", reach("start_x")).withColumn("by", reach("start_y"))
+    ends = ends.withColumn("bx", square(F.col("end_x"))).withColumn("by", square(F.col("end_y")))
+    starts = starts.withColumn("bx", reach("start_x")).withColumn("by", reach("start_y"))
     met = starts.hint("merge").join(ends, ["basin_id", "bx", "by"])
-    near = (F.col("start_x") - F.col("end_x")) ** 2 + (F.col("start_y") - F.col("end_y")) ** 2 <= distance**2
-    return met.where(near & (F.col("seg_id") != F.col("up_seg_id"))).select("basin_id", "seg_id", "up_seg_id")
+    return met.where((F.col("start_x") - F.col("end_x")) ** 2 + (F.col("start_y") - F.col("end_y")) ** 2 <= distance**2).drop("bx", "by")
+
+
+def places(segments: DataFrame, distance: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(``segments`` with ``start`` and ``end``, their places; near: basin_id, start, end of places within ``distance``).
+
+    Whatever starts, or ends, at one place is one there, so links grow with the different places and
+    not with the pairs of streams that share them. A place has the smallest seg_id of those that start, or end, there.
+    """
+    at = lambda side: ["basin_id", f"{side}_x", f"{side}_y"]
+    starts, ends = (cut(segments.groupBy(*at(side)).agg(F.min("seg_id").alias(side)), "places") for side in ("start", "end"))
+    near = cut(_within(starts, ends, distance).select("basin_id", "start", "end"), "links")
+    placed = segments.join(starts, at("start")).join(ends, at("end")).select(*segments.columns, "start", "end")
+    return cut(placed, "placed"), near
 
 
 def weights(segments: DataFrame, links: DataFrame) -> DataFrame:
     """basin_id, seg_id, weight: the longest way up from each segment, itself included.
 
-    Segments without open links are done and pass their weight down; a link to a segment with one
-    open link is drawn on to that one's upstream segment, so a path of any length takes about log2
-    rounds. Every round ends a segment unless only those on cycles, or below them, are left; these
-    are walked as the reference does (``_cut_cycles``).
+    Segments on cycles, or below them, are walked as the reference does (``_cut_cycles``).
     """
     key = ["basin_id", "seg_id"]
-    above = lambda df, *rest: df.select("basin_id", F.col("seg_id").alias("up_seg_id"), *rest)
     own = cut(segments.select(*key, F.col("len_m").cast("double").alias("len_m")), "segments")
-    open_links = links.select(*key, "up_seg_id").distinct().join(above(own), ["basin_id", "up_seg_id"], "left_semi")
+    open_links = links.select(*key, "up_seg_id").distinct().join(_above(own), ["basin_id", "up_seg_id"], "left_semi")
     every = cut(open_links.join(own, key).select(*key, "up_seg_id", F.col("len_m").alias("d")), "links")
-    # The weight of a node: the most of ``c`` and, over its open links, d + the weight above.
-    edges, nodes, done = every, own.withColumnRenamed("len_m", "c"), []
+    known, rest = _longest(own.withColumnRenamed("len_m", "c"), every)
+    if rest.isEmpty():
+        return known
+    return known.unionByName(_cut_cycles(rest.join(own, key), every, known))
+
+
+def _above(df: DataFrame, *rest: str | Column) -> DataFrame:
+    return df.select("basin_id", F.col("seg_id").alias("up_seg_id"), *rest)
+
+
+def _longest(own: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(basin_id, seg_id, weight; basin_id, seg_id of those on cycles or below them).
+
+    The weight of a node: the most of ``c`` (of ``own``) and, over its links (``every``), d + the
+    weight above. Nodes without open links are done and pass their weight down; a link to a node with
+    one open link is drawn on to that one's upstream node, so a path of any length takes about log2
+    rounds. Every round ends a node unless only those on cycles, or below them, are left.
+    """
+    key, above = ["basin_id", "seg_id"], _above
+    edges, nodes, done = every, own, []
     more = lambda gain: cut(nodes.join(gain, key, "left").select(*key, F.greatest("c", "g").alias("c")), "nodes")
     for _ in range(own.count() + 1):
         now = cut(nodes.join(edges.select(*key).distinct(), key, "left_anti").select(*key, F.col("c").alias("weight")), "done")
@@ -69,10 +108,88 @@ def weights(segments: DataFrame, links: DataFrame) -> DataFrame:
         edges = cut(drawn.groupBy(*key, "up_seg_id").agg(F.max("d").alias("d")), "links")
     else:
         raise RuntimeError("river weights did not settle")
-    known = reduce(DataFrame.unionByName, done, own.select(*key, F.col("len_m").alias("weight")).limit(0))
-    if nodes.isEmpty():
-        return known
-    return known.unionByName(_cut_cycles(nodes.select(*key).join(own, key), every, known))
+    return reduce(DataFrame.unionByName, done, own.select(*key, F.col("c").alias("weight")).limit(0)), nodes.select(*key)
+
+
+def place_weights(segments: DataFrame, near: DataFrame) -> DataFrame:
+    """``weights`` of segments between places (start, end), by the links ``near`` of these: no pair of segments is made.
+
+    All that starts at a place has the same way up, so the places are solved first; those on cycles,
+    below them or with a segment back to themselves are walked by segment.
+    """
+    key = ["basin_id", "seg_id"]
+    own = cut(segments.select(*key, "start", "end", F.col("len_m").cast("double").alias("len_m")), "segments")
+    longest = own.groupBy("basin_id", "end", F.col("start").alias("up_seg_id")).agg(F.max("len_m").alias("d"))
+    met = near.join(longest, ["basin_id", "end"]).groupBy("basin_id", F.col("start").alias("seg_id"), "up_seg_id").agg(F.max("d").alias("d"))
+    starts = cut(own.select("basin_id", F.col("start").alias("seg_id")).distinct().withColumn("c", F.lit(0.0)), "nodes")
+    done, left = _longest(starts, cut(met, "links"))
+    up = done.select("basin_id", F.col("seg_id").alias("start"), "weight")
+    known = cut(own.join(up, ["basin_id", "start"]).select(*key, "end", (F.col("len_m") + F.col("weight")).alias("weight")), "known")
+    found = known.select(*key, "weight")
+    if left.isEmpty():
+        return found
+    at = left.select("basin_id", F.col("seg_id").alias("start"))
+    links = near.join(at, ["basin_id", "start"], "left_semi")
+    most = known.groupBy("basin_id", "end").agg(F.max("weight").alias("len_m"))
+    kind = lambda name: F.lit(name).alias("kind")
+    none = F.lit(-1).cast("long")
+    parts = [
+        own.join(at, ["basin_id", "start"], "left_semi").select(kind("segment"), *key, "start", "end", "len_m"),
+        links.select(kind("link"), "basin_id", none.alias("seg_id"), "start", "end", F.lit(0.0).alias("len_m")),
+        most.join(links.select("basin_id", "end").distinct(), ["basin_id", "end"], "left_semi").select(kind("known"), "basin_id", none.alias("seg_id"), none.alias("start"), "end", "len_m"),
+    ]
+    return found.unionByName(reduce(DataFrame.unionByName, parts).groupBy("basin_id").applyInPandas(_walked, found.schema))
+
+
+def _walked(rows: pd.DataFrame) -> pd.DataFrame:
+    """``_cut_cycles`` for a basin's segments between places, its links of places, and the most weight known at each end.
+
+    The next segment up from a place is the least unvisited of those that end near it. What is
+    finished counts its weight, what is on the way (a stack for each end) its length. So the work
+    grows with the segments, whatever the pairs of them.
+    """
+    rows = rows.assign(end=pd.factorize(rows["end"])[0])
+    own, links, known = (rows[rows["kind"] == kind] for kind in ("segment", "link", "known"))
+    own = own.sort_values("seg_id", ignore_index=True)
+    most = np.full(int(rows["end"].max()) + 1, -np.inf)
+    most[known["end"]] = known["len_m"]
+    near = {p: ends.to_numpy() for p, ends in links.groupby("start")["end"]}
+    nowhere = np.empty(0, "int64")
+    start, end, length = own["start"].tolist(), own["end"].tolist(), own["len_m"].tolist()
+    at_end = {e: i.tolist() for e, i in own.groupby("end").groups.items()}
+    nobody, n = len(own), len(most)
+    head, place, top, inside = np.full(n, nobody), [0] * n, np.full(n, -np.inf), [[] for _ in range(n)]
+    for e, i in at_end.items():
+        head[e] = i[0]
+    seen, weight = [False] * nobody, [0.0] * nobody
+
+    def enter(i: int) -> None:
+        seen[i], e = True, end[i]
+        way.append(i)
+        inside[e].append(max(length[i], top[e]))
+        top[e] = inside[e][-1]
+        at, k = at_end[e], place[e]
+        while k < len(at) and seen[at[k]]:
+            k += 1
+        place[e], head[e] = k, at[k] if k < len(at) else nobody
+
+    way: list[int] = []
+    for first in range(nobody):
+        if not seen[first]:
+            enter(first)
+        while way:
+            i = way[-1]
+            ends = near.get(start[i], nowhere)
+            if (up := int(head[ends].min(initial=nobody))) < nobody:
+                enter(up)
+                continue
+            e = end[way.pop()]
+            inside[e].pop()
+            top[e] = inside[e][-1] if inside[e] else -np.inf
+            best = float(max(most[ends].max(initial=-np.inf), top[ends].max(initial=-np.inf)))
+            weight[i] = length[i] + (best if best > -np.inf else 0.0)
+            most[e] = max(most[e], weight[i])
+    return own[["basin_id", "seg_id"]].assign(weight=weight)
 
 
 def _cut_cycles(rest: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
@@ -121,6 +238,34 @@ def main_river(segments: DataFrame, links: DataFrame, weighed: DataFrame | None
     w = cut(weights(segments, links) if weighed is None else weighed, "weighed")
     above = links.join(w.withColumnRenamed("seg_id", "up_seg_id"), ["basin_id", "up_seg_id"])
     best = above.groupBy("basin_id", "seg_id").agg(F.max_by("up_seg_id", F.struct("weight", -F.col("up_seg_id"))).alias("next"))
+    return _followed(w, best, limit)
+
+
+def place_river(segments: DataFrame, near: DataFrame, limit: int = 64) -> DataFrame:
+    """``main_river`` of segments between places (start, end), by the links ``near`` of these.
+
+    A segment that is the heaviest near its own start goes on to the second there.
+    """
+    w = cut(place_weights(segments, near), "weighed")
+    rank = F.struct("weight", (-F.col("seg_id")).alias("less"))
+    ends = segments.select("basin_id", "seg_id", "end").join(w, ["basin_id", "seg_id"]).select("basin_id", "end", rank.alias("one"))
+    two = _two(near.join(cut(_two(ends, "end"), "ends"), ["basin_id", "end"]), "start")
+    chosen = F.when(F.col("one.less") != -F.col("seg_id"), F.col("one.less")).otherwise(F.col("two.less"))
+    best = segments.select("basin_id", "seg_id", "start").join(two, ["basin_id", "start"]).select("basin_id", "seg_id", (-chosen).alias("next")).where("next is not null")
+    return _followed(w, best, limit)
+
+
+def _two(ranked: DataFrame, at: str) -> DataFrame:
+    """basin_id, ``at``, one, two: the first and the second of what ``ranked`` has there (one, and two where it has that)."""
+    if "two" in ranked.columns:
+        ranked = ranked.select("basin_id", at, F.explode(F.array_compact(F.array("one", "two"))).alias("one"))
+    first = ranked.groupBy("basin_id", at).agg(F.max("one").alias("one"))
+    other = ranked.withColumnRenamed("one", "two").join(first, ["basin_id", at]).where("two <> one").groupBy("basin_id", at).agg(F.max("two").alias("two"))
+    return first.join(other, ["basin_id", at], "left")
+
+
+def _followed(w: DataFrame, best: DataFrame, limit: int) -> DataFrame:
+    """The river of each basin by the weights and each segment's upstream one (``next``)."""
     hop = cut(best, "hops")
     outlet = w.groupBy("basin_id").agg(F.max_by("seg_id", F.struct("weight", -F.col("seg_id"))).alias("seg_id"), F.max("weight").alias("length_m"))
     seen = cut(outlet.select("basin_id", "seg_id", F.lit(0).cast("long").alias("place")), "river")

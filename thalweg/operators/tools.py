@@ -38,10 +38,10 @@ def main_rivers(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: gri
     pieces = cut(clip.lines_in_polygons(streams, sound, cell), "pieces")
     segments, vertices = clip.parts(pieces)
     turned = cut(network.downhill(sampling.ends(segments, dem, meta, value)), "segments")
-    links = cut(network.snapped(turned, snap), "links")
-    river = cut(network.main_river(turned, links, network.weights(turned, links)), "river")
+    river = cut(network.place_river(*network.places(turned, snap)), "river")
     key = ["basin_id", "seg_id"]
-    placed = vertices.join(river.select(*key, "place"), key).join(turned.select(*key, "turned"), key)
+    # Rivers are few of the segments; these are sized by a byte or so a number, and without the hint might be broadcast.
+    placed = vertices.join(river.select(*key, "place"), key).join(turned.select(*key, "turned").hint("merge"), key)
     last = F.max("vidx").over(Window.partitionBy(*key))
     down = placed.withColumn("k", F.when(F.col("turned"), last - F.col("vidx")).otherwise(F.col("vidx"))).withColumn("n", last)
     # An upstream segment's lower end is where the next one starts, as near as snapping allows.
