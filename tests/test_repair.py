@@ -71,3 +71,14 @@ def test_usable_repairs_before_it_judges(spark):
     plain, faults = checks.usable(spark.createDataFrame(long(shapes), SCHEMA))
     assert {r["fid"] for r in plain.collect()} == {3}
     assert repair.repaired(spark.createDataFrame([], SCHEMA))[0].count() == 0
+
+
+def test_edges_of_many_polygons_are_not_broadcast(spark):
+    """Edges grow when they are dealt to squares, shapes with the polygons."""
+    squares = {i: {(0, 0): [(9 * i, 0), (9 * i + 8, 0), (9 * i + 8, 8), (9 * i, 8)]} for i in range(20)}
+    rings = spark.createDataFrame(long(squares), SCHEMA)
+    met = repair.meetings(repair._edges(rings), 5.0)
+    once, gone = grid.first_of_each_shape(rings)
+    assert (met.count(), once.count(), gone.count()) == (0, 100, 0)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (met, gone)]
+    assert not any("BroadcastHashJoin" in p for p in plans)

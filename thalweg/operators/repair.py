@@ -34,7 +34,8 @@ def meetings(edges: DataFrame, cell: float) -> DataFrame:
     """fid, k, x, y: where an edge is met by another of its polygon, other than at an end of both."""
     dealt = edges.withColumn("tx", _squares(F.col("ax"), F.col("bx"), cell)).withColumn("ty", _squares(F.col("ay"), F.col("by"), cell))
     other = dealt.select("fid", "tx", "ty", F.col("k").alias("l"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    pairs = dealt.join(other, ["fid", "tx", "ty"]).where("k < l").drop("tx", "ty").distinct()
+    # Edges are sized before they are expanded to squares: without the hint they might be broadcast.
+    pairs = dealt.hint("merge").join(other, ["fid", "tx", "ty"]).where("k < l").drop("tx", "ty").distinct()
     cross = lambda ux, uy, vx, vy: ux * vy - uy * vx
     c = F.col
     ux, uy, vx, vy = c("bx") - c("ax"), c("by") - c("ay"), c("dx") - c("cx"), c("dy") - c("cy")
