@@ -158,3 +158,16 @@ def test_hubs_join_every_band(spark, monkeypatch):
         root[find(b)] = find(a)
     assert len({find(i) for i in range(40)}) == 1 and find(50) == find(51) != find(0)
     assert max(sum(a == i for a, _ in pairs) for i in range(40)) < 25
+
+
+def test_minima_are_those_of_every_place(spark):
+    """Lines that end before, at and after the last place of a row of places."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (1, 7, 8, 9, ld.RUN + 6, ld.RUN + 7, ld.RUN + 8, 3 * ld.RUN + 7, 500)]
+    once = spark.createDataFrame(list(enumerate(lines)), "id long, norm string").withColumn("key", F.unhex(F.md5("norm")))
+    got = {r["id"]: [r[f"m{i}"] for i in range(ld.MINIMA)] for r in ld.signatures(once).collect()}
+    each = ld.shingle_rows(once.selectExpr("id", "encode(norm, 'UTF-16BE') as wide")).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for k in range(len(lines)):
+        hashes = [r["h"] for r in each if r["id"] == k]
+        assert got[k] == [min(signed((h ^ ld._mask(i)) & (1 << 64) - 1) for h in hashes) for i in range(ld.MINIMA)]

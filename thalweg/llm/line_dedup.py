@@ -23,8 +23,9 @@ SHINGLE = 8
 MINIMA = 20
 #: Minima of each band: five bands of neighbours and five across them, so two share one at most.
 BANDS = [[4 * b + r for r in range(4)] for b in range(5)] + [[b + 5 * r for r in range(4)] for b in range(5)]
-#: Places that one exploded row stands for.
+#: Places that one exploded row stands for where lines are compared, and where minima are taken.
 STEP = 8
+RUN = 16
 #: A line in UTF-16, where a place is a fixed offset, and the last place where a shingle begins.
 _WIDE = "encode(norm, 'UTF-16BE')"
 _LAST = f"greatest(length(wide) div 2 - {SHINGLE}, 0L)"
@@ -55,9 +56,8 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def _shingle_hash(at: int) -> Column:
-    """Hash of the shingle ``at`` places on; null past the last place. In UTF-16 a place is a fixed offset, so nothing is scanned."""
-    whole = f"xxhash64(substring(wide, 2 * (at + {at}) + 1, {2 * SHINGLE}))"
-    return F.expr(f"if(at + {at} <= last, {whole}, null)") if at else F.expr(whole)
+    """Hash of the shingle ``at`` places on; past the last place that of the last, which changes no minimum. In UTF-16 a place is a fixed offset, so nothing is scanned."""
+    return F.expr(f"xxhash64(substring(wide, cast(2 * least(at + {at}, last) + 1 as int), {2 * SHINGLE}))")
 
 
 def _mask(i: int) -> int:
@@ -82,10 +82,10 @@ def distinct_lines(lines: DataFrame) -> tuple[DataFrame, str]:
 def signatures(once: DataFrame) -> DataFrame:
     """id and the minima of each line's shingle hashes; a line shorter than a shingle is one."""
     sized = once.select("key", "id", F.expr(_WIDE).alias("wide")).withColumn("last", F.expr(_LAST))
-    # A row for each STEP places: exploding each place would cost more than its hash.
-    rows = sized.select("key", "id", "wide", "last", F.explode(F.expr(f"sequence(0L, last, {STEP}L)")).alias("at"))
-    hashes = rows.select("key", "id", *[_shingle_hash(j).alias(f"h{j}") for j in range(STEP)])
-    low = lambda i: F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_mask(i))) for j in range(STEP)]))
+    # A row for each RUN places: exploding each place would cost more than its hash.
+    rows = sized.select("key", "id", "wide", "last", F.explode(F.expr(f"sequence(0L, last, {RUN}L)")).alias("at"))
+    hashes = rows.select("key", "id", *[_shingle_hash(j).alias(f"h{j}") for j in range(RUN)])
+    low = lambda i: F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_mask(i))) for j in range(RUN)]))
     return hashes.groupBy("key", "id").agg(*[low(i).alias(f"m{i}") for i in range(MINIMA)])
 
 
