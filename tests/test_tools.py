@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import checks, grid, mapunits, tables, tools
+from thalweg.operators import checks, clip, filling, grid, mapunits, tables, tools
 from thalweg.sources import geotiff, sinks
 
 META = grid.GridMeta(0.0, 10.0, 100.0, -10.0, 10, 10)
@@ -285,3 +285,17 @@ def test_tasks_of_a_walk_grow_with_its_steps(spark, monkeypatch):
     found = sampling.cell_by_cell(rivers, cells.select("row_i", "col_i", "z"), cells.select("row_i", "col_i", "facc"), META)
     assert found.rdd.getNumPartitions() >= 20 * 299 / 100
     assert found.groupBy("basin_id").agg(F.count("*").alias("n"), F.max("idx").alias("last")).where("n = 299 and last = 298").count() == 20
+
+
+def test_edges_and_links_are_not_broadcast(spark):
+    """Edges grow when they are dealt to squares and bands, links of regions with the grid."""
+    rings = spark.createDataFrame([(i, 0, 0, k, 9.0 * i + x, y) for i in range(20) for k, (x, y) in enumerate([(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)])], "fid long, part int, ring int, vidx long, x double, y double")
+    lines = spark.createDataFrame([(100 + i, k, 9.0 * i + x, 4.0) for i in range(20) for k, x in enumerate((-0.5, 2.0, 8.5))], "fid long, vidx long, x double, y double")
+    pieces = clip.lines_in_polygons(lines, rings, 4.0)
+    assert sorted((r["fid"], r["line"], r["x1"] - 9.0 * r["fid"], r["x2"] - 9.0 * r["fid"]) for r in pieces.collect()) == sorted((i, 100 + i, a, b) for i in range(20) for a, b in ((0.0, 2.0), (2.0, 8.0)))
+    links = spark.createDataFrame([(i, i + 1, float(i % 7)) for i in range(1, 200)] + [(1, filling.OUTSIDE, 0.0)], "a long, b long, level double")
+    roots = filling._roots(links.select(F.col("b").alias("region"), F.col("a").alias("root"), F.lit(0.0).alias("took")), 64)
+    assert filling.spill_levels(links).count() == 200
+    at = roots.select(F.col("region").alias("root"), F.lit(1).alias("n"))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (pieces, roots.join(at, "root"))]
+    assert not any("BroadcastHashJoin" in p for p in plans)

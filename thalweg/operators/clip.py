@@ -24,13 +24,14 @@ def lines_in_polygons(vertices: DataFrame, rings: DataFrame, cell: float) -> Dat
     r = Window.partitionBy("fid", "part", "ring").orderBy("vidx")
     edges = rings.select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(r).alias("bx"), F.lead("y").over(r).alias("by")).where("bx is not null")
     tiled = lambda df, x0, x1, y0, y1: df.withColumn("tx", F.explode(_tiles(x0, x1, cell))).withColumn("ty", F.explode(_tiles(y0, y1, cell)))
-    met = tiled(segs, "x1", "x2", "y1", "y2").join(tiled(edges, "ax", "bx", "ay", "by"), ["tx", "ty"])
+    near, bounds = grid.shared(tiled(segs, "x1", "x2", "y1", "y2"), tiled(edges, "ax", "bx", "ay", "by"), "line", "vidx")
+    met = near.join(bounds, ["tx", "ty", "share"])
     dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     turn = dx * ey - dy * ex
     t = F.try_divide((F.col("ax") - F.col("x1")) * ey - (F.col("ay") - F.col("y1")) * ex, turn)
     u = F.try_divide((F.col("ax") - F.col("x1")) * dy - (F.col("ay") - F.col("y1")) * dx, turn)
     cuts = met.withColumn("t", t).withColumn("u", u).where("t > 0 and t < 1 and u >= 0 and u <= 1").groupBy("line", "vidx").agg(F.collect_set("t").alias("ts"))
-    split = segs.join(cuts, ["line", "vidx"], "left")
+    split = segs.join(cuts.hint("merge"), ["line", "vidx"], "left")
     stops = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("ts", F.array().cast("array<double>")))))
     spans = F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda i: F.struct(F.get("stops", i).alias("t0"), F.get("stops", i + 1).alias("t1")))
     pieces = split.withColumn("stops", stops).select("line", "vidx", "x1", "y1", "x2", "y2", F.posexplode(spans).alias("piece", "s"))

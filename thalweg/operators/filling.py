@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, cut_merged
 from .tiles import SIDE
 
 OUTSIDE = -1
@@ -252,19 +252,19 @@ def spill_levels(links: DataFrame, limit: int = 64) -> DataFrame:
     Regions without a way there join the neighbour behind their lowest link, ties by the nodes'
     numbers; what a region takes is the least level for all its nodes. Nodes that no way leads out of are left out.
     """
-    state = cut(links.select(F.explode(F.array("a", "b")).alias("node")).where(F.col("node") != OUTSIDE).distinct().select("node", F.col("node").alias("region"), F.lit(float("-inf")).alias("level")), "spills")
-    open_links = cut(links.select("a", "b", "level", F.struct("level", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).alias("rank")), "links")
+    state = cut_merged(links.select(F.explode(F.array("a", "b")).alias("node")).where(F.col("node") != OUTSIDE).distinct().select("node", F.col("node").alias("region"), F.lit(float("-inf")).alias("level")), "spills")
+    open_links = cut_merged(links.select("a", "b", "level", F.struct("level", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).alias("rank")), "links")
     for _ in range(limit):
         both = open_links.select(F.col("a").alias("region"), F.col("b").alias("next"), "rank").unionByName(open_links.select(F.col("b").alias("region"), F.col("a").alias("next"), "rank"))
         chosen = both.where(F.col("region") != OUTSIDE).groupBy("region").agg(F.min(F.struct("rank", "next")).alias("c"))
-        chosen = cut(chosen.select("region", F.col("c.next").alias("next"), F.col("c.rank").alias("rank")), "chosen")
+        chosen = cut_merged(chosen.select("region", F.col("c.next").alias("next"), F.col("c.rank").alias("rank")), "chosen")
         if chosen.isEmpty():
             return state.where(F.col("region") == OUTSIDE).select("node", "level")
         back = chosen.select(F.col("region").alias("next"), F.col("next").alias("back"))
         # Two regions that chose the same link: the smaller one stays.
         hops = chosen.join(back, "next", "left").select("region", F.when((F.col("back") == F.col("region")) & (F.col("region") < F.col("next")), F.col("region")).otherwise(F.col("next")).alias("root"), F.col("rank.level").alias("took"))
         roots = _roots(hops, limit)
-        state = cut(
+        state = cut_merged(
             state.join(roots, "region", "left").select("node", F.coalesce("root", "region").alias("region"), F.greatest("level", F.coalesce("took", F.lit(float("-inf")))).alias("level")), "spills",
         )
         to = roots.select("region", "root")
@@ -272,18 +272,18 @@ def spill_levels(links: DataFrame, limit: int = 64) -> DataFrame:
         moved = moved.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "level", "rank").where("a <> b")
         # Of the links between two regions only the lowest can be chosen.
         least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        open_links = cut(moved.groupBy(least, most).agg(F.min("rank").alias("rank")).select("a", "b", F.col("rank.level").alias("level"), "rank"), "links")
+        open_links = cut_merged(moved.groupBy(least, most).agg(F.min("rank").alias("rank")).select("a", "b", F.col("rank.level").alias("level"), "rank"), "links")
     raise ValueError("spill levels did not settle")
 
 
 def _roots(hops: DataFrame, limit: int) -> DataFrame:
     """region, root, took: where following ``root`` ends, by doubling."""
     check = lambda s: tuple(s.agg(F.bit_xor(F.xxhash64("region", "root")), F.count("*")).first())
-    state = cut(hops, "hops")
+    state = cut_merged(hops, "hops")
     before = check(state)
     for _ in range(limit):
         at = state.select(F.col("region").alias("root"), F.col("root").alias("further"))
-        state = cut(state.join(at, "root", "left").select("region", F.coalesce("further", "root").alias("root"), "took"), "hops")
+        state = cut_merged(state.join(at, "root", "left").select("region", F.coalesce("further", "root").alias("root"), "took"), "hops")
         now = check(state)
         if now == before:
             return state
@@ -302,7 +302,7 @@ def drained(tiled: DataFrame, levels: DataFrame, n_cols: int, side: int, px: tup
     ty, tx = _key(F.col("src"), n_cols, side)
     source = given.select(ty.alias("ty"), tx.alias("tx"), F.lit(_LINK).alias("kind"), "src", F.lit(OUTSIDE).cast("long").alias("other"), "level")
     # The levels of border cells go to the tiles that they touch, too: their own cell is what they reach lowest.
-    rim = tiled.where(F.col("kind") == _RIM).select("src", F.col("level").alias("z")).join(given, "src").select("src", F.greatest("z", "level").alias("level"))
+    rim = tiled.where(F.col("kind") == _RIM).select("src", F.col("level").alias("z")).join(given.hint("merge"), "src").select("src", F.greatest("z", "level").alias("level"))
     ny, nx = _key(F.col("near"), n_cols, side)
     met = neighbours(rim, n_cols).where(F.col("near").isNotNull() & _apart(F.col("src"), F.col("near"), n_cols, side))
     rim = met.select(ny.alias("ty"), nx.alias("tx"), F.lit(_RIM).alias("kind"), "src", F.lit(OUTSIDE).cast("long").alias("other"), "level").distinct()
@@ -388,7 +388,7 @@ def flow(dem: DataFrame, n_cols: int, px: tuple[float, float] = (1.0, 1.0), side
     cells = dem.select(F.col("src").cast("long").alias("src"), F.col(value).cast("double").alias("z")).where(F.col("z").isNotNull() & ~F.isnan("z"))
     tiled = cut(regions(cells, n_cols, side), "regions")
     rim = tiled.where(F.col("kind") == _RIM).select("src", F.col("level").alias("z"))
-    beyond = neighbours(rim, n_cols).where(_apart(F.col("src"), F.col("near"), n_cols, side)).join(rim.withColumnsRenamed({"src": "near", "z": "far"}), "near", "left")
+    beyond = neighbours(rim, n_cols).where(_apart(F.col("src"), F.col("near"), n_cols, side)).join(rim.withColumnsRenamed({"src": "near", "z": "far"}).hint("merge"), "near", "left")
     met = beyond.where(F.col("far").isNull() | (F.col("src") > F.col("near")))
     across = met.select(F.col("src").alias("a"), F.when(F.col("far").isNotNull(), F.col("near")).otherwise(OUTSIDE).alias("b"), F.greatest("z", "far").alias("level")).distinct()
     links = tiled.where(F.col("kind") == _LINK).select(F.col("src").alias("a"), F.col("other").alias("b"), "level").unionByName(across)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371000.0
 
+#: Tasks that what lies in one square or band is dealt to.
+SHARES = 8
+
 
 @dataclass(frozen=True)
 class GridMeta:
@@ -64,6 +67,16 @@ def sample(points: DataFrame, cells: DataFrame, meta: GridMeta, value: str, x: s
     return at.join(cells.select("row_i", "col_i", value), ["row_i", "col_i"], "left")
 
 
+def shared(many: DataFrame, few: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(``many`` with a ``share`` by the columns ``by``, ``few`` with every share), to be joined by share besides squares or bands.
+
+    A square that holds most of the one side is dealt to as many tasks. The other side is sized before
+    it is expanded to squares: without the hint it might be broadcast.
+    """
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))
+    return many.withColumn("share", F.pmod(F.xxhash64(*by), F.lit(SHARES))), few.withColumn("share", every).hint("merge")
+
+
 def point_in_rings(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
     """Points with the ``fid`` of each polygon that holds them, by the even-odd rule.
 
@@ -76,7 +89,8 @@ def point_in_rings(points: DataFrame, rings: DataFrame, cell: float) -> DataFram
     edges = rings.select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx is not null and ay <> by")
     band = lambda y: F.floor(y / cell)
     banded = edges.withColumn("band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))))
-    met = points.withColumn("band", band(F.col("y"))).join(banded, "band")
+    placed, bounds = shared(points.withColumn("band", band(F.col("y"))), banded, "x", "y")
+    met = placed.join(bounds, ["band", "share"])
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (
         F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
     )

@@ -9,12 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lineage
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """As in ``lineage``, but not broadcast: numbers of segments take a byte or so in a file, by which Spark sizes them, and a hundred times that as a hash table."""
-    return lineage.cut(df, name).hint("merge")
+from ..functions.lineage import cut_merged as cut
 
 
 def downhill(segments: DataFrame) -> DataFrame:
