@@ -299,3 +299,14 @@ def test_edges_and_links_are_not_broadcast(spark):
     at = roots.select(F.col("region").alias("root"), F.lit(1).alias("n"))
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (pieces, roots.join(at, "root"))]
     assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_rows_of_polygons_are_not_broadcast(spark):
+    """Areas, integrals, names and faults have a row for each polygon."""
+    corners = [(0.0, 0.0), (8.0, 0.0), (8.0, -8.0), (0.0, -8.0), (0.0, 0.0)]
+    rings = spark.createDataFrame([(i, f"B{i}", 0, 0, k, 9.0 * i + x, y) for i in range(6) for k, (x, y) in enumerate(corners)], "fid long, label string, part int, ring int, vidx long, x double, y double")
+    dem = spark.createDataFrame([(r, c, float(r * c)) for r in range(8) for c in range(40)], "row_i long, col_i long, z double")
+    found, _, gone = tools.hypsometry_of(dem, rings, grid.GridMeta(0.0, 1.0, 0.0, -1.0, 8, 40), "label", cell=9.0)
+    assert sorted((r["label"], r["n_cells"]) for r in found.collect()) == [(f"B{i}", 64) for i in range(4)] + [("B4", 32)]
+    assert {r["fid"] for r in gone.collect()} == {5}
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in (found, gone))

@@ -71,7 +71,7 @@ def usable(rings: DataFrame, cell: float | None = None) -> tuple[DataFrame, Data
 
         shut = cut(repaired(shut, cell)[0], "sound")
     faults = cut(ring_faults(shut), "faults")
-    return shut.join(faults.select("fid"), "fid", "left_anti"), faults
+    return shut.join(faults.select("fid").hint("merge"), "fid", "left_anti"), faults
 
 
 def first_feature(features: DataFrame) -> tuple[DataFrame, DataFrame]:

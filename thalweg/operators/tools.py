@@ -158,8 +158,12 @@ def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label:
     curves = cut(hypsometry.curve(cells, n_points, least_cells), "curves")
     hi = hypsometry.integral(curves)
     area = (geodesy if meta.geographic else grid).ring_areas(once).select(F.col("fid").alias("basin_id"), F.round("area_km2", 4).alias("area_km2"))
-    found = hypsometry.summary(cells, least_cells).join(hi, "basin_id").join(area, "basin_id").join(names, "basin_id").withColumn("stage", hypsometry.stage(F.col("hi")))
-    empty = once.select("fid").distinct().join(cells.select(F.col("basin_id").alias("fid")).distinct(), "fid", "left_anti").withColumn("reason", F.lit("no cell in polygon"))
+    # A row for each polygon on every side: with the hints none is sent to the driver.
+    found = hypsometry.summary(cells, least_cells)
+    for each in (hi, area, names):
+        found = found.join(each.hint("merge"), "basin_id")
+    found = found.withColumn("stage", hypsometry.stage(F.col("hi")))
+    empty = once.select("fid").distinct().join(cells.select(F.col("basin_id").alias("fid")).distinct().hint("merge"), "fid", "left_anti").withColumn("reason", F.lit("no cell in polygon"))
     few = hypsometry.skipped(cells, least_cells).withColumnRenamed("basin_id", "fid")
     return found, curves, faults.unionByName(repeated).unionByName(empty).unionByName(few)
 
