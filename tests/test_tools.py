@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import checks, clip, filling, grid, mapunits, tables, tools
+from thalweg.operators import checks, clip, filling, grid, mapunits, outlets, outlines, tables, tools
 from thalweg.sources import geotiff, sinks
 
 META = grid.GridMeta(0.0, 10.0, 100.0, -10.0, 10, 10)
@@ -310,3 +310,20 @@ def test_rows_of_polygons_are_not_broadcast(spark):
     assert sorted((r["label"], r["n_cells"]) for r in found.collect()) == [(f"B{i}", 64) for i in range(4)] + [("B4", 32)]
     assert {r["fid"] for r in gone.collect()} == {5}
     assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in (found, gone))
+
+
+def test_sides_of_rings_are_not_broadcast(spark):
+    """Sides of cells grow with the outlines, and so do the rings that close in a tile."""
+    cells = spark.createDataFrame([(r, c, r // 2) for r in range(6) for c in range(6)], "row_i long, col_i long, label int")
+    found = outlines.rings(cells, 6, side=8)
+    assert found.count() == 3 * 17
+    assert "BroadcastHashJoin [first" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_confluences_are_sorted_once(spark):
+    """Each lesser inflow of a confluence gets its stem without a second pass over the grid."""
+    flow = spark.createDataFrame([(i, 10 * (i // 3) + 100) for i in range(30)], "src long, dst long")
+    facc = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "src long, facc double")
+    got = outlets.lesser_inflows(flow, facc)
+    assert {(r["src"], r["stem"], r["facc"], r["stem_facc"]) for r in got.collect()} == {(i, i // 3 * 3 + 2, float(i % 3), 2.0) for i in range(30) if i % 3 < 2}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

@@ -109,6 +109,13 @@ def _first(taken: DataFrame, n: int) -> DataFrame:
     return taken.orderBy("order").limit(max(n, 0))
 
 
+def lesser_inflows(flow: DataFrame, facc: DataFrame) -> DataFrame:
+    """src, stem, dst, facc, stem_facc: the inflows of confluences but the main stem, which is the first in the order that ranks them: no second sort of the grid."""
+    ranked = Window.partitionBy("dst").orderBy(F.desc("facc"), "src")
+    stemmed = confluences(flow, facc).withColumns({"stem": F.first("src").over(ranked), "stem_facc": F.first("facc").over(ranked)})
+    return stemmed.where("not main_stem").select("src", "stem", "dst", "facc", "stem_facc")
+
+
 def outlets(flow: DataFrame, facc: DataFrame, n_cols: int, cell_m2: float, mode: str = "n", n_target: int = 25, least_m2: float = 10e6, main_stem: bool = True, edges: bool = True, block: int = BLOCK) -> DataFrame:
     """place, node, dst, area_m2, kind: outlets taken greedily by accumulation, ``SPACING`` cells apart.
 
@@ -129,9 +136,7 @@ def outlets(flow: DataFrame, facc: DataFrame, n_cols: int, cell_m2: float, mode:
         picked = _taken(greedy(alone(sinks), None, n_cols, False, block), ("edge", ""), 0)
         picked = cut(_first(picked, max(1, budget // 3)) if mode == "n" else picked, "edges")
     left = budget - picked.count()
-    inflows = confluences(flow, facc)
-    stems = inflows.where("main_stem").select("dst", F.col("src").alias("stem"), F.col("facc").alias("stem_facc"))
-    lesser = cut(inflows.where("not main_stem").where(big).join(stems, "dst").select("src", "stem", "dst", "facc", "stem_facc"), "lesser")
+    lesser = cut(lesser_inflows(flow, facc).where(big), "lesser")
     if mode == "n" and left <= 0:
         inner = none
     else:

@@ -115,7 +115,8 @@ def rings(cells: DataFrame, n_cols: int, label: str = "label", side: int = SIDE)
         placed = headed.join(summed, "first")
         total = placed.groupBy("ring").agg(F.max("upto").alias("total"))
         done = done.unionByName(placed.join(total, "ring").select("first", "ring", (F.col("upto") - F.col("n")).alias("before"), "total", "start"))
-    met = every.join(done, "first")
+    # Numbers take a byte or so in a file: without the hint either side might be broadcast.
+    met = every.join(done.hint("merge"), "first")
     vidx = F.pmod(F.col("before") + F.col("place") - F.col("start"), F.col("total"))
     cell, k = F.shiftright("edge", 2), F.col("edge") % 4
     r = F.floor(cell / n_cols) + F.when(k.isin(2, 3), 1).otherwise(0)
