@@ -327,3 +327,19 @@ def test_confluences_are_sorted_once(spark):
     got = outlets.lesser_inflows(flow, facc)
     assert {(r["src"], r["stem"], r["facc"], r["stem_facc"]) for r in got.collect()} == {(i, i // 3 * 3 + 2, float(i % 3), 2.0) for i in range(30) if i % 3 < 2}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_skipped_rivers_need_no_accumulation(spark, slope, monkeypatch):
+    """What is skipped is known from elevations: a driver that only asks for that does not plan the grid's filling; the rest of the tool still gets it."""
+    short = slope.withColumn("z", F.when(F.col("col_i") < 8, F.col("z")))
+    streams = line(spark, (1, [(25, 95), (25, 5)]), (2, [(85, 95), (85, 5)]))
+    basins = ring(spark, *[(fid, 0, 0, [(x, 0), (x + 40, 0), (x + 40, 100), (x, 100), (x, 0)]) for fid, x in ((1, 5), (2, 55), (3, 200))])
+    calls, whole = [], tools.accumulation_of
+    monkeypatch.setattr(tools, "accumulation_of", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    found = tools.fluvial_of(streams, basins, short, META, cell=50.0)
+    expected = {(2, "Basin_2", "too few points with an elevation"), (3, "Basin_3", "no stream found in basin")}
+    assert {tuple(r) for r in found.skipped.select("fid", "label", "reason").collect()} == expected and not calls
+    assert [r["basin_id"] for r in found.found.summary.collect()] == [1] and len(calls) == 1
+    assert found.found.segments.count() >= 1 and len(calls) == 1
+    assert {tuple(r) for r in found.skipped.select("fid", "label", "reason").collect()} == expected
+    assert found.messages == ["accumulation computed from the elevations"]

@@ -68,25 +68,37 @@ def hydraulic(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.Gri
     return series.slope(full).select("basin_id", "idx", "dist_m", "elev", "area_m2", "slope", "fac_valid")
 
 
-def cell_by_cell(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.GridMeta, value: str = "z", least: int = LEAST_POINTS) -> DataFrame:
-    """basin_id, idx, dist_m, elev, area_m2, slope, fac_valid of every step of 0.3 cells along each river.
+def _on_grid(cells: DataFrame, meta: grid.GridMeta) -> DataFrame:
+    """Only the cells that are met: the rest of a larger grid would keep Spark from broadcasting them, and steps of all rivers would go to a few cells' tasks."""
+    return cells.where(F.col("row_i").between(0, meta.n_rows - 1) & F.col("col_i").between(0, meta.n_cols - 1))
 
-    Steps off the grid (``meta`` with n_rows and n_cols) go; distances are chords between the steps that
-    stay; steps without an elevation go afterwards.
-    """
+
+def _steps(rivers: DataFrame, dem: DataFrame, meta: grid.GridMeta, value: str, least: int) -> DataFrame:
+    """basin_id, step_, x, y, dist_m, elev of the steps of rivers with ``least`` of them on the grid."""
     # Vertices become many times as many steps: tasks are dealt by these, which Spark does not see before.
     tasks = max(rivers.sparkSession.sparkContext.defaultParallelism, math.ceil(polylines.step_count(rivers, cell_metres(meta)) / STEPS_A_TASK))
     steps = polylines.walked(rivers.repartition(tasks, "fid"), cell_metres(meta)).withColumnRenamed("fid", "basin_id")
-    # Only these cells are met: the rest of a larger grid would keep Spark from broadcasting them, and steps of all rivers would go to a few cells' tasks.
-    there = F.col("row_i").between(0, meta.n_rows - 1) & F.col("col_i").between(0, meta.n_cols - 1)
-    dem, facc = dem.where(there), facc.where(there)
     row, col = meta.row_of(F.col("y")), meta.column_of(F.col("x"))
     inside = steps.where(row.between(0, meta.n_rows - 1) & col.between(0, meta.n_cols - 1))
     w = Window.partitionBy("basin_id").orderBy("idx")
     chord = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
     far = inside.withColumn("d_", chord).withColumn("dist_m", F.sum("d_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("d_").withColumnRenamed("idx", "step_")
     long = far.withColumn("n_", F.count("*").over(Window.partitionBy("basin_id"))).where(F.col("n_") >= least).drop("n_")
-    full = _kept(_drained(_lookup(long, dem, meta, value, "elev"), facc, meta, "step_", F.lit(cell_metres(meta) ** 2)), "step_", least)
+    return _lookup(long, _on_grid(dem, meta), meta, value, "elev")
+
+
+def reached(rivers: DataFrame, dem: DataFrame, meta: grid.GridMeta, value: str = "z", least: int = LEAST_POINTS) -> DataFrame:
+    """basin_id of the rivers that ``cell_by_cell`` has rows of: elevations alone decide."""
+    return _steps(rivers, dem, meta, value, least).groupBy("basin_id").agg(F.count("elev").alias("n_")).where(F.col("n_") >= least).select("basin_id")
+
+
+def cell_by_cell(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.GridMeta, value: str = "z", least: int = LEAST_POINTS) -> DataFrame:
+    """basin_id, idx, dist_m, elev, area_m2, slope, fac_valid of every step of 0.3 cells along each river.
+
+    Steps off the grid (``meta`` with n_rows and n_cols) go; distances are chords between the steps that
+    stay; steps without an elevation go afterwards.
+    """
+    full = _kept(_drained(_steps(rivers, dem, meta, value, least), _on_grid(facc, meta), meta, "step_", F.lit(cell_metres(meta) ** 2)), "step_", least)
     # idx goes up with step_, in whose order the rows are already.
     return series.slope(full, order="step_").select("basin_id", "idx", "dist_m", "elev", "area_m2", "slope", "fac_valid")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from . import channel, checks, clip, filling, flow, fluvial, geodesy, grid, hyps
 from . import parts as grouping
 from . import swath as swaths
 
+#: Message of a tool that was given no accumulation.
+COMPUTED = "accumulation computed from the elevations"
+
 
 @dataclass
 class Rivers:
@@ -74,24 +79,44 @@ def channels(rivers: DataFrame, dem: DataFrame, meta: grid.GridMeta, n: int = 20
     return Channels(points, channel.metrics(points), whole.groupBy("basin_id").agg(F.count("*").alias("n_points")), skipped)
 
 
-@dataclass
 class Fluvial:
-    profile: DataFrame
-    knickpoints: DataFrame
-    segments: DataFrame
-    summary: DataFrame
-    skipped: DataFrame  # basin_id, reason
+    """The fluvial tool's tables. Each is made when it is first read: which rivers are skipped takes elevations only, no accumulation and no knickpoints."""
+
+    def __init__(self, rivers: DataFrame, dem: DataFrame, facc: Callable[[], DataFrame], meta: grid.GridMeta, theta: float, a0: float, depth: int, smooth: int, method: str, value: str):
+        self._rivers, self._dem, self._facc, self._meta, self._value = rivers, dem, facc, meta, value
+        self._theta, self._a0, self._depth, self._smooth, self._method = theta, a0, depth, smooth, method
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        base = sampling.cell_by_cell(self._rivers, self._dem, self._facc(), self._meta, self._value).select("basin_id", "idx", "dist_m", "elev", "area_m2")
+        return cut(fluvial.analysed(base, self._theta, self._a0, self._smooth), "analysed")
+
+    @cached_property
+    def knickpoints(self) -> DataFrame:
+        return cut(fluvial.knickpoints(self.profile, self._depth), "knickpoints")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return fluvial.segments(self.profile, self.knickpoints.select("basin_id", "idx"), self._method, self._theta)
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        return fluvial.summary(self.profile)
 
-def steepness(rivers: DataFrame, dem: DataFrame, facc: DataFrame, meta: grid.GridMeta, theta: float = 0.45, a0: float = 1.0, depth: int = 3, smooth: int = 0, method: str = "chi_slope", value: str = "z") -> Fluvial:
-    """Every metric of the fluvial tool along rivers (fid, vidx, x, y), sampled cell by cell; rivers with too few points are skipped with a reason."""
-    base = sampling.cell_by_cell(rivers, dem, facc, meta, value).select("basin_id", "idx", "dist_m", "elev", "area_m2")
-    profile = cut(fluvial.analysed(base, theta, a0, smooth), "analysed")
-    knicks = cut(fluvial.knickpoints(profile, depth), "knickpoints")
-    parts = fluvial.segments(profile, knicks.select("basin_id", "idx"), method, theta)
-    every = rivers.select(F.col("fid").alias("basin_id")).distinct()
-    skipped = every.join(profile.select("basin_id").distinct(), "basin_id", "left_anti").withColumn("reason", F.lit("too few points with an elevation"))
-    return Fluvial(profile, knicks, parts, fluvial.summary(profile), skipped)
+    @property
+    def skipped(self) -> DataFrame:
+        """basin_id, reason; from the profile where that is there already."""
+        reached = self.profile.select("basin_id").distinct() if "profile" in self.__dict__ else sampling.reached(self._rivers, self._dem, self._meta, self._value)
+        every = self._rivers.select(F.col("fid").alias("basin_id")).distinct()
+        return every.join(reached, "basin_id", "left_anti").withColumn("reason", F.lit("too few points with an elevation"))
+
+
+def steepness(rivers: DataFrame, dem: DataFrame, facc: DataFrame | Callable[[], DataFrame], meta: grid.GridMeta, theta: float = 0.45, a0: float = 1.0, depth: int = 3, smooth: int = 0, method: str = "chi_slope", value: str = "z") -> Fluvial:
+    """Every metric of the fluvial tool along rivers (fid, vidx, x, y), sampled cell by cell; rivers with too few points are skipped with a reason.
+
+    ``facc`` may be a function that gives the accumulation: it is called when a table that needs it is read.
+    """
+    return Fluvial(rivers, dem, facc if callable(facc) else lambda: facc, meta, theta, a0, depth, smooth, method, value)
 
 
 def accumulation_of(facc: DataFrame | None, dem: DataFrame, meta: grid.GridMeta, value: str = "z") -> tuple[DataFrame, str | None]:
@@ -105,19 +130,22 @@ def accumulation_of(facc: DataFrame | None, dem: DataFrame, meta: grid.GridMeta,
     numbered = dem.withColumn("src", F.col("row_i") * meta.n_cols + F.col("col_i"))
     down = cut(filling.flow(numbered, meta.n_cols, (meta.px_w, meta.px_h), value=value).select("src", "dst"), "flow")
     found = cut(tiles.accumulation(down, meta.n_cols), "facc")
-    return found.select("src", F.floor(F.col("src") / meta.n_cols).alias("row_i"), (F.col("src") % meta.n_cols).alias("col_i"), "facc"), "accumulation computed from the elevations"
+    return found.select("src", F.floor(F.col("src") / meta.n_cols).alias("row_i"), (F.col("src") % meta.n_cols).alias("col_i"), "facc"), COMPUTED
 
 
 @dataclass
 class Report:
-    """What a whole tool gives: its parts, labels (fid, label), what was skipped (fid, reason) and messages."""
+    """What a whole tool gives: its parts, labels (fid, label), what was skipped (fid, label, reason) and messages."""
 
     rivers: Rivers
     found: Channels | Fluvial
     labels: DataFrame
-    skipped: DataFrame
     messages: list[str]
 
+    @property
+    def skipped(self) -> DataFrame:
+        return _whole_skipped(self.rivers, self.found, self.labels)
+
 
 def _whole_skipped(rivers: Rivers, found: Channels | Fluvial, labels: DataFrame) -> DataFrame:
     """fid, label, reason of every basin that gives no result, from clipping to sampling."""
@@ -130,16 +158,16 @@ def ncp_of(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid.Gri
     names = grid.labels(basins.dropDuplicates(["fid"]), label)
     rivers = main_rivers(streams, basins, dem, meta, snap, cell)
     found = channels(rivers.vertices, dem, meta, n, smooth)
-    return Report(rivers, found, names, _whole_skipped(rivers, found, names), [])
+    return Report(rivers, found, names, [])
 
 
 def fluvial_of(streams: DataFrame, basins: DataFrame, dem: DataFrame, meta: grid.GridMeta, facc: DataFrame | None = None, theta: float = 0.45, a0: float = 1.0, depth: int = 3, smooth: int = 0, label: str | None = None, snap: float = 2.0, cell: float = 1000.0) -> Report:
     """The fluvial tool on the main river of each basin; without an accumulation it is computed from the elevations."""
     names = grid.labels(basins.dropDuplicates(["fid"]), label)
     rivers = main_rivers(streams, basins, dem, meta, snap, cell)
-    drained, message = accumulation_of(facc, dem, meta)
-    found = steepness(rivers.vertices, dem, drained, meta, theta, a0, depth, smooth)
-    return Report(rivers, found, names, _whole_skipped(rivers, found, names), [message] if message else [])
+    message = None if sampling.first_source(facc) is not None else COMPUTED
+    found = steepness(rivers.vertices, dem, lambda: accumulation_of(facc, dem, meta)[0], meta, theta, a0, depth, smooth)
+    return Report(rivers, found, names, [message] if message else [])
 
 
 def hypsometry_of(dem: DataFrame, basins: DataFrame, meta: grid.GridMeta, label: str | None = None, n_points: int = 200, least_cells: int = 10, cell: float = 1000.0, crs: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
